@@ -79,7 +79,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     if end is None:
         passes = F.lit(0).cast("long")
     else:
-        last = F.struct(*[F.lit(end[c]) for c in ("finish", "rank", "pass", "served")])
+        last = F.struct(F.lit(end["finish"]), *[F.lit(end[c]).cast("long") for c in ("rank", "pass", "served")])
         taken = [F.when(F.struct(_finish(F.lit(p)), F.col("rank"), F.lit(p).cast("long"), F.col("served")) <= last, 1).otherwise(0) for p in range(max_passes)]
         passes = F.when(F.col("size") > 0, sum(taken[1:], taken[0])).otherwise(0).cast("long")
     return queued.withColumn("passes", passes).select("doc_id", "size", "source_size", "target", "passes", (F.col("passes") * F.col("size")).alias("taken"), *keep)
