@@ -80,11 +80,16 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         passes = F.lit(0).cast("long")
     else:
         last = F.struct(F.lit(end["finish"]), *[F.lit(end[c]).cast("long") for c in ("rank", "pass", "served")])
-        taken = [F.when(F.struct(_finish(F.lit(p)), F.col("rank"), F.lit(p).cast("long"), F.col("served")) <= last, 1).otherwise(0) for p in range(max_passes)]
+        taken = [F.when(_begins(F.lit(p)) & (F.struct(_finish(F.lit(p)), F.col("rank"), F.lit(p).cast("long"), F.col("served")) <= last), 1).otherwise(0) for p in range(max_passes)]
         passes = F.when(F.col("size") > 0, sum(taken[1:], taken[0])).otherwise(0).cast("long")
     return queued.withColumn("passes", passes).select("doc_id", "size", "source_size", "target", "passes", (F.col("passes") * F.col("size")).alias("taken"), *keep)
 
 
+def _begins(p: Column) -> Column:
+    """Whether a source's pass begins before its target is met; later passes take no part."""
+    return p * F.col("source_size") <= F.col("target")
+
+
 def _finish(p: Column) -> Column:
     return (p * F.col("source_size") + F.col("served")).cast("double") / F.col("target")
 
@@ -100,7 +105,7 @@ def _end_of_mix(queued: DataFrame, sources: DataFrame, max_passes: int) -> dict
     spark = queued.sparkSession
     entries = queued.where("size > 0").withColumn("pass", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(max_passes - 1).cast("long"))))
     order = ["finish", "rank", "pass", "served"]
-    entries = entries.where(F.col("pass") * F.col("source_size") <= F.col("target")).withColumn("finish", _finish(F.col("pass")))
+    entries = entries.where(_begins(F.col("pass"))).withColumn("finish", _finish(F.col("pass")))
     ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8)
     entries = entries.select(*order, "size").repartitionByRange(ranges, *order)
     entries = staged(entries.withColumn("range", F.spark_partition_id()), "mix-ranges")

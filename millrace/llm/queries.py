@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing
+from . import exact_dedup, mixing, token_store
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,7 +21,17 @@ def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_source_mixing)}
+def tokenizer_file() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op6_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_store.token_output(table(spark, sf_dir, "documents"), tokenizer_file(), end_id=2)
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_source_mixing, op6_token_output)}
 
 ORACLE_SQL = {
     "op1_exact_dedup": r"""
