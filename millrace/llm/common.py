@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import os
+import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +16,7 @@ from pyspark.sql import functions as F
 #: ASCII white space, as a regular-expression class body.
 WS = r"\x20\x09-\x0D"
 _written: list[tuple[SparkSession, str]] = []
+_shipped: set[str] = set()
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -47,6 +52,18 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def map_arrow(df: DataFrame, run: Callable, schema: str | object) -> DataFrame:
+    """df.mapInArrow(run, schema), with this package sent to the executors once."""
+    context = df.sparkSession.sparkContext
+    if context.applicationId not in _shipped:
+        root = Path(__file__).resolve().parent.parent
+        folder = tempfile.mkdtemp()
+        archive = shutil.make_archive(os.path.join(folder, "millrace_code"), "zip", root.parent, root.name)
+        context.addPyFile(archive)
+        _shipped.add(context.applicationId)
+    return df.mapInArrow(run, schema)
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)

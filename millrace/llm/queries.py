@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, token_store
+from . import exact_dedup, mixing, quality, token_store
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,7 +31,11 @@ def op6_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.token_output(table(spark, sf_dir, "documents"), tokenizer_file(), end_id=2)
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_source_mixing, op6_token_output)}
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_source_mixing, op6_token_output, op9_quality_classifier)}
 
 ORACLE_SQL = {
     "op1_exact_dedup": r"""
