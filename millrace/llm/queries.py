@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, quality, token_store
+from . import exact_dedup, mixing, quality, secrets, token_store, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,15 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("full_hash")).alias("text_sha256"))
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan_secrets(table(spark, sf_dir, "documents"))
+    def of_kind(k: str):
+        return F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
+
+    counts = [of_kind(k) for k in secrets.BASE]
+    return found.select("doc_id", *counts, F.sha2(secrets.joined(F.col("base")), 256).alias("base_sha256"), secrets.joined(F.col("spans")).alias("spans"))
+
+
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -31,11 +40,64 @@ def op6_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.token_output(table(spark, sf_dir, "documents"), tokenizer_file(), end_id=2)
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_source_mixing, op6_token_output, op9_quality_classifier)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_secret_scan, op3_source_mixing, op6_token_output, op7_toxicity, op9_quality_classifier)}
+
+
+def _hits_sql(kind: str, pattern: str) -> str:
+    """rid, kind, hit, gap, start of each match."""
+    pattern = pattern.replace("'", "''")
+    return f"""
+  SELECT rid, '{kind}' AS kind, hits[i] AS hit, gaps[i] AS gap,
+         (list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(hits[1:i - 1], lambda x: length(x))), 0))::BIGINT AS start
+  FROM (SELECT rid, regexp_extract_all(t, '{pattern}') AS hits, string_split_regex(t, '{pattern}') AS gaps FROM d), unnest(range(1, len(hits) + 1)) AS u(i)"""
+
+
+def _secrets_sql() -> str:
+    base = "\n  UNION ALL".join(_hits_sql(kind, pattern) for kind, (pattern, _, _) in secrets.BASE.items())
+    assign, (_, _, least) = secrets.BASE["assign"][0].replace("'", "''"), secrets.BASE["assign"]
+    added = []
+    for c in secrets.CLASSES:
+        needs = " AND ".join(f"regexp_matches(hit, '{n}')" for n in c.needs)
+        added.append(f"""
+  SELECT rid, kind, start + min(k) AS start, start + max(k) + {c.window} AS stop FROM (
+    SELECT *, sum(fresh) OVER (PARTITION BY rid, start ORDER BY k) AS island FROM (
+      SELECT *, (k - lag(k, 1, -1000000) OVER (PARTITION BY rid, start ORDER BY k) > {c.window})::INT AS fresh FROM (
+        SELECT rid, kind, start, k, list_sum(list_transform(map_values(list_histogram(string_split(substr(hit, k + 1, {c.window}), ''))), lambda v: ({c.table})[v::BIGINT + 1])) AS total
+        FROM ({_hits_sql(c.kind, c.pattern)}), unnest(range(0, length(hit) - {c.window} + 1)) AS w(k)
+        WHERE {needs} AND NOT regexp_matches(hit, '{secrets.ALLOW}') AND NOT regexp_matches(gap, '{secrets.ALLOW_BEFORE}'))
+      WHERE total <= {c.most}))
+  GROUP BY rid, kind, start, island""")
+    places = " ".join(f"WHEN '{k}' THEN {i}" for i, k in enumerate(secrets.KINDS))
+    counts = ", ".join(f"count(*) FILTER (WHERE kind = '{k}') AS n_{k}" for k in secrets.BASE)
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+hits AS ({base}),
+base AS (
+  SELECT rid, kind, start, start + length(hit) AS stop FROM hits
+  WHERE CASE kind WHEN 'assign' THEN length(regexp_extract(hit, '{assign}', 1)) >= {least}
+             WHEN 'access' THEN length(hit) >= {secrets.BASE["access"][2]} ELSE length(hit) >= {secrets.BASE["hex"][2]} END),
+added AS ({" UNION ALL ".join(added)}),
+every AS (
+  SELECT * FROM base UNION ALL
+  SELECT * FROM added a WHERE NOT EXISTS (SELECT 1 FROM base b WHERE a.rid = b.rid AND a.start < b.stop AND b.start < a.stop)),
+spans AS (
+  SELECT rid, {counts},
+         coalesce(string_agg(concat_ws(':', kind, start, stop), ',' ORDER BY start, CASE kind {places} END) FILTER (WHERE NOT starts_with(kind, 'entropy')), '') AS base,
+         string_agg(concat_ws(':', kind, start, stop), ',' ORDER BY start, CASE kind {places} END) AS spans
+  FROM every GROUP BY rid)
+SELECT doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in secrets.BASE)},
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN spans USING (rid)
+"""
+
 
 ORACLE_SQL = {
     "op1_exact_dedup": r"""
@@ -52,6 +114,7 @@ FROM n
 WINDOW w AS (PARTITION BY text_sha256 ORDER BY n_chars DESC, doc_id NULLS LAST
              ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)
 """,
+    "op2_secret_scan": _secrets_sql(),
     "op3_source_mixing": r"""
 WITH sized AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
