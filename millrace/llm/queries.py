@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, quality, secrets, token_store, toxicity
+from . import decontamination, exact_dedup, mixing, quality, secrets, simhash, token_store, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +36,17 @@ def tokenizer_file() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_dedup(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    digest = F.sha2(F.array_join("items", ","), 256).alias("items_sha256")
+    return rows.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), digest, "contaminated")
+
+
 def op6_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.token_output(table(spark, sf_dir, "documents"), tokenizer_file(), end_id=2)
 
@@ -48,7 +59,7 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_secret_scan, op3_source_mixing, op6_token_output, op7_toxicity, op9_quality_classifier)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_secret_scan, op3_source_mixing, op4_simhash_near_dedup, op5_decontamination, op6_token_output, op7_toxicity, op9_quality_classifier)}
 
 
 def _hits_sql(kind: str, pattern: str) -> str:
@@ -151,5 +162,29 @@ taken AS (
   WHERE upto <= (SELECT sum(size) FROM sized) GROUP BY row)
 SELECT doc_id, size, source_size, target, coalesce(taken, 0) AS taken
 FROM queued LEFT JOIN taken USING (row)
+""",
+    "op5_decontamination": r"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+b AS (
+  SELECT item_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark),
+windows AS (
+  SELECT DISTINCT item_id, w[i : i + 12] AS w, len(w[i : i + 12]) AS size
+  FROM b, unnest(range(1, greatest(len(w) - 11, 2))) AS u(i) WHERE len(w) > 0),
+sizes AS (SELECT DISTINCT size FROM windows),
+places AS (SELECT rid, size, i, w[i : i + size - 1] AS w FROM d, sizes, unnest(range(1, len(w) - size + 2)) AS u(i)),
+hits AS (SELECT rid, i, size, item_id FROM places JOIN windows USING (size, w)),
+words AS (SELECT rid, count(DISTINCT word) AS n_hit FROM hits, unnest(range(i, i + size)) AS u(word) GROUP BY rid),
+items AS (
+  SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+  FROM (SELECT DISTINCT rid, item_id::VARCHAR AS item FROM hits) GROUP BY rid)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN words USING (rid) LEFT JOIN items USING (rid)
 """,
 }
