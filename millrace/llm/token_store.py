@@ -20,75 +20,97 @@ with a null id come first; repeated rows are separate documents. An empty table
 from __future__ import annotations
 
 import os
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
-from itertools import chain
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import fresh_path, staged, text_of
+from .common import fresh_path, map_arrow, staged, text_of
 
 MAGIC = b"DACSHRD1"
 CHUNK, BLOCK = 8, 512
-#: A shard is closed when it has this many ids: 64 MB while in memory.
-SHARD_TOKENS = 8_000_000
-#: Pre-tokens remembered by a worker; at this number the memory is emptied.
-MEMO = 300_000
+#: A shard is closed when it has this many ids: 16 MB, and some times that while it is packed.
+SHARD_TOKENS = 4_000_000
+#: Units remembered by a worker, at most.
+MEMO = 1_200_000
+SIGNS = ".,;:!?"
+#: Cuts a text before each space that comes before something else than white space; finds texts with other spaces.
+UNIT, ODD = re.compile(r" (?=\S)").split, re.compile(r" (?:\s|$)").search
 
 NULL_ID = -(2**63)
 
 _encoders: dict[str, Encoder] = {}
 
 
+class Units(dict):
+    """The ids of units that stand after `before`, as bytes and without those of `before` if it is a line feed.
+
+    It has two generations: what is asked for in the old one moves to the young one, the rest goes in time.
+    """
+
+    def __init__(self, encoder: Encoder, before: str) -> None:
+        self.old: dict[str, bytes] = {}
+        self.encoder, self.before, self.mark = encoder, before, "\u0120" if before == " " else ""
+
+    def __missing__(self, unit: str) -> bytes:
+        found = self.old.get(unit)
+        if found is None:
+            found = self._make(unit)
+        if len(self) > MEMO // 2:
+            self.old = dict(self)
+            self.clear()
+        self[unit] = found
+        return found
+
+    def _make(self, unit: str) -> bytes:
+        encoder = self.encoder
+        if unit.isalpha():  # one pre-token
+            shown = unit if unit.isascii() else unit.encode().decode("latin-1").translate(BYTE_SIGNS)
+            return array("I", [t.id for t in encoder.tokenizer.model.tokenize(self.mark + shown)]).tobytes()
+        letters = unit.rstrip(SIGNS)
+        if letters != unit and letters.isalpha():
+            return self[letters] + encoder.signs(unit[len(letters) :])
+        if "\n" in unit and unit.split() == (parts := unit.split("\n")):
+            return self[parts[0]] + b"".join(encoder.newline + encoder.leading[p] for p in parts[1:])
+        return encoder.plain(self.before + unit)[len(encoder.newline) if self.before == "\n" else 0 :]
+
+
+#: A byte-level vocabulary shows bytes as characters: printable Latin-1 as itself, the others from U+0100 on, in order.
+_SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTE_SIGNS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _SHOWN)}
+
+
 class Encoder:
-    """A tokenizer of the tokenizers library with a memory of pre-tokens.
+    """A byte-level tokenizer of the tokenizers library with a memory of units.
 
-    Ids of a text are those of its pre-tokens, one after the other. Unknown pre-tokens are encoded together, a line each.
+    A space before a character that isn't white space always begins a pre-token, so a text's ids are those of its units, cut
+    before each such space, one after the other. Within a unit, a line feed between other characters is a pre-token, and so
+    are signs after letters. Each part goes through the tokenizer when it is first met.
     """
 
     def __init__(self, path: str) -> None:
-        import public_tokenizers
-        import regex
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
-        self.pieces = regex.compile(public_tokenizers.PATTERN).findall
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.memo: dict[str, tuple[int, ...]] = {}
-        self.newline = self._plain("\n")
-
-    def _plain(self, text: str) -> tuple[int, ...]:
-        return tuple(self.tokenizer.encode(text, add_special_tokens=False).ids)
-
-    def _learn(self, pieces: list[str]) -> None:
-        alone = [p for p in pieces if p[1:].isspace() or p.isspace() or len(p) > 200]
-        lines = [p for p in pieces if not (p[1:].isspace() or p.isspace() or len(p) > 200)]
-        if lines and len(self.newline) == 1:
-            ids = np.array(self._plain("\n".join(lines)), dtype=np.int64)
-            cuts = np.flatnonzero(ids == self.newline[0])
-            if len(cuts) == len(lines) - 1:
-                flat, lo = ids.tolist(), 0
-                for piece, hi in zip(lines, [*cuts.tolist(), len(flat)]):
-                    self.memo[piece] = tuple(flat[lo:hi])
-                    lo = hi + 1
-                lines = []
-        for piece in alone + lines:
-            self.memo[piece] = self._plain(piece)
+        self.tokenizer.encode_special_tokens = True
+        self.newline = self.plain("\n")
+        self.spaced, self.leading = Units(self, " "), Units(self, "\n")
+        self.signs = lru_cache(10_000)(self.plain)
+
+    def plain(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def encode(self, text: str) -> np.ndarray:
-        if any(s in text for s in self.special):
-            return np.array(self._plain(text), dtype=np.uint32)
-        pieces = self.pieces(text)
-        if unknown := set(pieces).difference(self.memo):
-            if len(self.memo) + len(unknown) > MEMO:
-                self.memo.clear()
-                unknown = set(pieces)
-            self._learn(sorted(unknown))
-        return np.fromiter(chain.from_iterable(map(self.memo.__getitem__, pieces)), dtype=np.uint32)
+        head, *units = UNIT(text) if ODD(text) else text.split(" ")
+        first = self.leading[head] if head.isalpha() else self.plain(head)
+        return np.frombuffer(first + b"".join(map(self.spaced.__getitem__, units)), dtype=np.uint32)
 
 
 def encoder(path: str) -> Encoder:
@@ -213,7 +235,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int, id_c
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]  # the hash deals a repeated id over several ranges
     ranged = base.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    return staged(ranged.mapInArrow(run, "shard string, documents long, tokens long"), "token-manifest")
+    return staged(map_arrow(ranged, run, "shard string, documents long, tokens long"), "token-manifest")
 
 
 def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
@@ -228,7 +250,7 @@ def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
                 crcs = [zlib.crc32(ids[a:b]) for a, b in zip(starts[:-1].tolist(), starts[1:].tolist())]
                 yield pa.RecordBatch.from_arrays([pa.array([path.rsplit("/", 1)[1]] * len(crcs)), pa.array(shard.doc_ids, pa.int64()), pa.array(starts[:-1]), pa.array(np.diff(starts)), pa.array(crcs, pa.int64())], ["shard", "doc_id", "within", "n_tokens", "ids_crc32"])
 
-    rows = staged(files.select("path", "content").mapInArrow(run, "shard string, doc_id long, within long, n_tokens long, ids_crc32 long"), "token-rows")
+    rows = staged(map_arrow(files.select("path", "content"), run, "shard string, doc_id long, within long, n_tokens long, ids_crc32 long"), "token-rows")
     before = Window.orderBy("s_shard").rowsBetween(Window.unboundedPreceding, -1)  # over one row for each file
     shards = rows.groupBy(F.col("shard").alias("s_shard")).agg(F.sum("n_tokens").alias("n"))
     shards = shards.select("s_shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("s_start"))
