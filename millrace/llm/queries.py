@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, exact_dedup, mixing, quality, secrets, simhash, suffix_dedup, token_store, toxicity
+from . import decontamination, exact_dedup, line_dedup, mixing, quality, secrets, simhash, suffix_dedup, token_store, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,7 +64,12 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_secret_scan, op3_source_mixing, op4_simhash_near_dedup, op5_decontamination, op6_token_output, op7_toxicity, op8_suffix_dedup, op9_quality_classifier)}
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = line_dedup.line_dedup(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_secret_scan, op3_source_mixing, op4_simhash_near_dedup, op5_decontamination, op6_token_output, op7_toxicity, op8_suffix_dedup, op9_quality_classifier, op10_line_dedup)}
 
 
 def _hits_sql(kind: str, pattern: str) -> str:
@@ -191,5 +196,31 @@ SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items,
        sha256(coalesce(items, '')) AS items_sha256,
        coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM d LEFT JOIN words USING (rid) LEFT JOIN items USING (rid)
+""",
+    "op10_line_dedup": r"""
+WITH d AS (SELECT row_number() OVER (ORDER BY doc_id NULLS LAST) AS rid, doc_id, string_split(coalesce(text, ''), chr(10)) AS raw FROM documents),
+lines AS (
+  SELECT rid, no, tokens, [len(tokens)::VARCHAR] || tokens[1:3] AS leaf FROM (
+    SELECT rid, no, list_filter(regexp_split_to_array(regexp_replace(raw[no], '[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*', '<*>', 'g'), '[\x20\x09-\x0D]+'), lambda x: x != '') AS tokens
+    FROM d, unnest(range(1, len(raw) + 1)) AS u(no))
+  WHERE len(tokens) >= 3),
+same AS (SELECT tokens, min(rid) AS first FROM lines GROUP BY tokens HAVING count(DISTINCT rid) >= 3),
+leaves AS (SELECT leaf FROM lines GROUP BY leaf HAVING count(DISTINCT rid) >= 3 AND count(DISTINCT tokens) > 1),
+inside AS (SELECT rid, no, leaf, tokens FROM lines SEMI JOIN leaves USING (leaf)),
+counted AS (SELECT leaf, place, tokens[place] AS token, count(*) AS n FROM inside, unnest(range(1, len(tokens) + 1)) AS u(place) GROUP BY ALL),
+constant AS (SELECT leaf, place, max_by(token, n) AS token FROM counted GROUP BY leaf, place HAVING 2 * max(n) > sum(n)),
+made AS (SELECT leaf, list(place ORDER BY place) AS places, list(token ORDER BY place) AS fixed FROM constant GROUP BY leaf HAVING 5 * count(*) >= 3 * leaf[1]::INT),
+matched AS (
+  SELECT rid, no, leaf FROM inside JOIN made USING (leaf)
+  WHERE list_transform(places, lambda p: tokens[p]) = fixed),
+general AS (SELECT leaf, min(rid) AS first FROM matched GROUP BY leaf HAVING count(DISTINCT rid) >= 3),
+gone AS (
+  SELECT rid, no FROM lines JOIN same USING (tokens) WHERE rid != first
+  UNION
+  SELECT rid, no FROM matched JOIN general USING (leaf) WHERE rid != first),
+lost AS (SELECT rid, list(no) AS numbers FROM gone GROUP BY rid)
+SELECT doc_id, len(raw) AS n_lines, coalesce(len(numbers), 0) AS n_dropped,
+       sha256(array_to_string(list_transform(list_filter(range(1, len(raw) + 1), lambda i: NOT coalesce(list_contains(numbers, i), false)), lambda i: raw[i]), chr(10))) AS kept_sha256
+FROM d LEFT JOIN lost USING (rid)
 """,
 }
