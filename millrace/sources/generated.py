@@ -1,0 +1,54 @@
+"""Sources without files: ranges, and a source written in Python."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+
+from ..registry import query
+
+
+class _Slice(InputPartition):
+    def __init__(self, low: int, high: int) -> None:
+        self.low, self.high = low, high
+
+
+class SquaresReader(DataSourceReader):
+    def __init__(self, rows: int, slices: int) -> None:
+        self.rows, self.slices = rows, slices
+
+    def partitions(self) -> list[InputPartition]:
+        cuts = [self.rows * i // self.slices for i in range(self.slices + 1)]
+        return [_Slice(a, b) for a, b in zip(cuts[:-1], cuts[1:])]
+
+    def read(self, partition: InputPartition) -> Iterator[tuple]:
+        for n in range(partition.low, partition.high):
+            yield n, n * n
+
+
+class Squares(DataSource):
+    """n and its square for the options rows and slices: an example of a source written in Python."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "millrace_squares"
+
+    def schema(self) -> str:
+        return "n long, square long"
+
+    def reader(self, schema: object) -> DataSourceReader:
+        return SquaresReader(int(self.options.get("rows", "100")), int(self.options.get("slices", "4")))
+
+
+@query("SELECT n, n * n AS square FROM (SELECT unnest(range(0, 500)) AS n)")
+def py_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spark.dataSource.register(Squares)
+    return spark.read.format("millrace_squares").options(rows="500", slices="4").load()
+
+
+@query("SELECT n, n % 7 AS rest FROM (SELECT unnest(range(10, 1000, 3)) AS n)")
+def range_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.range(10, 1000, 3).select(F.col("id").alias("n"), (F.col("id") % 7).alias("rest"))
