@@ -19,7 +19,7 @@ def sql(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
     Names are bound to the folder as arguments of the statement, so queries over several folders don't share views.
     """
     used = [n for n in NAMES if re.search(rf"\b{n}\b", text)]
-    frames = {n: table(spark, sf_dir, n) for n in used}
-    bound = text.replace("{", "{{").replace("}", "}}")
-    bound = re.sub(r"\b(" + "|".join(used) + r")\b(?!\.)", r"{\1}", bound) if used else bound
-    return spark.sql(bound, **frames)
+    if not used:
+        return spark.sql(text)
+    bound = re.sub(r"\b(" + "|".join(used) + r")\b(?!\.)", r"{\1}", text.replace("{", "{{").replace("}", "}}"))
+    return spark.sql(bound, **{n: table(spark, sf_dir, n) for n in used})
