@@ -2,56 +2,24 @@
 
 from __future__ import annotations
 
-import atexit
 import os
 import shutil
 import tempfile
-import uuid
 from collections.abc import Callable
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import fresh_path, staged
+
+__all__ = ["WS", "fits", "fresh_path", "map_arrow", "staged", "text_of"]
+
 #: ASCII white space, as a regular-expression class body.
 WS = r"\x20\x09-\x0D"
-_written: list[tuple[SparkSession, str]] = []
 _shipped: set[str] = set()
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir of the session.
-
-    Only where it is unset and the master is local (tests), a temporary folder takes its place.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base is None:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="millrace-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
-
-
-def fresh_path(spark: SparkSession, label: str) -> str:
-    """A new path in the shared folder; release() deletes it."""
-    path = f"{scratch_dir(spark)}/millrace/{label}-{uuid.uuid4().hex}"
-    _written.append((spark, path))
-    return path
-
-
-def staged(df: DataFrame, label: str) -> DataFrame:
-    """Writes df as Parquet into the shared folder and reads it back.
-
-    This cuts the lineage, survives lost executors and runs the plan once (an eager checkpoint() runs its last stage
-    twice).
-    """
-    spark = df.sparkSession
-    path = fresh_path(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def map_arrow(df: DataFrame, run: Callable, schema: str | object) -> DataFrame:
     """df.mapInArrow(run, schema), with this package sent to the executors once."""
     context = df.sparkSession.sparkContext
@@ -64,23 +32,6 @@ def map_arrow(df: DataFrame, run: Callable, schema: str | object) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
-def _delete(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-
-@atexit.register
-def release() -> None:
-    """Deletes what staged() and fresh_path() have written; frames that read it are void afterwards."""
-    while _written:
-        spark, path = _written.pop()
-        try:
-            _delete(spark, path)
-        except Exception:  # noqa: BLE001  the session may be gone at exit
-            pass
-
-
 def text_of(column: str | Column) -> Column:
     """The text, null as empty."""
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))

@@ -134,5 +134,5 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, share: int = 20) ->
     """The rows of docs that are not contaminated."""
     bad = contamination(docs, benchmark, share).where("contaminated").select(F.col("doc_id").alias("b_id"), F.col("d_hash").alias("b_hash")).distinct()
     bad = staged(bad, "index-contaminated")
-    on = F.col("doc_id").eqNullSafe(F.col("b_id")) & (F.xxhash64(text_of("text")) == F.col("b_hash"))
-    return docs.join(_bounded(bad), on, "left_anti")
+    keyed = docs.select(F.struct(*docs.columns).alias("doc"), F.col("doc_id").alias("id"), F.xxhash64(text_of("text")).alias("hash"))
+    return keyed.join(_bounded(bad), F.col("id").eqNullSafe(F.col("b_id")) & (F.col("hash") == F.col("b_hash")), "left_anti").select("doc.*")

@@ -133,8 +133,9 @@ def repeat_documents(docs: DataFrame, **options) -> DataFrame:
     """
     row_hash = F.xxhash64(*[F.col(c) for c in docs.columns])
     mixed = mix(docs, keep={"row_hash": row_hash}, **options).where("passes > 0")
-    passes = mixed.groupBy(F.col("doc_id").alias("m_id"), F.col("row_hash").alias("m_hash")).agg(F.sum("passes").alias("m_passes"), F.count(F.lit(1)).alias("m_rows"))
-    joined = docs.withColumn("m_row", row_hash).join(passes, (F.col(options.get("id_col", "doc_id")).eqNullSafe(F.col("m_id"))) & (F.col("m_row") == F.col("m_hash")))
-    once, more = joined.where("m_rows = 1"), joined.where("m_rows > 1").dropDuplicates(["m_id", "m_hash"])
-    every = once.unionByName(more).withColumn("m_again", F.explode(F.sequence(F.lit(1).cast("long"), F.col("m_passes"))))
-    return every.select(*docs.columns)
+    passes = mixed.groupBy(F.col("doc_id").alias("m_id"), F.col("row_hash").alias("m_hash")).agg(F.sum("passes").alias("passes"), F.count(F.lit(1)).alias("rows"))
+    keyed = docs.select(F.struct(*docs.columns).alias("doc"), F.col(options.get("id_col", "doc_id")).alias("id"), row_hash.alias("hash"))
+    joined = keyed.join(passes, F.col("id").eqNullSafe(F.col("m_id")) & (F.col("hash") == F.col("m_hash")))
+    once, more = joined.where("rows = 1"), joined.where("rows > 1").dropDuplicates(["m_id", "m_hash"])
+    every = once.unionByName(more).select("doc", F.explode(F.sequence(F.lit(1).cast("long"), F.col("passes"))).alias("again"))
+    return every.select("doc.*")

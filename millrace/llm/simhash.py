@@ -187,6 +187,7 @@ def keep_one(docs: DataFrame, width: int = 4) -> DataFrame:
     best = best.select(F.col("best.doc_id").alias("k_id"), F.col("best.row_hash").alias("k_hash"))
     count = marked.groupBy(F.col("doc_id").alias("n_id"), F.col("row_hash").alias("n_hash")).agg(F.count(F.lit(1)).alias("k_rows"))
     best = best.join(count, F.col("k_id").eqNullSafe(F.col("n_id")) & (F.col("k_hash") == F.col("n_hash"))).drop("n_id", "n_hash")
-    joined = docs.withColumn("k_row", row_hash).join(best, F.col("doc_id").eqNullSafe(F.col("k_id")) & (F.col("k_row") == F.col("k_hash")))
+    keyed = docs.select(F.struct(*docs.columns).alias("doc"), F.col("doc_id").alias("id"), row_hash.alias("hash"))
+    joined = keyed.join(best, F.col("id").eqNullSafe(F.col("k_id")) & (F.col("hash") == F.col("k_hash")))
     once, more = joined.where("k_rows = 1"), joined.where("k_rows > 1").dropDuplicates(["k_id", "k_hash"])
-    return once.unionByName(more).select(*docs.columns)
+    return once.unionByName(more).select("doc.*")
