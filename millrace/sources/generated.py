@@ -11,41 +11,45 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from ..registry import query
 
 
-class _Slice(InputPartition):
-    def __init__(self, low: int, high: int) -> None:
-        self.low, self.high = low, high
+def squares_source() -> type[DataSource]:
+    """n and its square for the options rows and slices: an example of a source written in Python.
 
+    The classes are made here, so they are sent by value and workers need not import this package.
+    """
 
-class SquaresReader(DataSourceReader):
-    def __init__(self, rows: int, slices: int) -> None:
-        self.rows, self.slices = rows, slices
+    class Slice(InputPartition):
+        def __init__(self, low: int, high: int) -> None:
+            self.low, self.high = low, high
 
-    def partitions(self) -> list[InputPartition]:
-        cuts = [self.rows * i // self.slices for i in range(self.slices + 1)]
-        return [_Slice(a, b) for a, b in zip(cuts[:-1], cuts[1:])]
+    class Reader(DataSourceReader):
+        def __init__(self, rows: int, slices: int) -> None:
+            self.rows, self.slices = rows, slices
 
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
-        for n in range(partition.low, partition.high):
-            yield n, n * n
+        def partitions(self) -> list[InputPartition]:
+            cuts = [self.rows * i // self.slices for i in range(self.slices + 1)]
+            return [Slice(a, b) for a, b in zip(cuts[:-1], cuts[1:])]
 
+        def read(self, partition: InputPartition) -> Iterator[tuple]:
+            for n in range(partition.low, partition.high):
+                yield n, n * n
 
-class Squares(DataSource):
-    """n and its square for the options rows and slices: an example of a source written in Python."""
+    class Squares(DataSource):
+        @classmethod
+        def name(cls) -> str:
+            return "millrace_squares"
 
-    @classmethod
-    def name(cls) -> str:
-        return "millrace_squares"
+        def schema(self) -> str:
+            return "n long, square long"
 
-    def schema(self) -> str:
-        return "n long, square long"
+        def reader(self, schema: object) -> DataSourceReader:
+            return Reader(int(self.options.get("rows", "100")), int(self.options.get("slices", "4")))
 
-    def reader(self, schema: object) -> DataSourceReader:
-        return SquaresReader(int(self.options.get("rows", "100")), int(self.options.get("slices", "4")))
+    return Squares
 
 
 @query("SELECT n, n * n AS square FROM (SELECT unnest(range(0, 500)) AS n)")
 def py_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spark.dataSource.register(Squares)
+    spark.dataSource.register(squares_source())
     return spark.read.format("millrace_squares").options(rows="500", slices="4").load()
 
 
