@@ -12,7 +12,8 @@ are dealt by their minimizer's and string's hashes alone:
    minimizer has other strings too, or which hold their minimizer twice, need their bytes; the rest is kept.
 3. The bytes are fetched from the texts, by document, and come together by minimizer. They fill shards of up to SHARD bytes;
    a suffix array by induced sorting and permuted common prefixes of each tell which windows are equal. Of these all but the
-   first go. A minimizer with more strings than a shard holds has its windows grouped by 128-bit hashes in Spark instead.
+   first go. A minimizer with over HOT_STRINGS strings (the edge of a passage among many neighbours) isn't gathered: its
+   strings stay spread, and Spark groups their windows by 128-bit hashes, with map-side combine.
 4. The windows that go are gathered by document and cut out of its text.
 
 Strings are compared by 64-bit hashes within equal 64-bit minimizers. Null texts count as empty; texts shorter than LENGTH
@@ -29,12 +30,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, staged, text_of
+from .common import fits, map_arrow, staged, text_of
 from .suffix_array import permuted_lcp, suffix_array
 
 LENGTH, ANCHOR = 100, 48
 SPAN = LENGTH - ANCHOR + 1
 SHARD = 3_000_000
+#: A minimizer with more strings is hot; so many hot ones, of 8 bytes each, may be broadcast.
+HOT_STRINGS, BROADCAST_ROWS = 1_000, 300_000
 #: Odd multipliers for the rolling and the final hash.
 _STEP, _MIX = 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD
 _RUN = "m long, h long, d long, t long, at int, n int, gone boolean, twice boolean"
@@ -168,10 +171,10 @@ def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
         for d, t, text, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3).to_pylist()):
             data = text.as_py().encode()
-            out += [(w["m"], w["h"], d, t, w["at"], data[w["at"] : w["at"] + w["n"] + LENGTH - 1]) for w in wanted]
+            out += [(w["m"], w["h"], d, t, w["at"], w["hot"], data[w["at"] : w["at"] + w["n"] + LENGTH - 1]) for w in wanted]
         if out:
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], ["m", "h", "d", "t", "at", "string"])
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], ["m", "h", "d", "t", "at", "hot", "string"])
 
 
 def _gone(d: np.ndarray, t: np.ndarray, at: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
@@ -206,51 +209,39 @@ def judge_shard(strings: list[bytes], d: np.ndarray, t: np.ndarray, at: np.ndarr
     return _gone(d[o], t[o], at[o] + first - starts[o], n)
 
 
-def _windows(strings: list[bytes], d: list[int], t: list[int], at: list[int]) -> Iterator[pa.RecordBatch]:
+def _windows(d: int, t: int, at: int, string: bytes) -> pa.RecordBatch:
     from xxhash import xxh3_128_intdigest
 
-    for s, dd, tt, a in zip(strings, d, t, at):
-        n = len(s) - LENGTH + 1
-        hashes = np.array([divmod(xxh3_128_intdigest(s[i : i + LENGTH]), 1 << 64) for i in range(n)], dtype=np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(n, dd)), pa.array(np.full(n, tt)), pa.array(np.arange(a, a + n, dtype=np.int32)), pa.array(np.ones(n, dtype=np.int32)), pa.array(hashes[:, 0]), pa.array(hashes[:, 1])], ["d", "t", "at", "n", "x", "y"])
+    n = len(string) - LENGTH + 1
+    hashes = np.array([divmod(xxh3_128_intdigest(string[i : i + LENGTH]), 1 << 64) for i in range(n)], dtype=np.uint64).view(np.int64)
+    columns = [np.full(n, d), np.full(n, t), np.arange(at, at + n, dtype=np.int32), np.ones(n, dtype=np.int32), hashes[:, 0], hashes[:, 1]]
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["d", "t", "at", "n", "x", "y"])
 
 
 def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Strings in order of minimizer and hash, each once; shards end between minimizers."""
-    done: list[tuple] = []  # strings of whole minimizers
-    group: list[tuple] = []  # of the last one
-    size = grown = 0
-    last: tuple | None = None
-    large = False
-
-    def shard(rows: list[tuple]) -> pa.RecordBatch:
+    """Strings in order of minimizer and hash, of equal ones the first; hot ones last. Shards end between minimizers."""
+    rows: list[tuple] = []
+    size, last = 0, None
+
+    def shard() -> pa.RecordBatch:
         d, t, at, strings = zip(*rows)
         return judge_shard(list(strings), np.array(d), np.array(t), np.array(at, dtype=np.int64))
 
     for batch in batches:
-        for m, h, d, t, at, string in zip(*(batch.column(c).to_pylist() for c in ("m", "h", "d", "t", "at", "string"))):
+        for m, h, d, t, at, hot, string in zip(*(batch.column(c).to_pylist() for c in ("m", "h", "d", "t", "at", "hot", "string"))):
             if (m, h) == last:
                 continue
-            if last is None or m != last[0]:
-                if not large:
-                    done += group
-                    size += grown
-                    if size > SHARD // 2:
-                        yield shard(done)
-                        done, size = [], 0
-                group, grown, large = [], 0, False
+            if hot:
+                yield _windows(d, t, at, string)
+            else:
+                if size > SHARD and m != last[0]:
+                    yield shard()
+                    rows, size = [], 0
+                rows.append((d, t, at, string))
+                size += len(string) + 1
             last = (m, h)
-            group.append((d, t, at, string))
-            grown += len(string) + 1
-            if large or grown > SHARD:
-                large = True
-                d_, t_, at_, strings = zip(*group)
-                yield from _windows(list(strings), list(d_), list(t_), list(at_))
-                group = []
-    if not large:
-        done += group
-    if done:
-        yield shard(done)
+    if rows:
+        yield shard()
 
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -259,9 +250,13 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     keyed = text.select("d_id", F.coalesce(F.col("d_id").cast("long"), F.lit(2**63 - 1)).alias("d"), F.xxhash64("text").alias("t"), "text")
     runs = map_arrow(keyed.select("d", "t", "text"), _find_runs, _RUN).repartition("m").sortWithinPartitions("m", "h", "d", "t", "at")
     settled = staged(map_arrow(runs, _settle_runs, "m long, h long, d long, t long, at int, n int, gone boolean"), "suffix-runs")
-    wanted = settled.where("not gone").groupBy("d", "t").agg(F.collect_list(F.struct("m", "h", "at", "n")).alias("wanted"))
-    fetched = map_arrow(keyed.join(wanted, ["d", "t"]).select("d", "t", "text", "wanted"), _fetch, "m long, h long, d long, t long, at int, string binary")
-    strings = fetched.repartition("m").sortWithinPartitions("m", "h", "d", "t", "at")
+    needed = settled.where("not gone")
+    hot = staged(needed.groupBy("m").agg(F.count(F.lit(1)).alias("strings")).where(F.col("strings") > HOT_STRINGS).select("m", F.lit(True).alias("hot")), "suffix-hot")
+    needed = needed.join(F.broadcast(hot) if fits(hot, BROADCAST_ROWS) else hot, "m", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+    wanted = needed.groupBy("d", "t").agg(F.collect_list(F.struct("m", "h", "at", "n", "hot")).alias("wanted"))
+    fetched = map_arrow(keyed.join(wanted, ["d", "t"]).select("d", "t", "text", "wanted"), _fetch, "m long, h long, d long, t long, at int, hot boolean, string binary")
+    deal = F.when(F.col("hot"), F.col("h")).otherwise(F.col("m"))
+    strings = fetched.repartition(deal).sortWithinPartitions("hot", "m", "h", "d", "t", "at")
     judged = staged(map_arrow(strings, _judge, "d long, t long, at int, n int, x long, y long"), "suffix-judged")
     parts = [settled.where("gone").select("d", "t", "at", "n"), judged.where("x IS NULL").select("d", "t", "at", "n")]
     grouped = judged.where("x IS NOT NULL")
