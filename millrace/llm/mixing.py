@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from .common import WS, staged, text_of
 
 #: Rows of one shuffled run of a source; a source is cut into as many runs as it needs.
-RUN_ROWS = 20_000
+RUN_ROWS = 4_000
 
 
 def n_words(text: Column) -> Column:
