@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import shutil
 import tempfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
@@ -20,8 +20,42 @@ WS = r"\x20\x09-\x0D"
 _shipped: set[str] = set()
 
 
-def map_arrow(df: DataFrame, run: Callable, schema: str | object) -> DataFrame:
-    """df.mapInArrow(run, schema), with this package sent to the executors once."""
+#: What a Python worker keeps between tasks, by operator.
+kept: dict[str, object] = {}
+
+
+def keep_only(operator: str) -> None:
+    """Lets go of what this worker keeps for other operators."""
+    for name in [n for n in kept if n != operator]:
+        del kept[name]
+
+
+def give_back() -> None:
+    """Returns this worker's free memory to the system, as idle workers stay beside the executor's other tasks."""
+    import ctypes
+    import gc
+
+    import pyarrow
+
+    gc.collect()
+    pyarrow.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # another C library
+        pass
+
+
+def map_arrow(df: DataFrame, run: Callable, schema: str | object, operator: str = "") -> DataFrame:
+    """df.mapInArrow(run, schema), with this package sent to the executors once.
+
+    operator: the name under which run keeps things in `kept`; a worker has those of one operator at a time.
+    """
+
+    def alone(batches: Iterator) -> Iterator:
+        keep_only(operator)
+        yield from run(batches)
+        give_back()
+
     context = df.sparkSession.sparkContext
     if context.applicationId not in _shipped:
         root = Path(__file__).resolve().parent.parent
@@ -29,7 +63,7 @@ def map_arrow(df: DataFrame, run: Callable, schema: str | object) -> DataFrame:
         archive = shutil.make_archive(os.path.join(folder, "millrace_code"), "zip", root.parent, root.name)
         context.addPyFile(archive)
         _shipped.add(context.applicationId)
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(alone, schema)
 
 
 def text_of(column: str | Column) -> Column:

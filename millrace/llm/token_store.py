@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import os
 import re
+import string
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -31,21 +32,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import fresh_path, map_arrow, staged, text_of
+from .common import fresh_path, kept, map_arrow, staged, text_of
 
 MAGIC = b"DACSHRD1"
 CHUNK, BLOCK = 8, 512
-#: A shard is closed when it has this many ids: 16 MB, and some times that while it is packed.
-SHARD_TOKENS = 4_000_000
+#: A shard is closed when it has this many ids: 16 MB of a small vocabulary, and some times that while it is packed.
+SHARD_TOKENS = 8_000_000
 #: Units remembered by a worker, at most.
-MEMO = 1_200_000
-SIGNS = ".,;:!?"
-#: Cuts a text before each space that comes before something else than white space; finds texts with other spaces.
-UNIT, ODD = re.compile(r" (?=\S)").split, re.compile(r" (?:\s|$)").search
-
+MEMO = 1_300_000
+#: ASCII signs that make one pre-token after letters; an apostrophe may begin another one.
+SIGNS = string.punctuation.replace("'", "")
+#: Cuts a text before each space that comes before something else than white space; finds texts where a space or line feed
+#: comes before white space or the end, which are cut in no other place. Elsewhere line feeds begin units, too.
+UNIT, ODD = re.compile(r" (?=\S)").split, re.compile(r"[ \n](?:\s|$)").search
 NULL_ID = -(2**63)
 
-_encoders: dict[str, Encoder] = {}
 
 
 class Units(dict):
@@ -70,9 +71,11 @@ class Units(dict):
 
     def _make(self, unit: str) -> bytes:
         encoder = self.encoder
+        if unit[:1] == "\n":  # a line's first unit
+            return encoder.newline + encoder.leading._make(unit[1:])
         if unit.isalpha():  # one pre-token
             shown = unit if unit.isascii() else unit.encode().decode("latin-1").translate(BYTE_SIGNS)
-            return array("I", [t.id for t in encoder.tokenizer.model.tokenize(self.mark + shown)]).tobytes()
+            return array("I", [t.id for t in encoder.one_piece(self.mark + shown)]).tobytes()
         letters = unit.rstrip(SIGNS)
         if letters != unit and letters.isalpha():
             return self[letters] + encoder.signs(unit[len(letters) :])
@@ -89,17 +92,19 @@ BYTE_SIGNS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in
 class Encoder:
     """A byte-level tokenizer of the tokenizers library with a memory of units.
 
-    A space before a character that isn't white space always begins a pre-token, so a text's ids are those of its units, cut
-    before each such space, one after the other. Within a unit, a line feed between other characters is a pre-token, and so
-    are signs after letters. Each part goes through the tokenizer when it is first met.
+    A space before a character that isn't white space always begins a pre-token, and so does a line feed after one, so a
+    text's ids are those of its units, cut before these, one after the other. Within a unit, signs after letters are a
+    pre-token. Each part goes through the tokenizer when it is first met.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        self.path = path
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.one_piece = self.tokenizer.model.tokenize  # looked up once, as each look-up of the model makes an object
         self.newline = self.plain("\n")
         self.spaced, self.leading = Units(self, " "), Units(self, "\n")
         self.signs = lru_cache(10_000)(self.plain)
@@ -108,20 +113,20 @@ class Encoder:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def encode(self, text: str) -> np.ndarray:
-        head, *units = UNIT(text) if ODD(text) else text.split(" ")
+        head, *units = UNIT(text) if ODD(text) else text.replace("\n", " \n").split(" ")
         first = self.leading[head] if head.isalpha() else self.plain(head)
         return np.frombuffer(first + b"".join(map(self.spaced.__getitem__, units)), dtype=np.uint32)
 
 
 def encoder(path: str) -> Encoder:
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    held = kept.get("tokens")
+    if held is None or held.path != path:
+        held = kept["tokens"] = Encoder(path)
+    return held
 
 
 def pack(ids: np.ndarray, lengths: np.ndarray, doc_ids: list[int | None]) -> bytes:
     """A shard of documents with these numbers of token ids and these token ids, one after the other."""
-    ids = ids.astype(np.uint32, copy=False)
     levels = max(1, -(-int(ids.max(initial=0)).bit_length() // CHUNK))
     starts = np.concatenate([[0], np.cumsum(lengths)]).astype("<u8")
     names = np.array([NULL_ID if d is None else d for d in doc_ids], dtype="<i8")
@@ -176,11 +181,12 @@ class Shard:
     def ids(self) -> np.ndarray:
         """All ids, level by level."""
         out = np.zeros(self.n_tokens, dtype=np.uint32)
-        where = np.arange(self.n_tokens)
+        where: np.ndarray | slice = slice(None)
         for level, (chunks, bitmap, _) in enumerate(self.levels):
             out[where] |= chunks.astype(np.uint32) << np.uint32(CHUNK * level)
             if bitmap is not None:
-                where = where[np.unpackbits(bitmap, count=len(chunks), bitorder="little").astype(bool)]
+                more = np.flatnonzero(np.unpackbits(bitmap, count=len(chunks), bitorder="little")).astype(np.int32)
+                where = more if level == 0 else where[more]
         return out
 
     def document(self, k: int) -> np.ndarray:
@@ -208,7 +214,8 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int, id_c
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec, part, count, held = encoder(tokenizer), TaskContext.get().partitionId(), 0, 0
-        end = np.array([end_id], dtype=np.uint32)
+        kind = np.uint16 if max(codec.tokenizer.get_vocab_size() - 1, end_id) < 1 << 16 else np.uint32
+        end = np.array([end_id], dtype=kind)
         ids: list[np.ndarray] = []
         keys: list[int | None] = []
 
@@ -223,7 +230,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int, id_c
 
         for batch in batches:
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids.append(np.concatenate([codec.encode(text.as_py()), end]))
+                ids.append(np.concatenate([codec.encode(text.as_py()).astype(kind), end]))
                 keys.append(key)
                 held += len(ids[-1])
                 if held >= SHARD_TOKENS:
@@ -235,7 +242,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int, id_c
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]  # the hash deals a repeated id over several ranges
     ranged = base.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    return staged(map_arrow(ranged, run, "shard string, documents long, tokens long"), "token-manifest")
+    return staged(map_arrow(ranged, run, "shard string, documents long, tokens long", "tokens"), "token-manifest")
 
 
 def read_tokens(spark: SparkSession, folder: str) -> DataFrame:

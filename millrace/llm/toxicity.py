@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fits, map_arrow, staged, text_of
+from .common import fits, kept, map_arrow, staged, text_of
 from .learning import held_out, logistic, training_labels
 
 #: Labelled rows used, at most (about): they are broadcast, at 24 bytes each.
@@ -38,7 +38,6 @@ COUNTED = 70
 
 WORDS = re.compile(r"[^\W\d_]+").findall
 FEATURES = ("mean", "excess", "most", "marked", "length")
-_state: dict[str, object] = {}
 
 
 def word_counts(docs: DataFrame, chosen: DataFrame) -> DataFrame:
@@ -123,15 +122,15 @@ def measured(docs: DataFrame, counts: DataFrame, model: DataFrame) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast((keys[order], values[order]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = _state.get("scorer")
+        scorer = kept.get("toxicity")
         if scorer is None or scorer.shared is not shared.value:
-            scorer = _state["scorer"] = WordRatios(shared.value)
+            scorer = kept["toxicity"] = WordRatios(shared.value)
         for batch in batches:
             if batch.num_rows:
                 found = np.array([scorer.features(t.as_py()) for t in batch.column(1)])
                 yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(found[:, i]) for i in range(len(FEATURES))]], ["doc_id", *FEATURES])
 
-    return map_arrow(docs.select("doc_id", "text"), run, f"doc_id {kind}, " + ", ".join(f"{c} double" for c in FEATURES))
+    return map_arrow(docs.select("doc_id", "text"), run, f"doc_id {kind}, " + ", ".join(f"{c} double" for c in FEATURES), "toxicity")
 
 
 class WordRatios:
