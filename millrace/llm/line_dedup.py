@@ -22,8 +22,8 @@ LEAD, MIN_TOKENS, MIN_DOCS = 3, 3, 3
 #: A leaf makes a template if at least FIXED[0] of FIXED[1] of its places are constant.
 FIXED = (3, 5)
 FIELD = "<*>"
-#: Templates, or documents with dropped lines, that may be broadcast (a few hundred bytes each).
-BROADCAST_ROWS = 100_000
+#: Leaves and templates that may be broadcast (a few hundred bytes each).
+BROADCAST_ROWS = 50_000
 
 
 def _bounded(df: DataFrame) -> DataFrame:
@@ -32,15 +32,34 @@ def _bounded(df: DataFrame) -> DataFrame:
 
 def tokens_of(line: Column) -> Column:
     """The line's tokens; those with a digit become FIELD."""
-    masked = F.regexp_replace(line, rf"[^{WS}]*[0-9][^{WS}]*", FIELD)
+    field = rf"(?<![^{WS}])[^{WS}0-9]*+[0-9][^{WS}]*"  # from a token's start, and never back over what was read
+    masked = F.when(line.rlike("[0-9]"), F.regexp_replace(line, field, FIELD)).otherwise(line)
     return F.array_remove(F.split(masked, f"[{WS}]+"), "")
 
 
 def _lines(documents: DataFrame) -> DataFrame:
-    """d_id, d_hash, no, tokens, line (hash of the tokens), leaf (hash of their number and the first ones)."""
+    """d_id, d_hash, no, size, line (hash of the tokens), leaf (hash of their number and the first ones) of every line.
+
+    Short lines are left in: with a filter or a condition here, Spark would make a line's tokens once for each use.
+    """
     each = documents.select("d_id", "d_hash", F.posexplode(F.split("text", "\n")).alias("no", "raw"))
-    each = each.select("d_id", "d_hash", "no", tokens_of(F.col("raw")).alias("tokens")).where(F.size("tokens") >= MIN_TOKENS)
-    return each.select("*", F.xxhash64("tokens").alias("line"), F.xxhash64(F.size("tokens"), F.slice("tokens", 1, LEAD)).alias("leaf"))
+    tokens = tokens_of(F.col("raw"))
+    return each.select("d_id", "d_hash", "no", F.size(tokens).alias("size"), F.xxhash64(tokens).alias("line"), F.xxhash64(F.size(tokens), F.slice(tokens, 1, LEAD)).alias("leaf"))
+
+
+def _lines_in(documents: DataFrame, wanted: DataFrame) -> DataFrame:
+    """d_id, d_hash, no, leaf, tokens of the wanted lines (d_id, d_hash, no, leaf), read from the texts again."""
+    listed = wanted.groupBy(*_DOCUMENT).agg(F.collect_list(F.struct("no", "leaf")).alias("wanted"))
+    lines = _with(documents, listed, "inner").withColumn("lines", F.split("text", "\n"))
+    raw = F.transform("wanted", lambda w: F.struct(w["no"].alias("no"), w["leaf"].alias("leaf"), F.get("lines", w["no"]).alias("raw")))
+    each = lines.select(*_DOCUMENT, F.explode(raw).alias("l")).select(*_DOCUMENT, "l.*")
+    return each.select(*_DOCUMENT, "no", "leaf", tokens_of(F.col("raw")).alias("tokens"))
+
+
+def _with(documents: DataFrame, known: DataFrame, how: str) -> DataFrame:
+    """documents with what is known of them; always by a shuffle, which costs the same share of the input at each size."""
+    other = known.withColumnsRenamed({"d_id": "g_id", "d_hash": "g_hash"}).hint("merge")
+    return documents.join(other, F.col("d_id").eqNullSafe(F.col("g_id")) & (F.col("d_hash") == F.col("g_hash")), how).drop("g_id", "g_hash")
 
 
 _DOCUMENT = ("d_id", "d_hash")
@@ -67,12 +86,11 @@ def templates(lines: DataFrame) -> DataFrame:
 
 def dropped_lines(documents: DataFrame) -> DataFrame:
     """d_id, d_hash and the numbers, from 0, of the lines that go, of each document (d_id, d_hash, text) that has some."""
-    lines = _lines(documents)
-    narrow = staged(lines.select(*_DOCUMENT, "no", "line", "leaf"), "line-hashes")
+    narrow = staged(_lines(documents), "line-hashes").where(F.col("size") >= MIN_TOKENS)
     same = staged(_recurring(narrow, "line"), "line-recurring")
     leaves = _recurring(narrow, "leaf", F.min("line").alias("low"), F.max("line").alias("high"))
     leaves = staged(leaves.where("low != high").select("leaf"), "line-leaves")
-    inside = staged(lines.join(_bounded(leaves), "leaf", "left_semi").select(*_DOCUMENT, "no", "leaf", "tokens"), "line-leaf-lines")
+    inside = staged(_lines_in(documents, narrow.join(_bounded(leaves), "leaf", "left_semi")), "line-leaf-lines")
     made = staged(templates(inside), "line-templates")
     fits_template = F.forall("fixed", lambda f: F.get("tokens", f["place"]) == f["token"])
     matched = staged(inside.join(_bounded(made), "leaf").where(fits_template).select(*_DOCUMENT, "no", "leaf"), "line-matched")
@@ -85,9 +103,7 @@ def dropped_lines(documents: DataFrame) -> DataFrame:
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_lines, n_dropped and text (the lines that stay) of each row."""
     documents = docs.select(F.col(id_col).alias("d_id"), text_of(text_col).alias("text")).withColumn("d_hash", F.xxhash64("text"))
-    gone = staged(dropped_lines(documents), "line-gone").select(F.col("d_id").alias("g_id"), F.col("d_hash").alias("g_hash"), "gone")
-    on = F.col("d_id").eqNullSafe(F.col("g_id")) & (F.col("d_hash") == F.col("g_hash"))
-    joined = documents.join(_bounded(gone), on, "left").withColumn("lines", F.split("text", "\n"))
+    joined = _with(documents, dropped_lines(documents), "left").withColumn("lines", F.split("text", "\n"))
     stay = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("gone"))
     kept = F.array_join(F.transform(stay, lambda i: F.get("lines", i)), "\n")
     return joined.select(F.col("d_id").alias("doc_id"), F.size("lines").cast("long").alias("n_lines"), F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long").alias("n_dropped"), F.when(F.col("gone").isNull(), F.col("text")).otherwise(kept).alias("text"))
