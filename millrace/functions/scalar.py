@@ -58,3 +58,30 @@ def map_struct(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = F.map_from_entries(F.array(F.struct(F.lit("name"), F.col("n_name"))))
     both = F.struct(F.col("n_regionkey").alias("region"), pairs.alias("pairs"))
     return table(spark, sf_dir, "nation").select("n_nationkey", both.alias("b")).select("n_nationkey", F.col("b.pairs")["name"].alias("name"), (F.col("b.region") + 1).alias("next"))
+
+
+@query("SELECT event_id, (props::JSON ->> '$.k')::BIGINT AS k, event_type || ':' || (props::JSON ->> '$.k') AS tag FROM events")
+def json_from_to(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parsed = F.from_json("props", "k long")
+    return table(spark, sf_dir, "events").select("event_id", parsed["k"].alias("k"), F.concat_ws(":", "event_type", F.get_json_object(F.to_json(parsed), "$.k")).alias("tag"))
+
+
+@query("SELECT n_nationkey, n_regionkey + 10 AS ten, [n_nationkey, n_regionkey, 1, 2] AS flat, list_sort([n_nationkey, 7, n_regionkey]) AS ordered, list_contains([1, 2, 3], n_regionkey) AS low FROM nation")
+def array_map_more(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n, r = F.col("n_nationkey"), F.col("n_regionkey")
+    tens = F.transform_values(F.create_map(F.lit("r"), r), lambda k, v: v + 10)
+    flat = F.flatten(F.array(F.array(n, r), F.array(F.lit(1), F.lit(2))))
+    low = F.array_contains(F.array(F.lit(1), F.lit(2), F.lit(3)), r)
+    return table(spark, sf_dir, "nation").select("n_nationkey", tens["r"].alias("ten"), flat.alias("flat"), F.array_sort(F.array(n, F.lit(7), r)).alias("ordered"), low.alias("low"))
+
+
+@query("SELECT n_nationkey, k, v FROM (SELECT n_nationkey, unnest(['name', 'region']) AS k, unnest([n_name, n_regionkey::VARCHAR]) AS v FROM nation)")
+def stack_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "nation").select("n_nationkey", F.stack(F.lit(2), F.lit("name"), "n_name", F.lit("region"), F.col("n_regionkey").cast("string")).alias("k", "v"))
+
+
+@query()
+def str_more(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Functions of text that have no equal in DuckDB."""
+    p, url = table(spark, sf_dir, "pages"), F.col("url")
+    return p.select("page_id", F.parse_url(url, F.lit("HOST")).alias("host"), F.url_encode(url).alias("encoded"), F.soundex(F.lit("Robert")).alias("sound"), F.mask(F.lit("Ab12")).alias("masked"), F.xpath_string(F.lit("<a><b>x</b></a>"), F.lit("a/b")).alias("b"), F.collate(url, "UTF8_LCASE").eqNullSafe(F.upper(url)).alias("same"))

@@ -79,3 +79,29 @@ def udtf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     nation = table(spark, sf_dir, "nation")
     return nation.lateralJoin(Parts(F.col("n_name").outer())).select("n_nationkey", "part")
+
+
+@query("SELECT n_nationkey, length(n_name)::BIGINT AS n FROM nation")
+def udf_row(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A function of one row, with Arrow batches between the processes."""
+    n = F.udf(lambda text: len(text), "long", useArrow=True)
+    return table(spark, sf_dir, "nation").select("n_nationkey", n("n_name").alias("n"))
+
+
+@query("SELECT unnest(range(0, 10)) AS k, k * k AS square")
+def udtf_arrow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    @F.arrow_udtf(returnType="k long, square long")
+    class Squares:
+        def eval(self, n: pa.Array) -> Iterator[pa.Table]:
+            k = pa.array(range(n[0].as_py()), pa.int64())
+            yield pa.table({"k": k, "square": pc.multiply(k, k)})
+
+    return Squares(F.lit(10))
+
+
+@query("SELECT p_brand, sum(p_size)::BIGINT AS sizes FROM part GROUP BY p_brand")
+def udf_grouped_arrow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def total(key: tuple, group: pa.Table) -> pa.Table:
+        return pa.table({"p_brand": [key[0].as_py()], "sizes": [pc.sum(group.column("p_size")).as_py()]})
+
+    return table(spark, sf_dir, "part").select("p_brand", "p_size").groupBy("p_brand").applyInArrow(total, "p_brand string, sizes long")

@@ -66,5 +66,22 @@ def agg_approx_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def agg_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sketches that merge: distinct counts (HLL, theta), quantiles (KLL, percentile), frequencies, a histogram, a bitmap."""
     l = table(spark, sf_dir, "lineitem")
-    return l.groupBy("l_returnflag").agg(F.hll_sketch_estimate(F.hll_sketch_agg("l_partkey", 12)).alias("hll"), F.percentile_approx("l_quantity", 0.5, 1000).alias("middle"), F.bitmap_count(F.bitmap_or_agg(F.to_binary(F.lit("01"), F.lit("hex")))).alias("bits"))
+    return l.groupBy("l_returnflag").agg(
+        F.hll_sketch_estimate(F.hll_sketch_agg("l_partkey", 12)).alias("hll"),
+        F.theta_sketch_estimate(F.theta_sketch_agg("l_partkey")).alias("theta"),
+        F.kll_sketch_get_quantile_bigint(F.kll_sketch_agg_bigint(F.col("l_quantity").cast("long")), F.lit(0.5)).alias("kll"),
+        F.percentile_approx("l_quantity", 0.5, 1000).alias("middle"),
+        F.length(F.count_min_sketch("l_partkey", F.lit(0.01), F.lit(0.95), F.lit(7))).alias("frequencies"),
+        F.size(F.histogram_numeric("l_quantity", F.lit(8))).alias("bins"),
+        F.bitmap_count(F.bitmap_construct_agg(F.bitmap_bit_position("l_suppkey"))).alias("suppliers"),
+    )
+
+
+@query("SELECT l_returnflag, count(DISTINCT l_suppkey) AS n FROM lineitem GROUP BY l_returnflag")
+def agg_bitmap_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact distinct whole numbers by bitmaps of 32,768 values, which merge with or."""
+    l = table(spark, sf_dir, "lineitem")
+    maps = l.groupBy("l_returnflag", F.bitmap_bucket_number("l_suppkey").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("l_suppkey")).alias("m"))
+    return maps.groupBy("l_returnflag").agg(F.sum(F.bitmap_count("m")).alias("n"))

@@ -44,6 +44,11 @@ def salted_join(large: DataFrame, small: DataFrame, key: str, salts: int, how: s
     return a.join(b, [key, "_salt"], how).drop("_salt")
 
 
+def dimension(df: DataFrame, most_rows: int = 100_000) -> DataFrame:
+    """df with a broadcast hint if it has at most so many rows; else as it is, to be shuffled."""
+    return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
+
+
 statement("join_inner", "SELECT c_custkey, c_name, o_orderkey FROM customer JOIN orders ON c_custkey = o_custkey WHERE o_totalprice > 100000")
 statement("join_left", "SELECT o_orderkey, l_linenumber, l_quantity FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey AND l_quantity > 45")
 statement("join_right", "SELECT s_suppkey, n_name FROM nation RIGHT JOIN supplier ON n_nationkey = s_nationkey AND n_regionkey = 1")
@@ -102,3 +107,11 @@ def _hinted(name: str, hint: str) -> None:
 
 _hinted("join_sort_merge", "merge")
 _hinted("join_shuffle_hash", "shuffle_hash")
+
+
+@query("SELECT r_name, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY r_name")
+def join_broadcast(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A star join: the small sides are broadcast after a count of their rows."""
+    c, n, r = (table(spark, sf_dir, t) for t in ("customer", "nation", "region"))
+    joined = c.join(dimension(n), F.col("c_nationkey") == F.col("n_nationkey")).join(dimension(r), F.col("n_regionkey") == F.col("r_regionkey"))
+    return joined.groupBy("r_name").agg(F.count(F.lit(1)).alias("n"))

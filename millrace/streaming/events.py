@@ -92,6 +92,33 @@ def st_join_inner(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drained(a.join(b, F.expr("a = b AND b_ts BETWEEN a_ts AND a_ts + INTERVAL 1 HOUR")).select("view_id", "purchase_id"), "append")
 
 
+@query()
+def st_join_left(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Views with purchases within an hour; a view without one comes once the watermark has passed it."""
+    a = event_stream(spark, sf_dir).where("event_type = 'view'").select(F.col("event_id").alias("view_id"), F.col("user_id").alias("a"), F.col("ts").alias("a_ts")).withWatermark("a_ts", "1 hour")
+    b = event_stream(spark, sf_dir).where("event_type = 'purchase'").select(F.col("event_id").alias("purchase_id"), F.col("user_id").alias("b"), F.col("ts").alias("b_ts")).withWatermark("b_ts", "1 hour")
+    return drained(a.join(b, F.expr("a = b AND b_ts BETWEEN a_ts AND a_ts + INTERVAL 1 HOUR"), "left").select("view_id", "purchase_id"), "append")
+
+
+@query("SELECT DISTINCT event_id FROM events")
+def st_dedup_watermark(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dedup whose state goes when the watermark has passed it."""
+    e = event_stream(spark, sf_dir).withWatermark("ts", "2 hours").dropDuplicatesWithinWatermark(["event_id"])
+    return drained(e.select("event_id"), "append")
+
+
+@query("SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
+def st_foreach_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each batch's counts are written under its number, so a batch that runs again replaces itself."""
+    out, log = fresh_path(spark, "stream-batches"), fresh_path(spark, "stream-log")
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.groupBy("event_type").agg(F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    event_stream(spark, sf_dir).writeStream.option("checkpointLocation", log).trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
+    return spark.read.parquet(out).groupBy("event_type").agg(F.sum("n").alias("n"))
+
+
 @query("SELECT user_id, count(*) AS n, max(event_id) AS last FROM events GROUP BY user_id")
 def st_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A state of one's own for each user; the last write of each user is its result."""
