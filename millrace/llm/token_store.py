@@ -42,13 +42,18 @@ SHARD_TOKENS = 8_000_000
 MEMO = 1_300_000
 #: ASCII signs that make one pre-token after letters; an apostrophe may begin another one.
 SIGNS = string.punctuation.replace("'", "")
-#: Cuts a text before each space that comes before something else than white space; finds texts where a space or line feed
-#: comes before white space or the end, which are cut in no other place. Elsewhere line feeds begin units, too.
-UNIT, ODD = re.compile(r" (?=\S)").split, re.compile(r"[ \n](?:\s|$)").search
+#: Cuts a text before each space that comes before something else than white space, for texts where others come before white
+#: space or the end. Elsewhere line feeds begin units, too.
+UNIT = re.compile(r" (?=\S)").split
+
 NULL_ID = -(2**63)
 
 
 
+class OddSpaces(Exception):
+    """A unit that begins with white space: the text can't be cut at every space."""
+
+
 class Units(dict):
     """The ids of units that stand after `before`, as bytes and without those of `before` if it is a line feed.
 
@@ -73,6 +78,8 @@ class Units(dict):
         encoder = self.encoder
         if unit[:1] == "\n":  # a line's first unit
             return encoder.newline + encoder.leading._make(unit[1:])
+        if not unit or unit[0].isspace():
+            raise OddSpaces
         if unit.isalpha():  # one pre-token
             shown = unit if unit.isascii() else unit.encode().decode("latin-1").translate(BYTE_SIGNS)
             return array("I", [t.id for t in encoder.one_piece(self.mark + shown)]).tobytes()
@@ -113,9 +120,14 @@ class Encoder:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def encode(self, text: str) -> np.ndarray:
-        head, *units = UNIT(text) if ODD(text) else text.replace("\n", " \n").split(" ")
+        try:
+            head, *units = text.replace("\n", " \n").split(" ")
+            rest = b"".join(map(self.spaced.__getitem__, units))
+        except OddSpaces:
+            head, *units = UNIT(text)
+            rest = b"".join(map(self.spaced.__getitem__, units))
         first = self.leading[head] if head.isalpha() else self.plain(head)
-        return np.frombuffer(first + b"".join(map(self.spaced.__getitem__, units)), dtype=np.uint32)
+        return np.frombuffer(first + rest, dtype=np.uint32)
 
 
 def encoder(path: str) -> Encoder:
