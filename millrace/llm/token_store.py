@@ -101,7 +101,8 @@ class Encoder:
 
     A space before a character that isn't white space always begins a pre-token, and so does a line feed after one, so a
     text's ids are those of its units, cut before these, one after the other. Within a unit, signs after letters are a
-    pre-token. Each part goes through the tokenizer when it is first met.
+    pre-token. Each part goes through the tokenizer when it is first met. These are ids of plain text; a document's ids know
+    the tokenizer's added tokens, too, as its default does: a text that holds one is encoded whole.
     """
 
     def __init__(self, path: str) -> None:
@@ -111,6 +112,7 @@ class Encoder:
         self.path = path
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.one_piece = self.tokenizer.model.tokenize  # looked up once, as each look-up of the model makes an object
         self.newline = self.plain("\n")
         self.spaced, self.leading = Units(self, " "), Units(self, "\n")
@@ -129,6 +131,16 @@ class Encoder:
         first = self.leading[head] if head.isalpha() else self.plain(head)
         return np.frombuffer(first + rest, dtype=np.uint32)
 
+    def document(self, text: str) -> np.ndarray:
+        """The ids of the tokenizer's default, which finds added tokens in the text."""
+        if not any(t in text for t in self.added):
+            return self.encode(text)
+        self.tokenizer.encode_special_tokens = False
+        try:
+            return np.frombuffer(self.plain(text), dtype=np.uint32)
+        finally:
+            self.tokenizer.encode_special_tokens = True
+
 
 def encoder(path: str) -> Encoder:
     held = kept.get("tokens")
@@ -242,7 +254,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int, id_c
 
         for batch in batches:
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids.append(np.concatenate([codec.encode(text.as_py()).astype(kind), end]))
+                ids.append(np.concatenate([codec.document(text.as_py()).astype(kind), end]))
                 keys.append(key)
                 held += len(ids[-1])
                 if held >= SHARD_TOKENS:

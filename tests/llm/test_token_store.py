@@ -92,3 +92,19 @@ def test_repeated_ids(make, plain):
 
 def test_empty(make):
     assert op.token_output(make([]), tokenizer_file(), 2).count() == 0
+
+
+def test_added_tokens(make):
+    """Against the tokenizer as it comes, which finds added tokens in texts; later documents start where it says, too."""
+    unaltered = Tokenizer.from_file(tokenizer_file())
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>\n y", "a <|endoftext| > b", "plain words", "<|endoftext|> \n", "<|ENDOFTEXT|>"]
+    want = expect(list(enumerate(texts)), lambda text: unaltered.encode(text, add_special_tokens=False).ids)
+    assert sorted(tuple(r) for r in op.token_output(make(list(enumerate(texts))), tokenizer_file(), 2).collect()) == want
+    assert op.Encoder(tokenizer_file()).document(texts[0]).tolist() == [64, 220, 50256, 275]
+
+
+def test_plain_text_between_added_tokens(codec, plain):
+    """Finding added tokens in one document leaves the memory of units as it was."""
+    for text in ("a<|endoftext|>b c", "new unitsx here", "d<|endoftext|>", "b c"):
+        codec.document(text)
+    assert codec.encode("b c new unitsx <|endoftext|>").tolist() == plain("b c new unitsx <|endoftext|>")
