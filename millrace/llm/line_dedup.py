@@ -3,7 +3,8 @@
 A line's tokens are its pieces between white space; a token with a digit is a variable field from the start. A line goes down
 the tree by its number of tokens, then by its first LEAD tokens, to a leaf. In a leaf, a place is constant if most of the
 leaf's lines have one token there, else it is a variable field; a leaf with enough constant places makes a template. A line
-alone, with its variable fields, is a template too, so equal lines are found in leaves that share nothing else.
+alone, with its variable fields, is a template too, so equal lines are found in leaves that share nothing else. Fields are
+never counted as constant: a line with too few other tokens, as a row of numbers, enters no leaf and is compared as it is.
 
 A template that recurs in at least MIN_DOCS documents is dropped wherever it stands, but for the first of these documents (by
 id, then text hash). Lines of fewer than MIN_TOKENS tokens are never dropped. Null texts count as empty and have one empty
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 from .common import WS, fits, staged, text_of
 
 LEAD, MIN_TOKENS, MIN_DOCS = 3, 3, 3
-#: A leaf makes a template if at least FIXED[0] of FIXED[1] of its places are constant.
+#: A leaf or a line makes a template if at least FIXED[0] of FIXED[1] of its places are constant and no fields.
 FIXED = (3, 5)
 FIELD = "<*>"
 #: Leaves and templates that may be broadcast (a few hundred bytes each).
@@ -34,17 +35,25 @@ def tokens_of(line: Column) -> Column:
     """The line's tokens; those with a digit become FIELD."""
     field = rf"(?<![^{WS}])[^{WS}0-9]*+[0-9][^{WS}]*"  # from a token's start, and never back over what was read
     masked = F.when(line.rlike("[0-9]"), F.regexp_replace(line, field, FIELD)).otherwise(line)
-    return F.array_remove(F.split(masked, f"[{WS}]+"), "")
+    return _words(masked)
+
+
+def _words(line: Column) -> Column:
+    return F.array_remove(F.split(line, f"[{WS}]+"), "")
 
 
 def _lines(documents: DataFrame) -> DataFrame:
     """d_id, d_hash, no, size, line (hash of the tokens), leaf (hash of their number and the first ones) of every line.
 
+    Lines with too many fields have the hash of their words as they stand, and no leaf.
     Short lines are left in: with a filter or a condition here, Spark would make a line's tokens once for each use.
     """
     each = documents.select("d_id", "d_hash", F.posexplode(F.split("text", "\n")).alias("no", "raw"))
     tokens = tokens_of(F.col("raw"))
-    return each.select("d_id", "d_hash", "no", F.size(tokens).alias("size"), F.xxhash64(tokens).alias("line"), F.xxhash64(F.size(tokens), F.slice(tokens, 1, LEAD)).alias("leaf"))
+    enough = FIXED[1] * F.size(F.array_remove(tokens, FIELD)) >= FIXED[0] * F.size(tokens)
+    line = F.when(enough, F.xxhash64(tokens)).otherwise(F.xxhash64(_words(F.col("raw"))))
+    leaf = F.when(enough, F.xxhash64(F.size(tokens), F.slice(tokens, 1, LEAD)))
+    return each.select("d_id", "d_hash", "no", F.size(tokens).alias("size"), line.alias("line"), leaf.alias("leaf"))
 
 
 def _lines_in(documents: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -81,14 +90,15 @@ def templates(lines: DataFrame) -> DataFrame:
     total = counted.groupBy("leaf", "size", "place").agg(F.sum("n").alias("all"), F.max_by("token", "n").alias("token"), F.max("n").alias("n"))
     constant = total.where(2 * F.col("n") > F.col("all"))
     made = constant.groupBy("leaf", "size").agg(F.collect_list(F.struct("place", "token")).alias("fixed"))
-    return made.where(FIXED[1] * F.size("fixed") >= FIXED[0] * F.col("size")).select("leaf", "fixed")
+    words = F.size(F.filter("fixed", lambda f: f["token"] != FIELD))
+    return made.where(FIXED[1] * words >= FIXED[0] * F.col("size")).select("leaf", "fixed")
 
 
 def dropped_lines(documents: DataFrame) -> DataFrame:
     """d_id, d_hash and the numbers, from 0, of the lines that go, of each document (d_id, d_hash, text) that has some."""
     narrow = staged(_lines(documents), "line-hashes").where(F.col("size") >= MIN_TOKENS)
     same = staged(_recurring(narrow, "line"), "line-recurring")
-    leaves = _recurring(narrow, "leaf", F.min("line").alias("low"), F.max("line").alias("high"))
+    leaves = _recurring(narrow.where(F.col("leaf").isNotNull()), "leaf", F.min("line").alias("low"), F.max("line").alias("high"))
     leaves = staged(leaves.where("low != high").select("leaf"), "line-leaves")
     inside = staged(_lines_in(documents, narrow.join(_bounded(leaves), "leaf", "left_semi")), "line-leaf-lines")
     made = staged(templates(inside), "line-templates")

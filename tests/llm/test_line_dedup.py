@@ -74,3 +74,13 @@ def test_fields_and_first_document(make, prose):
 def test_edges(make, edge_rows):
     assert len(found(make(edge_rows, extra=True))) == len(edge_rows)
     assert found(make([])) == []
+
+
+def test_fields_are_not_constant(make):
+    """Rows of numbers are equal only as they stand, and a leaf needs constant words besides its fields."""
+    numbers = ["12 34 56", "7 8 9", "2020 2021 2022", "1 2 3 4"]
+    words = ["oak", "elm", "ash", "fir"]
+    rows = [(i, f"{n}\n10  20 30\nRow {i} of {w}en {w}s") for i, (n, w) in enumerate(zip(numbers, words))]
+    got = {r["doc_id"]: r for r in op.line_dedup(make(rows)).collect()}
+    assert got[0]["text"] == rows[0][1]
+    assert all(got[i]["text"] == rows[i][1].replace("\n10  20 30", "") and got[i]["n_dropped"] == 1 for i in range(1, 4))
