@@ -7,7 +7,8 @@ alone, with its variable fields, is a template too, so equal lines are found in
 never counted as constant: a line with too few other tokens, as a row of numbers, enters no leaf and is compared as it is.
 
 A template that recurs in at least MIN_DOCS documents is dropped wherever it stands, but for the first of these documents (by
-id, then text hash). Lines of fewer than MIN_TOKENS tokens are never dropped. Null texts count as empty and have one empty
+id, then text hash). Lines of fewer than MIN_TOKENS tokens are never dropped; in scripts written without spaces, each
+PER_TOKEN characters count as one more token here. Null texts count as empty and have one empty
 line. Null ids come last; rows equal in id and text are one document and get equal rows. Empty tables give no rows. Lines are
 counted by hash with map-side combine, and never gathered by line.
 """
@@ -23,6 +24,9 @@ LEAD, MIN_TOKENS, MIN_DOCS = 3, 3, 3
 #: A leaf or a line makes a template if at least FIXED[0] of FIXED[1] of its places are constant and no fields.
 FIXED = (3, 5)
 FIELD = "<*>"
+#: Other characters than those of scripts written without spaces (Thai, Lao, Tibetan, Burmese, Khmer, kana, Han).
+SPACED = "[^\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff]+"
+PER_TOKEN = 2
 #: Leaves and templates that may be broadcast (a few hundred bytes each).
 BROADCAST_ROWS = 50_000
 
@@ -43,7 +47,7 @@ def _words(line: Column) -> Column:
 
 
 def _lines(documents: DataFrame) -> DataFrame:
-    """d_id, d_hash, no, size, line (hash of the tokens), leaf (hash of their number and the first ones) of every line.
+    """d_id, d_hash, no, judged, line (hash of the tokens), leaf (hash of their number and the first ones) of every line.
 
     Lines with too many fields have the hash of their words as they stand, and no leaf.
     Short lines are left in: with a filter or a condition here, Spark would make a line's tokens once for each use.
@@ -53,7 +57,9 @@ def _lines(documents: DataFrame) -> DataFrame:
     enough = FIXED[1] * F.size(F.array_remove(tokens, FIELD)) >= FIXED[0] * F.size(tokens)
     line = F.when(enough, F.xxhash64(tokens)).otherwise(F.xxhash64(_words(F.col("raw"))))
     leaf = F.when(enough, F.xxhash64(F.size(tokens), F.slice(tokens, 1, LEAD)))
-    return each.select("d_id", "d_hash", "no", F.size(tokens).alias("size"), line.alias("line"), leaf.alias("leaf"))
+    unspaced = F.length(F.regexp_replace("raw", SPACED, ""))
+    judged = F.when(F.size(tokens) >= MIN_TOKENS, True).otherwise(PER_TOKEN * F.size(tokens) + unspaced >= PER_TOKEN * (MIN_TOKENS + 1))
+    return each.select("d_id", "d_hash", "no", judged.alias("judged"), line.alias("line"), leaf.alias("leaf"))
 
 
 def _lines_in(documents: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -96,7 +102,7 @@ def templates(lines: DataFrame) -> DataFrame:
 
 def dropped_lines(documents: DataFrame) -> DataFrame:
     """d_id, d_hash and the numbers, from 0, of the lines that go, of each document (d_id, d_hash, text) that has some."""
-    narrow = staged(_lines(documents), "line-hashes").where(F.col("size") >= MIN_TOKENS)
+    narrow = staged(_lines(documents), "line-hashes").where("judged")
     same = staged(_recurring(narrow, "line"), "line-recurring")
     leaves = _recurring(narrow.where(F.col("leaf").isNotNull()), "leaf", F.min("line").alias("low"), F.max("line").alias("high"))
     leaves = staged(leaves.where("low != high").select("leaf"), "line-leaves")

@@ -84,3 +84,12 @@ def test_fields_are_not_constant(make):
     got = {r["doc_id"]: r for r in op.line_dedup(make(rows)).collect()}
     assert got[0]["text"] == rows[0][1]
     assert all(got[i]["text"] == rows[i][1].replace("\n10  20 30", "") and got[i]["n_dropped"] == 1 for i in range(1, 4))
+
+
+def test_scripts_without_spaces(make):
+    """A line of one white-space token recurs, too, if it is long enough by its characters; short ones stay."""
+    line, dated, short = "版权所有保留所有权利", "สงวนลิขสิทธิ์2024", "目录"
+    rows = [(i, f"{line}\n{dated}\n{short}\nshort line\n文{i}号文章的内容各不相同") for i in range(4)]
+    got = {r["doc_id"]: r for r in op.line_dedup(make(rows)).collect()}
+    assert got[0]["text"] == rows[0][1]
+    assert all(got[i]["text"] == "\n".join(rows[i][1].split("\n")[2:]) and got[i]["n_dropped"] == 2 for i in range(1, 4))
