@@ -36,7 +36,17 @@ MEMO = 600_000
 #: Share of the training rows, in hundredths, that makes the counts; the rest calibrates.
 COUNTED = 70
 
-WORDS = re.compile(r"[^\W\d_]+").findall
+_LETTERS = re.compile(r"[^\W\d_]+").findall
+
+
+def WORDS(text: str) -> list[str]:
+    """Runs of letters, as [^\\p{L}]+ cuts them in Spark; Python's pattern keeps superscripts, fractions, Roman numerals."""
+    found = _LETTERS(text)
+    if not found or "".join(found).isalpha():
+        return found
+    return [w for f in found for w in ([f] if f.isalpha() else "".join(c if c.isalpha() else " " for c in f).split())]
+
+
 FEATURES = ("mean", "excess", "most", "marked", "length")
 
 

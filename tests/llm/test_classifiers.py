@@ -118,3 +118,18 @@ def test_isotonic_fit():
     fit = learning.pool_adjacent_violators(np.array([1.0, 0.0, 2.0, 1.5, 3.0]), np.ones(5))
     assert fit.tolist() == [0.5, 0.5, 1.75, 1.75, 3.0]
     assert learning.pool_adjacent_violators(np.zeros(0), np.zeros(0)).tolist() == []
+
+
+def test_toxicity_cuts_words_at_numerals_both_ways(spark, make, mild_and_toxic, monkeypatch):
+    rows, labels = mild_and_toxic
+    signs = ["\u00b2", "\u00bd", "\u2167", "\u2460", "\u3007", "3"]
+    marked = [(d, t.replace("e", "e" + signs[d % len(signs)]).replace(" ", f" {signs[d % len(signs)]} ", 1)) for d, t, *_ in rows]
+    docs, labels = frames(spark, make, (marked, labels))
+    one = {r["doc_id"]: r["score"] for r in toxicity.classify(docs, labels).collect()}
+    monkeypatch.setattr(toxicity, "MODEL_ROWS", 0)
+    two = {r["doc_id"]: r["score"] for r in toxicity.classify(docs, labels).collect()}
+    assert one.keys() == two.keys() and all(abs(one[k] - two[k]) < 1e-4 for k in one)
+
+
+def test_words_are_letters_only():
+    assert toxicity.WORDS("x\u00b2y \u00bdcup \u2167 na\u00efve 日本3語 a_b") == ["x", "y", "cup", "na\u00efve", "日本", "語", "a", "b"]
