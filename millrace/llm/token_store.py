@@ -6,15 +6,18 @@ of set bits before, so the place of an id's next chunk is one lookup and one pop
 decoding its neighbours.
 
 Layout of a shard, all little-endian:
-  8 bytes magic, u64 tokens, u64 documents, u64 levels,
-  i64 ids of the documents (the least number stands for null),
+  8 bytes magic, u64 tokens, u64 documents, u64 levels, u64 kind of the ids (0: whole numbers, 1: strings),
+  a bitmap of the documents whose id is null, padded to 8 bytes,
+  the ids: i64 each, or (documents + 1) u64 starts and the UTF-8 bytes of all (null: 0, or nothing),
   (documents + 1) u64 starts of the documents' token ids within the shard,
   for each level: u64 entries, the chunk bytes; but for the last level: the bitmap, padded to whole blocks, and the directory
   of u64 ranks, one for each block.
 
 Documents are sorted by id over all shards (by range partition, then within each). A shard is written under a temporary name
-and renamed, so a task that runs again leaves one whole file. Null texts count as empty and get the end id alone. Documents
-with a null id come first; repeated rows are separate documents. An empty table gives no files.
+and renamed, so a task that runs again leaves one whole file. The manifest names the files of finished tasks, and only these
+are read; a folder that holds shards already is refused. Null texts count as empty and get the end id alone. Documents with a
+null id come first; ids that are no whole numbers are kept as strings and sorted as such; repeated rows are separate
+documents. An empty table gives no files.
 """
 
 from __future__ import annotations
@@ -31,10 +34,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, IntegralType
 
 from .common import fresh_path, kept, map_arrow, staged, text_of
 
-MAGIC = b"DACSHRD1"
+MAGIC = b"DACSHRD2"
 CHUNK, BLOCK = 8, 512
 #: A shard is closed when it has this many ids: 16 MB of a small vocabulary, and some times that while it is packed.
 SHARD_TOKENS = 8_000_000
@@ -46,9 +50,6 @@ SIGNS = string.punctuation.replace("'", "")
 #: space or the end. Elsewhere line feeds begin units, too.
 UNIT = re.compile(r" (?=\S)").split
 
-NULL_ID = -(2**63)
-
-
 
 class OddSpaces(Exception):
     """A unit that begins with white space: the text can't be cut at every space."""
@@ -101,8 +102,8 @@ class Encoder:
 
     A space before a character that isn't white space always begins a pre-token, and so does a line feed after one, so a
     text's ids are those of its units, cut before these, one after the other. Within a unit, signs after letters are a
-    pre-token. Each part goes through the tokenizer when it is first met. These are ids of plain text; a document's ids know
-    the tokenizer's added tokens, too, as its default does: a text that holds one is encoded whole.
+    pre-token. Each part goes through the tokenizer when it is first met. A text that holds one of the tokenizer's added
+    tokens, which it finds before it cuts, is encoded whole.
     """
 
     def __init__(self, path: str) -> None:
@@ -111,7 +112,6 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.path = path
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.one_piece = self.tokenizer.model.tokenize  # looked up once, as each look-up of the model makes an object
         self.newline = self.plain("\n")
@@ -122,6 +122,8 @@ class Encoder:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def encode(self, text: str) -> np.ndarray:
+        if any(t in text for t in self.added):
+            return np.frombuffer(self.plain(text), dtype=np.uint32)
         try:
             head, *units = text.replace("\n", " \n").split(" ")
             rest = b"".join(map(self.spaced.__getitem__, units))
@@ -131,16 +133,6 @@ class Encoder:
         first = self.leading[head] if head.isalpha() else self.plain(head)
         return np.frombuffer(first + rest, dtype=np.uint32)
 
-    def document(self, text: str) -> np.ndarray:
-        """The ids of the tokenizer's default, which finds added tokens in the text."""
-        if not any(t in text for t in self.added):
-            return self.encode(text)
-        self.tokenizer.encode_special_tokens = False
-        try:
-            return np.frombuffer(self.plain(text), dtype=np.uint32)
-        finally:
-            self.tokenizer.encode_special_tokens = True
-
 
 def encoder(path: str) -> Encoder:
     held = kept.get("tokens")
@@ -149,12 +141,35 @@ def encoder(path: str) -> Encoder:
     return held
 
 
-def pack(ids: np.ndarray, lengths: np.ndarray, doc_ids: list[int | None]) -> bytes:
+def _pack_ids(doc_ids: list[int | str | None]) -> tuple[int, bytes]:
+    nulls = np.packbits(np.array([d is None for d in doc_ids], dtype=bool), bitorder="little").tobytes()
+    nulls += bytes(-len(nulls) % 8)
+    if not any(isinstance(d, str) for d in doc_ids):
+        return 0, nulls + np.array([d or 0 for d in doc_ids], dtype="<i8").tobytes()
+    names = [(d or "").encode() for d in doc_ids]
+    return 1, nulls + np.concatenate([[0], np.cumsum([len(x) for x in names])]).astype("<u8").tobytes() + b"".join(names)
+
+
+def _read_ids(data: bytes, docs: int, kind: int, at: int) -> tuple[list[int | str | None], int]:
+    """The ids that begin at a place, and where they end."""
+    size = -(-docs // 64) * 8
+    nulls = np.unpackbits(np.frombuffer(data, np.uint8, size, at), count=docs, bitorder="little").astype(bool)
+    at += size
+    if kind == 0:
+        ids, at = np.frombuffer(data, "<i8", docs, at).tolist(), at + 8 * docs
+    else:
+        starts, at = np.frombuffer(data, "<u8", docs + 1, at).astype(np.int64), at + 8 * (docs + 1)
+        ids = [data[at + a : at + b].decode() for a, b in zip(starts[:-1].tolist(), starts[1:].tolist())]
+        at += int(starts[-1])
+    return [None if n else d for d, n in zip(ids, nulls.tolist())], at
+
+
+def pack(ids: np.ndarray, lengths: np.ndarray, doc_ids: list[int | str | None]) -> bytes:
     """A shard of documents with these numbers of token ids and these token ids, one after the other."""
     levels = max(1, -(-int(ids.max(initial=0)).bit_length() // CHUNK))
     starts = np.concatenate([[0], np.cumsum(lengths)]).astype("<u8")
-    names = np.array([NULL_ID if d is None else d for d in doc_ids], dtype="<i8")
-    parts = [MAGIC, np.array([len(ids), len(lengths), levels], dtype="<u8").tobytes(), names.tobytes(), starts.tobytes()]
+    kind, names = _pack_ids(doc_ids)
+    parts = [MAGIC, np.array([len(ids), len(lengths), levels, kind], dtype="<u8").tobytes(), names, starts.tobytes()]
     for level in range(levels):
         parts += [np.array([len(ids)], dtype="<u8").tobytes(), (ids & 0xFF).astype(np.uint8).tobytes()]
         ids = ids >> CHUNK
@@ -175,9 +190,9 @@ class Shard:
         if data[:8] != MAGIC:
             raise ValueError("not a token shard")
         self.data = data
-        n, docs, levels = (int(x) for x in np.frombuffer(data, "<u8", 3, 8))
-        self.doc_ids = [None if d == NULL_ID else d for d in np.frombuffer(data, "<i8", docs, 32).tolist()]
-        self.n_tokens, self.starts, at = n, np.frombuffer(data, "<u8", docs + 1, 32 + 8 * docs), 32 + 8 * (2 * docs + 1)
+        n, docs, levels, kind = (int(x) for x in np.frombuffer(data, "<u8", 4, 8))
+        self.doc_ids, at = _read_ids(data, docs, kind, 40)
+        self.n_tokens, self.starts, at = n, np.frombuffer(data, "<u8", docs + 1, at), at + 8 * (docs + 1)
         self.levels: list[tuple[np.ndarray, np.ndarray | None, np.ndarray | None]] = []
         for level in range(levels):
             m = int(np.frombuffer(data, "<u8", 1, at)[0])
@@ -223,6 +238,13 @@ def _file_system(uri: str):
     return fs.FileSystem.from_uri(uri if "://" in uri else uri.replace("file:", "file://", 1) if uri.startswith("file:") else f"file://{uri}")
 
 
+def _holds_shards(spark: SparkSession, folder: str) -> bool:
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(f"{folder}/*.dac")
+    found = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(where)
+    return found is not None and len(found) > 0
+
+
 def _put(folder: str, name: str, data: bytes) -> None:
     system, root = _file_system(folder)
     system.create_dir(root, recursive=True)
@@ -232,16 +254,23 @@ def _put(folder: str, name: str, data: bytes) -> None:
     system.move(temporary, f"{root}/{name}")
 
 
+def _whole(kind: DataType) -> bool:
+    return isinstance(kind, IntegralType)
+
+
 def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Writes the shards and returns their manifest: shard (names sort as the documents do), documents, tokens."""
     from pyspark import TaskContext
 
+    if _holds_shards(docs.sparkSession, folder):
+        raise FileExistsError(f"{folder} holds token shards already")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec, part, count, held = encoder(tokenizer), TaskContext.get().partitionId(), 0, 0
         kind = np.uint16 if max(codec.tokenizer.get_vocab_size() - 1, end_id) < 1 << 16 else np.uint32
         end = np.array([end_id], dtype=kind)
         ids: list[np.ndarray] = []
-        keys: list[int | None] = []
+        keys: list[int | str | None] = []
 
         def close() -> pa.RecordBatch:
             nonlocal count, held
@@ -254,7 +283,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int, id_c
 
         for batch in batches:
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids.append(np.concatenate([codec.document(text.as_py()).astype(kind), end]))
+                ids.append(np.concatenate([codec.encode(text.as_py()).astype(kind), end]))
                 keys.append(key)
                 held += len(ids[-1])
                 if held >= SHARD_TOKENS:
@@ -263,35 +292,36 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int, id_c
             yield close()
 
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
+    kind = "long" if _whole(docs.schema[id_col].dataType) else "string"
+    base = docs.select(F.col(id_col).cast(kind).alias("doc_id"), text_of(text_col).alias("text"))
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]  # the hash deals a repeated id over several ranges
     ranged = base.repartitionByRange(parts, *order).sortWithinPartitions(*order)
     return staged(map_arrow(ranged, run, "shard string, documents long, tokens long", "tokens"), "token-manifest")
 
 
-def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 of each document, from the shard files in folder."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.dac").load(folder)
+def read_tokens(manifest: DataFrame, folder: str, id_type: str = "long") -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32 of each document, from the shard files in folder that the manifest names."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, root = _file_system(folder)
         for batch in batches:
-            for path, content in zip(batch.column(0).to_pylist(), batch.column(1)):
-                shard = Shard(content.as_py())
+            for name in batch.column(0).to_pylist():
+                with system.open_input_file(f"{root}/{name}") as f:
+                    shard = Shard(f.read())
                 ids, starts = shard.ids().astype("<u4"), shard.starts.astype(np.int64)
                 crcs = [zlib.crc32(ids[a:b]) for a, b in zip(starts[:-1].tolist(), starts[1:].tolist())]
-                yield pa.RecordBatch.from_arrays([pa.array([path.rsplit("/", 1)[1]] * len(crcs)), pa.array(shard.doc_ids, pa.int64()), pa.array(starts[:-1]), pa.array(np.diff(starts)), pa.array(crcs, pa.int64())], ["shard", "doc_id", "within", "n_tokens", "ids_crc32"])
+                names = pa.array(shard.doc_ids, pa.int64() if id_type == "long" else pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(crcs)), names, pa.array(starts[:-1]), pa.array(np.diff(starts)), pa.array(crcs, pa.int64())], ["shard", "doc_id", "within", "n_tokens", "ids_crc32"])
 
-    rows = staged(map_arrow(files.select("path", "content"), run, "shard string, doc_id long, within long, n_tokens long, ids_crc32 long"), "token-rows")
-    before = Window.orderBy("s_shard").rowsBetween(Window.unboundedPreceding, -1)  # over one row for each file
-    shards = rows.groupBy(F.col("shard").alias("s_shard")).agg(F.sum("n_tokens").alias("n"))
-    shards = shards.select("s_shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("s_start"))
+    parts = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = map_arrow(manifest.select("shard").repartition(parts, "shard"), run, f"shard string, doc_id {id_type}, within long, n_tokens long, ids_crc32 long")
+    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # over one row for each file
+    shards = manifest.select(F.col("shard").alias("s_shard"), F.coalesce(F.sum("tokens").over(before), F.lit(0)).alias("s_start"))
     return rows.join(shards, F.col("shard") == F.col("s_shard")).select("doc_id", (F.col("s_start") + F.col("within")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def token_output(docs: DataFrame, tokenizer: str, end_id: int, folder: str | None = None, **columns: str) -> DataFrame:
     """Writes docs as token shards and returns, from the files, doc_id, start, n_tokens and ids_crc32 of each document."""
-    spark = docs.sparkSession
-    folder = folder or fresh_path(spark, "tokens")
-    if not write_tokens(docs, folder, tokenizer, end_id, **columns).take(1):
-        return spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids_crc32 long")
-    return read_tokens(spark, folder)
+    folder = folder or fresh_path(docs.sparkSession, "tokens")
+    kind = "long" if _whole(docs.schema[columns.get("id_col", "doc_id")].dataType) else "string"
+    return read_tokens(write_tokens(docs, folder, tokenizer, end_id, **columns), folder, kind)

@@ -13,7 +13,6 @@ from millrace.llm.queries import tokenizer_file
 @pytest.fixture(scope="module")
 def plain():
     t = Tokenizer.from_file(tokenizer_file())
-    t.encode_special_tokens = True
     return lambda text: t.encode(text, add_special_tokens=False).ids
 
 
@@ -100,11 +99,36 @@ def test_added_tokens(make):
     texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>\n y", "a <|endoftext| > b", "plain words", "<|endoftext|> \n", "<|ENDOFTEXT|>"]
     want = expect(list(enumerate(texts)), lambda text: unaltered.encode(text, add_special_tokens=False).ids)
     assert sorted(tuple(r) for r in op.token_output(make(list(enumerate(texts))), tokenizer_file(), 2).collect()) == want
-    assert op.Encoder(tokenizer_file()).document(texts[0]).tolist() == [64, 220, 50256, 275]
+    assert op.Encoder(tokenizer_file()).encode(texts[0]).tolist() == [64, 220, 50256, 275]
 
 
 def test_plain_text_between_added_tokens(codec, plain):
     """Finding added tokens in one document leaves the memory of units as it was."""
-    for text in ("a<|endoftext|>b c", "new unitsx here", "d<|endoftext|>", "b c"):
-        codec.document(text)
-    assert codec.encode("b c new unitsx <|endoftext|>").tolist() == plain("b c new unitsx <|endoftext|>")
+    for text in ("a<|endoftext|>b c", "new unitsx here", "d<|endoftext|>", "b c", "b c new unitsx <|endoftext|>"):
+        assert codec.encode(text).tolist() == plain(text)
+
+
+def test_a_folder_with_shards_is_refused(make, spark, tmp_path):
+    folder = (tmp_path / "shards").as_uri()
+    assert op.token_output(make([(i, "a b") for i in range(30)]), tokenizer_file(), 2, folder).count() == 30
+    with pytest.raises(FileExistsError):
+        op.token_output(make([(1, "x")]), tokenizer_file(), 2, folder)
+
+
+def test_only_files_of_the_manifest_are_read(make, spark, tmp_path, plain):
+    folder = (tmp_path / "shards").as_uri()
+    manifest = op.write_tokens(make([(1, "a b"), (2, "c")]), folder, tokenizer_file(), 2)
+    (tmp_path / "shards" / "part-9999999-0000000.dac").write_bytes(op.pack(np.array([5], dtype=np.uint32), np.array([1]), [7]))
+    got = sorted(tuple(r) for r in op.read_tokens(manifest, folder).collect())
+    assert got == expect([(1, "a b"), (2, "c")], plain)
+
+
+def test_extreme_and_string_ids(make, spark, plain):
+    rows = [(-(2**63), "least"), (2**63 - 1, "most"), (None, "none"), (0, None)]
+    got = sorted((tuple(r) for r in op.token_output(make(rows), tokenizer_file(), 2).collect()), key=lambda r: r[1])
+    assert got == expect(rows, plain)
+    named = [("b", "one two"), ("", "empty name"), (None, "x"), ("é", "y")]
+    got = op.token_output(spark.createDataFrame(named, "doc_id string, text string"), tokenizer_file(), 2).collect()
+    order = sorted(named, key=lambda r: (r[0] is not None, (r[0] or "").encode()))
+    assert [r["doc_id"] for r in sorted(got, key=lambda r: r["start"])] == [d for d, _ in order]
+    assert {r["doc_id"]: r["n_tokens"] for r in got} == {d: len(plain(t)) + 1 for d, t in named}
