@@ -13,10 +13,12 @@ from pyspark.sql import functions as F
 
 from ..storage import fresh_path, staged
 
-__all__ = ["WS", "fits", "fresh_path", "map_arrow", "staged", "text_of"]
+__all__ = ["WS", "fits", "fresh_path", "map_arrow", "spread_join", "staged", "text_of"]
 
 #: ASCII white space, as a regular-expression class body.
 WS = r"\x20\x09-\x0D"
+#: A key is hot if it has more than one in HOT_KEYS of all rows, so at most HOT_KEYS are; and more than FEW_ROWS.
+HOT_KEYS, FEW_ROWS = 1_000, 50
 _shipped: set[str] = set()
 
 
@@ -74,3 +76,19 @@ def text_of(column: str | Column) -> Column:
 def fits(df: DataFrame, rows: int) -> bool:
     """Whether a staged frame has at most so many rows: the check before each explicit broadcast."""
     return df.count() <= rows
+
+
+def spread_join(rows: DataFrame, known: DataFrame, keys: list[str], weight: str, how: str = "inner") -> DataFrame:
+    """rows.join(known, keys, how) with no hot key in one task. how: inner, left or left_semi.
+
+    known is staged, has one row for each key and, in `weight`, the number of rows with that key. Hot keys, of which there
+    can be HOT_KEYS at most, are broadcast, so their rows stay where they are; the rest is joined as Spark sees fit.
+    """
+    total = known.agg(F.sum(weight)).first()[0] or 0
+    limit = max(FEW_ROWS, total // HOT_KEYS)
+    hot = known.where(F.col(weight) > limit).drop(weight)
+    if not hot.take(1):
+        return rows.join(known.drop(weight), keys, how)
+    near = rows.join(F.broadcast(hot), keys, "left_semi" if how == "left_semi" else "inner")
+    far = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti")
+    return near.unionByName(far.join(known.where(F.col(weight) <= limit).drop(weight), keys, how))

@@ -198,29 +198,50 @@ SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items,
 FROM d LEFT JOIN words USING (rid) LEFT JOIN items USING (rid)
 """,
     "op10_line_dedup": r"""
-WITH d AS (SELECT row_number() OVER (ORDER BY doc_id NULLS LAST) AS rid, doc_id, string_split(coalesce(text, ''), chr(10)) AS raw FROM documents),
+WITH every AS (
+  SELECT doc_id, coalesce(text, '') AS t, ('0x' || substr(md5(coalesce(text, '')), 1, 15))::BIGINT AS h FROM documents),
+d AS (
+  SELECT row_number() OVER (ORDER BY doc_id NULLS LAST, h) AS rid, doc_id, h, string_split(t, chr(10)) AS raw
+  FROM (SELECT DISTINCT * FROM every)),
+cut AS (
+  SELECT * FROM (SELECT rid, no, list_filter(regexp_split_to_array(raw[no], '[\x20\x09-\x0D]+'), lambda x: x != '') AS words,
+         list_filter(regexp_split_to_array(regexp_replace(raw[no], '[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*', '<*>', 'g'), '[\x20\x09-\x0D]+'), lambda x: x != '') AS tokens
+  FROM d, unnest(range(1, len(raw) + 1)) AS u(no))
+  WHERE len(words) >= 3 OR length(array_to_string(words, '')) >= 10),
+tree AS (
+  SELECT rid, no, tokens, [len(tokens)::VARCHAR] || tokens[1:3] AS leaf FROM cut
+  WHERE 5 * len(list_filter(tokens, lambda x: x != '<*>')) >= 3 * len(tokens)),
 lines AS (
-  SELECT rid, no, tokens, [len(tokens)::VARCHAR] || tokens[1:3] AS leaf FROM (
-    SELECT rid, no, list_filter(regexp_split_to_array(regexp_replace(raw[no], '[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*', '<*>', 'g'), '[\x20\x09-\x0D]+'), lambda x: x != '') AS tokens
-    FROM d, unnest(range(1, len(raw) + 1)) AS u(no))
-  WHERE len(tokens) >= 3),
-same AS (SELECT tokens, min(rid) AS first FROM lines GROUP BY tokens HAVING count(DISTINCT rid) >= 3),
-leaves AS (SELECT leaf FROM lines GROUP BY leaf HAVING count(DISTINCT rid) >= 3 AND count(DISTINCT tokens) > 1),
-inside AS (SELECT rid, no, leaf, tokens FROM lines SEMI JOIN leaves USING (leaf)),
-counted AS (SELECT leaf, place, tokens[place] AS token, count(*) AS n FROM inside, unnest(range(1, len(tokens) + 1)) AS u(place) GROUP BY ALL),
-constant AS (SELECT leaf, place, max_by(token, n) AS token FROM counted GROUP BY leaf, place HAVING 2 * max(n) > sum(n)),
-made AS (SELECT leaf, list(place ORDER BY place) AS places, list(token ORDER BY place) AS fixed FROM constant GROUP BY leaf HAVING 5 * count(*) >= 3 * leaf[1]::INT),
-matched AS (
-  SELECT rid, no, leaf FROM inside JOIN made USING (leaf)
-  WHERE list_transform(places, lambda p: tokens[p]) = fixed),
-general AS (SELECT leaf, min(rid) AS first FROM matched GROUP BY leaf HAVING count(DISTINCT rid) >= 3),
+  SELECT rid, no, tokens AS line FROM tree
+  UNION ALL
+  SELECT rid, no, words FROM cut WHERE 5 * len(list_filter(tokens, lambda x: x != '<*>')) < 3 * len(tokens)),
+same AS (SELECT line, min(rid) AS first FROM lines GROUP BY line HAVING count(DISTINCT rid) >= 2),
+different AS (SELECT leaf, tokens, count(DISTINCT rid) AS n FROM tree GROUP BY leaf, tokens),
+places AS (
+  SELECT leaf, tokens, n, place, tokens[place - 1] AS last, tokens[place] AS token
+  FROM different, unnest(range(4, len(tokens) + 1)) AS u(place)),
+counted AS (SELECT leaf, place, last, token, sum(n) AS n FROM places GROUP BY ALL),
+often AS (SELECT leaf, place, token FROM counted GROUP BY ALL HAVING sum(n) >= 3),
+most AS (SELECT leaf, place, last, max_by(token, n) AS token FROM counted GROUP BY leaf, place, last HAVING 2 * max(n) > sum(n)),
+fixed AS (
+  SELECT tokens, list([place::VARCHAR, token] ORDER BY place) AS fixed
+  FROM places JOIN most USING (leaf, place, last, token) SEMI JOIN often USING (leaf, place, token)
+  WHERE token != '<*>' GROUP BY tokens),
+made AS (
+  SELECT tokens, coalesce(fixed, []) AS fixed FROM different LEFT JOIN fixed USING (tokens)
+  WHERE 5 * (len(list_filter(tokens[1:3], lambda x: x != '<*>')) + coalesce(len(fixed), 0)) >= 3 * len(tokens)),
+matched AS (SELECT rid, no, leaf, fixed FROM tree JOIN made USING (tokens)),
+general AS (SELECT leaf, fixed, min(rid) AS first FROM matched GROUP BY leaf, fixed HAVING count(DISTINCT rid) >= 3),
 gone AS (
-  SELECT rid, no FROM lines JOIN same USING (tokens) WHERE rid != first
+  SELECT rid, no FROM lines JOIN same USING (line) WHERE rid != first
   UNION
-  SELECT rid, no FROM matched JOIN general USING (leaf) WHERE rid != first),
-lost AS (SELECT rid, list(no) AS numbers FROM gone GROUP BY rid)
-SELECT doc_id, len(raw) AS n_lines, coalesce(len(numbers), 0) AS n_dropped,
-       sha256(array_to_string(list_transform(list_filter(range(1, len(raw) + 1), lambda i: NOT coalesce(list_contains(numbers, i), false)), lambda i: raw[i]), chr(10))) AS kept_sha256
-FROM d LEFT JOIN lost USING (rid)
+  SELECT rid, no FROM matched JOIN general USING (leaf, fixed) WHERE rid != first),
+lost AS (SELECT rid, list(no) AS numbers FROM gone GROUP BY rid),
+kept AS (
+  SELECT doc_id, h, raw, numbers,
+         array_to_string(list_transform(list_filter(range(1, len(raw) + 1), lambda i: NOT coalesce(list_contains(numbers, i), false)), lambda i: raw[i]), chr(10)) AS stay
+  FROM d LEFT JOIN lost USING (rid))
+SELECT e.doc_id, len(raw) AS n_lines, coalesce(len(numbers), 0) AS n_dropped, sha256(stay) AS kept_sha256
+FROM every e JOIN kept k ON e.doc_id IS NOT DISTINCT FROM k.doc_id AND e.h = k.h
 """,
 }
