@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WS, fits, staged, text_of
+from .common import WS, fits, spread_join, staged, text_of
 
 #: So many (length, prefix) pairs, of 24 bytes each, may be broadcast.
 BROADCAST_KEYS = 200_000
@@ -35,12 +35,14 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     read = base.select("doc_id", F.length("text").alias("n_chars"), normalised(F.col("text")).alias("norm"))
     keyed = read.select("doc_id", "n_chars", "norm", F.length("norm").alias("n_len"), F.xxhash64(F.left("norm", F.lit(prefix_chars))).alias("p_hash"))
     pairs = staged(keyed.groupBy("n_len", "p_hash").agg(F.count(F.lit(1)).alias("n_pair")).where("n_pair > 1"), "dedup-pairs")
-    full = F.unhex(F.sha2("norm", 256))
+    full, met_twice = F.unhex(F.sha2("norm", 256)), F.col("n_pair").isNotNull()
     if fits(pairs, BROADCAST_KEYS):
         met = keyed.join(F.broadcast(pairs), ["n_len", "p_hash"], "left")
-        met = met.withColumn("full_hash", full if digest_all else F.when(F.col("n_pair").isNotNull(), full))
-    else:  # beyond the bound the hash of every row is taken first, so that the join moves no texts
-        met = keyed.withColumn("full_hash", full).drop("norm").join(pairs, ["n_len", "p_hash"], "left")
+        met = met.withColumn("full_hash", full if digest_all else F.when(met_twice, full))
+    else:  # beyond the bound hashes move instead of texts, so they are taken first
+        met = spread_join(keyed.withColumn("full_hash", full).drop("norm"), pairs.withColumn("rows", F.col("n_pair")), ["n_len", "p_hash"], "rows", "left")
+        if not digest_all:
+            met = met.withColumn("full_hash", F.when(met_twice, F.col("full_hash")))
     rows = met.select(F.monotonically_increasing_id().alias("row"), "doc_id", "n_chars", "full_hash", "n_pair")
     rows = staged(rows.withColumn("fan", F.ceil(F.coalesce("n_pair", F.lit(0)) / ROWS_A_TASK)).drop("n_pair"), "dedup-rows")
 

@@ -52,3 +52,13 @@ def test_same_prefix_other_end(make):
 
 def test_lone_rows_are_not_hashed(make):
     assert [r["full_hash"] for r in op.exact_dedup(make([(1, "alone"), (2, "not the same")])).collect()] == [None, None]
+
+
+def test_all_columns_agree_on_both_sides_of_the_bound(make, edge_rows, monkeypatch):
+    rows = edge_rows + [(50 + i, f"copied {i % 3}") for i in range(200)] + [(300 + i, f"lone {i}") for i in range(9)]
+    for digest_all in (False, True):
+        seen = []
+        for bound in (200_000, 0):
+            monkeypatch.setattr(op, "BROADCAST_KEYS", bound)
+            seen.append(sorted(repr(tuple(r)) for r in op.exact_dedup(make(rows, extra=True), digest_all=digest_all).collect()))
+        assert seen[0] == seen[1]
