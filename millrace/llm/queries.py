@@ -93,7 +93,7 @@ def _secrets_sql() -> str:
       SELECT *, (k - lag(k, 1, -1000000) OVER (PARTITION BY rid, start ORDER BY k) > {c.window})::INT AS fresh FROM (
         SELECT rid, kind, start, k, list_sum(list_transform(map_values(list_histogram(string_split(substr(hit, k + 1, {c.window}), ''))), lambda v: ({c.table})[v::BIGINT + 1])) AS total
         FROM ({_hits_sql(c.kind, c.pattern)}), unnest(range(0, length(hit) - {c.window} + 1)) AS w(k)
-        WHERE {needs} AND NOT regexp_matches(hit, '{secrets.ALLOW}') AND NOT regexp_matches(gap, '{secrets.ALLOW_BEFORE}'))
+        WHERE {needs} AND NOT regexp_matches(gap, '{secrets.ALLOW_BEFORE}'))
       WHERE total <= {c.most}))
   GROUP BY rid, kind, start, island""")
     places = " ".join(f"WHEN '{k}' THEN {i}" for i, k in enumerate(secrets.KINDS))
@@ -106,9 +106,20 @@ base AS (
   WHERE CASE kind WHEN 'assign' THEN length(regexp_extract(hit, '{assign}', 1)) >= {least}
              WHEN 'access' THEN length(hit) >= {secrets.BASE["access"][2]} ELSE length(hit) >= {secrets.BASE["hex"][2]} END),
 added AS ({" UNION ALL ".join(added)}),
+cover AS (
+  SELECT rid, start, stop FROM base UNION ALL
+  SELECT rid, start - {secrets.REACH}, start + length(hit) + {secrets.REACH} FROM ({_hits_sql("allow", secrets.ALLOW)})),
+ends AS (
+  SELECT rid, kind, pos, sum(open) AS open, sum(over) AS over FROM (
+    SELECT rid, kind, unnest([start, stop]) AS pos, unnest([1, -1]) AS open, 0 AS over FROM added UNION ALL
+    SELECT rid, kind, unnest([start, stop]), 0, unnest([1, -1]) FROM cover JOIN (SELECT DISTINCT rid, kind FROM added) USING (rid))
+  GROUP BY rid, kind, pos),
+pieces AS (
+  SELECT rid, kind, pos AS start, lead(pos) OVER w AS stop, sum(open) OVER w AS open, sum(over) OVER w AS over
+  FROM ends WINDOW w AS (PARTITION BY rid, kind ORDER BY pos)),
 every AS (
   SELECT * FROM base UNION ALL
-  SELECT * FROM added a WHERE NOT EXISTS (SELECT 1 FROM base b WHERE a.rid = b.rid AND a.start < b.stop AND b.start < a.stop)),
+  SELECT rid, kind, start, stop FROM pieces WHERE open > 0 AND over = 0 AND stop - start >= {secrets.LEAST_PIECE}),
 spans AS (
   SELECT rid, {counts},
          coalesce(string_agg(concat_ws(':', kind, start, stop), ',' ORDER BY start, CASE kind {places} END) FILTER (WHERE NOT starts_with(kind, 'entropy')), '') AS base,

@@ -3,10 +3,12 @@
 Base spans are matches of three patterns, leftmost and non-overlapping for each kind, without those that are too short. Added
 spans come from candidate strings of a character class: a window moves along each candidate, one count goes down and one goes
 up with each step, and the sum of n * log2(n) over the counts follows from the table of its whole-number values. Windows with
-enough entropy join to spans. Candidates on the allow-list (see ALLOW) and spans that overlap a base span are left out.
+enough entropy join to spans. What base spans cover is cut out of them, and so is what stands within REACH characters of a
+match of the allow-list (see ALLOW); pieces of at least LEAST_PIECE characters stay. Candidates right after a word of
+ALLOW_BEFORE are left out whole.
 
-Null and empty texts have no spans. A candidate that is as long as a text is walked once. Repeated rows give equal rows, ids
-may be null, an empty table gives an empty result, and columns besides id and text are ignored.
+Null and empty texts have no spans. The work for a text grows with its length, whatever it holds. Repeated rows give equal
+rows, ids may be null, an empty table gives an empty result, and columns besides id and text are ignored.
 """
 
 from __future__ import annotations
@@ -58,16 +60,50 @@ class EntropyClass:
 CLASSES = (
     EntropyClass("entropy_hex", "[0-9A-Fa-f]", "0123456789ABCDEFabcdef", ("[0-9]", "[A-Fa-f]"), 20, 3.0),
     EntropyClass("entropy_base64", "[A-Za-z0-9+/_-]", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-", ("[0-9]", "[A-Z]", "[a-z]"), 24, 4.0),
+    EntropyClass("entropy_lower", "[0-9a-z]", "0123456789abcdefghijklmnopqrstuvwxyz", ("[0-9]", "[a-z]"), 24, 3.6),
+    EntropyClass("entropy_upper", "[0-9A-Z]", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ", ("[0-9]", "[A-Z]"), 24, 3.6),
 )
-#: Candidates that are no secrets: UUIDs, alphabets in order, placeholders.
-ALLOW = r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$|0123456789|(?:abcdefghij|ABCDEFGHIJ)|(?:example|EXAMPLE|placeholder|PLACEHOLDER|dummy|DUMMY|xxxx|XXXX)"
+#: What is no secret, and how far it speaks for the characters around it: UUIDs, alphabets in order, placeholders.
+ALLOW = r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}|0123456789|abcdefghij|ABCDEFGHIJ|example|EXAMPLE|placeholder|PLACEHOLDER|dummy|DUMMY|xxxx+|XXXX+"
+REACH, LEAST_PIECE = 24, 8
 #: Words right before a candidate that name it a digest of public data.
 ALLOW_BEFORE = r"(?:sha1|sha256|sha384|sha512|md5|integrity|checksum|commit)[:= -]{1,3}$"
 
+#: Strings that a base span covers whole, so that no added span is left.
+ALL_BASE = f"^[0-9a-f]{{{BASE['hex'][2]},}}$"
+
 SPAN = "array<struct<start:int,place:int,end:int,kind:string>>"
 KINDS = [*BASE, *(c.kind for c in CLASSES)]
 
 
+#: Steps of one fold at most. Spark copies a fold's state at each step, so long arrays are folded in blocks.
+BLOCK = 128
+
+
+def _let(value: Column, then) -> Column:
+    """then(value), with value made once."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
+def _ints() -> Column:
+    return F.array().cast("array<int>")
+
+
+def _running(values: Column) -> Column:
+    """The sums up to each of the whole numbers, itself included."""
+
+    def fold(items: Column, size) -> Column:
+        """For each item, the sum of the sizes before it, and at last that of all."""
+        zero = F.struct(F.lit(0).alias("at"), _ints().alias("all"))
+        return F.aggregate(items, zero, lambda acc, x: F.struct((acc["at"] + size(x)).alias("at"), F.concat(acc["all"], F.array(acc["at"])).alias("all")), lambda acc: F.concat(acc["all"], F.array(acc["at"])))
+
+    def of(v: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.size(v) - 1, F.lit(BLOCK)), lambda b: F.slice(fold(F.slice(v, b + 1, BLOCK), lambda x: x), 2, BLOCK))
+        return _let(blocks, lambda local: F.flatten(F.zip_with(local, F.slice(fold(local, lambda x: F.element_at(x, -1)), 1, F.size(local)), lambda x, o: F.transform(x, lambda y: y + o))))
+
+    return _let(values, lambda v: F.when(F.size(v) > 0, of(v)).otherwise(_ints()))
+
+
 def _pieces(text: Column, pattern: str, of) -> Column:
     """What `of` makes of (match, text before it since the last match, start), for each match of the pattern, in order.
 
@@ -75,18 +111,17 @@ def _pieces(text: Column, pattern: str, of) -> Column:
     """
     found = F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hit"), F.split(text, pattern, -1).alias("gap"))
     found = F.filter(found, lambda x: x["hit"].isNotNull())
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<hit:string,gap:string,start:int>>").alias("all"))
 
-    def step(acc: Column, x: Column) -> Column:
-        here = acc["at"] + F.length(x["gap"])
-        one = F.struct(x["hit"].alias("hit"), x["gap"].alias("gap"), here.alias("start"))
-        return F.struct((here + F.length(x["hit"])).alias("at"), F.concat(acc["all"], F.array(one)).alias("all"))
+    def placed(all_: Column) -> Column:
+        upto = _running(F.transform(all_, lambda x: F.length(x["gap"]) + F.length(x["hit"])))
+        return F.zip_with(all_, upto, lambda x, end: F.struct(x["hit"].alias("hit"), x["gap"].alias("gap"), (end - F.length(x["hit"])).alias("start")))
 
-    return F.transform(F.aggregate(found, start, step, lambda acc: acc["all"]), of)
+    return F.transform(_let(found, placed), of)
 
 
 def _span(kind: str, start: Column, end: Column) -> Column:
-    return F.struct(start.cast("int").alias("start"), F.lit(KINDS.index(kind)).alias("place"), end.cast("int").alias("end"), F.lit(kind).alias("kind"))
+    place = KINDS.index(kind) if kind in KINDS else len(KINDS)
+    return F.struct(start.cast("int").alias("start"), F.lit(place).alias("place"), end.cast("int").alias("end"), F.lit(kind).alias("kind"))
 
 
 def base_spans(text: Column, kind: str) -> Column:
@@ -97,56 +132,124 @@ def base_spans(text: Column, kind: str) -> Column:
     return F.when(text.rlike(whole), kept).otherwise(F.array().cast(SPAN))
 
 
+#: Counts stand in long numbers, so many in one, of so many bits each: a window has fewer characters than 2 ** COUNT_BITS.
+COUNTS, COUNT_BITS = 12, 5
+
+
+def _codes(hit: Column, c: EntropyClass) -> Column:
+    """For each character of hit, where its count stands."""
+
+    def place(code: int) -> Column:
+        word, bit = divmod(code, COUNTS)
+        return F.struct(F.lit(code).alias("code"), F.lit(word).alias("word"), F.lit(bit * COUNT_BITS).alias("bit"), F.lit(1 << bit * COUNT_BITS).cast("long").alias("one"))
+
+    places = F.array(*[place(k) for k in range(len(c.alphabet))])
+    chars = F.filter(F.split(hit, ""), lambda ch: ch != "")
+    return F.transform(chars, lambda ch: F.element_at(places, F.instr(F.lit(c.alphabet), ch)))
+
+
+def _entropy_windows(hit: Column, c: EntropyClass) -> Column:
+    """(a, b) of the joined windows of hit whose entropy is at least c.bits.
+
+    The window begins anew with each block of places, so that no fold is longer than a block and a window.
+    """
+    values, w = c.table, c.window
+    step_of = F.array(*[F.lit(b - a) for a, b in zip(values, values[1:])])  # what the sum gains with the n-th equal character
+    nothing = F.struct(F.lit(-1).alias("code"), F.lit(-1).alias("word"), F.lit(0).alias("bit"), F.lit(0).cast("long").alias("one"))
+    zero = F.struct(F.array_repeat(F.lit(0).cast("long"), -(-len(c.alphabet) // COUNTS)).alias("n"), F.lit(0).alias("sum"), F.lit(0).alias("at"), _ints().alias("starts"))
+
+    def count(acc: Column, place: Column) -> Column:
+        word = F.call_function("shiftright", F.element_at(acc["n"], place["word"] + 1), place["bit"])
+        return word.bitwiseAND(F.lit((1 << COUNT_BITS) - 1).cast("long")).cast("int")
+
+    def ended(acc: Column) -> Column:
+        """The starts with that of the window that ends at acc.at, if it has the entropy."""
+        return F.when((acc["at"] < w) | (acc["sum"] > c.most), acc["starts"]).otherwise(F.concat(acc["starts"], F.array(acc["at"] - w)))
+
+    def step(acc: Column, m: Column) -> Column:
+        come, go = m["come"], m["go"]
+        gone = F.when(go["word"] >= 0, F.element_at(step_of, count(acc, go))).otherwise(0)
+        here = F.element_at(step_of, count(acc, come) + F.when(come["code"] == go["code"], 0).otherwise(1))
+        counts = F.transform(acc["n"], lambda v, i: v + F.when(i == come["word"], come["one"]).otherwise(0) - F.when(i == go["word"], go["one"]).otherwise(0))
+        return F.struct(counts.alias("n"), (acc["sum"] - gone + here).alias("sum"), (acc["at"] + 1).alias("at"), ended(acc).alias("starts"))
+
+    def block(codes: Column) -> Column:
+        moves = F.zip_with(codes, F.slice(F.concat(F.array_repeat(nothing, w), codes), 1, F.size(codes)), lambda i, o: F.struct(i.alias("come"), o.alias("go")))
+        return F.aggregate(moves, zero, step, ended)
+
+    def starts(codes: Column) -> Column:
+        each = F.transform(F.sequence(F.lit(0), F.size(codes) - w, F.lit(BLOCK)), lambda b: F.transform(_let(F.slice(codes, b + 1, BLOCK + w - 1), block), lambda x: x + b))
+        return F.flatten(each)
+
+    def joined_windows(x: Column) -> Column:
+        begins = F.filter(x, lambda s, i: (i == 0) | (s - F.get(x, i - 1) > w))
+        lasts = F.filter(x, lambda s, i: (i == F.size(x) - 1) | (F.get(x, i + 1) - s > w))
+        return F.zip_with(begins, lasts, lambda a, z: F.struct(a.alias("a"), (z + w).alias("b")))
+
+    some = F.size(F.array_distinct(F.split(hit, ""))) >= math.ceil(2**c.bits)  # fewer kinds can't reach the entropy
+    return F.when(some, _let(_let(_codes(hit, c), starts), joined_windows)).otherwise(F.array())
+
+
 def entropy_spans(text: Column, c: EntropyClass) -> Column:
     """Joined windows of the candidates of a class whose entropy is at least c.bits."""
-    table = F.array(*[F.lit(v) for v in c.table])
-
-    def value(n: Column) -> Column:
-        return F.element_at(table, n + 1)
-
-    def walk(hit: Column, start: Column) -> Column:
-        chars = F.filter(F.split(hit, ""), lambda ch: ch != "")
-        codes = F.transform(chars, lambda ch: F.instr(F.lit(c.alphabet), ch))
-        codes = F.when(F.size(F.array_distinct(chars)) >= math.ceil(2**c.bits), codes).otherwise(F.array().cast("array<int>"))  # fewer kinds can't reach the entropy
-        moves = F.zip_with(codes, F.concat(F.array_repeat(F.lit(0), c.window), codes), lambda i, o: F.struct(i.alias("come"), o.alias("go")))
-        moves = F.filter(moves, lambda m: m["come"].isNotNull())
-        zero = F.struct(F.array_repeat(F.lit(0), len(c.alphabet)).alias("n"), F.lit(0).alias("sum"), F.lit(0).alias("at"), F.array().cast("array<struct<a:int,b:int>>").alias("all"))
-
-        def step(acc: Column, m: Column) -> Column:
-            come, go = m["come"], m["go"]
-            leaving = F.when(go > 0, F.element_at(acc["n"], F.greatest(go, F.lit(1)))).otherwise(1)  # a count that goes down by one
-            staying = F.element_at(acc["n"], come) - F.when(go == come, 1).otherwise(0)
-            total = acc["sum"] - F.when(go > 0, value(leaving) - value(leaving - 1)).otherwise(0) + value(staying + 1) - value(staying)
-            counts = F.transform(acc["n"], lambda v, i: v + F.when(i + 1 == come, 1).otherwise(0) - F.when(i + 1 == go, 1).otherwise(0))
-            at, spans = acc["at"] + 1, acc["all"]
-            first, size = at - c.window, F.size(spans)
-            last = F.element_at(spans, F.greatest(size, F.lit(1)))
-            grown = F.concat(F.slice(spans, 1, F.greatest(size - 1, F.lit(0))), F.array(F.struct(last["a"].alias("a"), at.alias("b"))))
-            more = F.concat(spans, F.array(F.struct(first.alias("a"), at.alias("b"))))
-            spans = F.when((first < 0) | (total > c.most), spans).when((size > 0) & (F.try_element_at(spans, F.greatest(size, F.lit(1)))["b"] >= first), grown).otherwise(more)
-            return F.struct(counts.alias("n"), total.alias("sum"), at.alias("at"), spans.alias("all"))
-
-        spans = F.aggregate(moves, zero, step, lambda acc: acc["all"])
-        return F.transform(spans, lambda s: _span(c.kind, start + s["a"], start + s["b"]))
 
     def one(m: Column) -> Column:
-        allowed = m["hit"].rlike(ALLOW) | m["gap"].rlike(ALLOW_BEFORE)
-        candidate = reduce(lambda x, y: x & y, [m["hit"].rlike(n) for n in c.needs])
-        return F.when(candidate & ~allowed, walk(m["hit"], m["start"])).otherwise(F.array().cast(SPAN))
+        candidate = reduce(lambda x, y: x & y, [m["hit"].rlike(n) for n in c.needs]) & ~m["hit"].rlike(ALL_BASE)
+        spans = F.transform(_entropy_windows(m["hit"], c), lambda s: _span(c.kind, m["start"] + s["a"], m["start"] + s["b"]))
+        return F.when(candidate & ~m["gap"].rlike(ALLOW_BEFORE), spans).otherwise(F.array().cast(SPAN))
 
     return F.when(text.rlike(c.pattern), F.flatten(_pieces(text, c.pattern, one))).otherwise(F.array().cast(SPAN))
 
 
+def allowed_spans(text: Column) -> Column:
+    """What matches of the allow-list cover, REACH characters before and after them included."""
+    reach = _pieces(text, ALLOW, lambda m: _span("allow", m["start"] - REACH, m["start"] + F.length(m["hit"]) + REACH))
+    return F.when(text.rlike(ALLOW), reach).otherwise(F.array().cast(SPAN))
+
+
+def uncovered(spans: Column, cover: Column, least: int = LEAST_PIECE) -> Column:
+    """Begins and ends (a, b) of what of the spans, which don't meet each other, no span of cover meets, of at least `least`
+    characters.
+
+    Where nothing but spans is open follows from the sums of begins and ends in order.
+    """
+
+    def both(s: Column, opens: int, covers: int) -> Column:
+        return F.array(*[F.struct(s[c].alias("pos"), F.lit(sign * opens).alias("open"), F.lit(sign * covers).alias("over")) for c, sign in (("start", 1), ("end", -1))])
+
+    def free(events: Column) -> Column:
+        inside = F.zip_with(_running(F.transform(events, lambda e: e["open"])), _running(F.transform(events, lambda e: e["over"])), lambda o, v: (o > 0) & (v == 0))
+        return F.zip_with(events, inside, lambda e, f: F.struct(e["pos"].alias("pos"), f.alias("free")))
+
+    def pieces(x: Column) -> Column:
+        each = F.transform(x, lambda e, i: F.struct(e["pos"].alias("a"), F.get(x, i + 1)["pos"].alias("b"), e["free"].alias("free")))
+        return F.transform(F.filter(each, lambda e: e["free"] & (e["b"] - e["a"] >= least)), lambda e: F.struct(e["a"].alias("a"), e["b"].alias("b")))
+
+    events = F.sort_array(F.concat(F.flatten(F.transform(spans, lambda s: both(s, 1, 0))), F.flatten(F.transform(cover, lambda s: both(s, 0, 1)))))
+    alone = F.transform(spans, lambda s: F.struct(s["start"].alias("a"), s["end"].alias("b")))
+    return F.when((F.size(spans) == 0) | (F.size(cover) == 0), alone).otherwise(_let(_let(events, free), pieces))
+
+
 def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, base and spans of each row: arrays of (start, place, end, kind) in order of start, then kind as listed.
 
     Starts and ends are in code points, ends exclusive. base has the patterns' spans, spans has all.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
-    rows = rows.select("doc_id", "text", F.array_sort(F.concat(*[base_spans(F.col("text"), k) for k in BASE])).alias("base"))
-    added = F.concat(*[entropy_spans(F.col("text"), c) for c in CLASSES])
-    added = F.filter(added, lambda a: ~F.exists(F.col("base"), lambda b: (a["start"] < b["end"]) & (b["start"] < a["end"])))
-    return rows.select("doc_id", "base", F.array_sort(F.concat("base", added)).alias("spans"))
+    found = _found(docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text")))
+    return found.select("doc_id", "base", F.sort_array(F.concat("base", "added")).alias("spans"))
+
+
+def _found(rows: DataFrame) -> DataFrame:
+    """doc_id, text, base and added spans of rows of doc_id and text."""
+    text = F.col("text")
+    rows = rows.select("doc_id", "text", F.sort_array(F.concat(*[base_spans(text, k) for k in BASE])).alias("base"), *[entropy_spans(text, c).alias(c.kind) for c in CLASSES])
+    some = reduce(lambda x, y: x | y, [F.size(c.kind) > 0 for c in CLASSES])
+    rows = rows.withColumn("cover", F.when(some, F.concat("base", allowed_spans(text))).otherwise(F.array().cast(SPAN)))
+    return rows.select("doc_id", "text", "base", F.concat(*[_added(c.kind) for c in CLASSES]).alias("added"))
+
+
+def _added(kind: str) -> Column:
+    return F.transform(uncovered(F.col(kind), F.col("cover")), lambda x: _span(kind, x["a"], x["b"]))
 
 
 def joined(spans: Column) -> Column:
@@ -156,14 +259,10 @@ def joined(spans: Column) -> Column:
 
 def redact(docs: DataFrame, mask: str = "[SECRET]", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and the text with each run of overlapping spans replaced by mask."""
-    kept = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
-    spans = F.array_sort(F.concat(*[base_spans(F.col("text"), k) for k in BASE], *[entropy_spans(F.col("text"), c) for c in CLASSES]))
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(acc: Column, s: Column) -> Column:
-        fresh = F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"]), F.lit(mask))
-        out = F.when(s["start"] >= acc["at"], fresh).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), out.alias("out"))
-
-    cleaned = F.aggregate(spans, zero, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length(F.col("text")))))
-    return kept.select("doc_id", cleaned.alias("text"))
+    found = _found(docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))).withColumn("spans", F.sort_array(F.concat("base", "added")))
+    whole = F.struct(F.lit(0).alias("start"), F.length("text").alias("end"))
+    found = found.withColumn("stay", uncovered(F.array(whole), F.col("spans"), 1))
+    parts = F.transform("stay", lambda x: F.substring(F.col("text"), x["a"] + 1, x["b"] - x["a"]))
+    first, last = F.coalesce(F.get("stay", F.lit(0))["a"], F.lit(1)) > 0, F.try_element_at("stay", F.lit(-1))["b"] < F.length("text")
+    cleaned = F.concat(F.when(first, mask).otherwise(""), F.array_join(parts, mask), F.when(last, mask).otherwise(""))
+    return found.select("doc_id", F.when(F.size("spans") == 0, F.col("text")).otherwise(cleaned).alias("text"))
