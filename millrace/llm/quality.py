@@ -1,12 +1,13 @@
 """Quality classifier: ridge regression on random Fourier features of document statistics, then isotonic calibration.
 
-Each text is read once for a few statistics. They are scaled by the training rows' mean and deviation; random Fourier
-features approximate a Gaussian kernel over them. The normal equations are sums over rows, so each partition adds up its own
-and the driver adds a bounded number of such sums. Ridge scores of training rows that took no part in them give the isotonic
-curve from score to chance.
-
-Labels come from a hash sample of at most about MAX_TRAIN labelled rows outside the held-out fold; statistics and scores cover
-all documents. Null texts count as empty, and empty texts get a score as any other. Documents with a null id are never held
+A few statistics of each text are scaled by the training rows' mean and deviation; random Fourier features approximate a
+Gaussian kernel over them. The normal equations are sums over rows, so each partition adds up its own and the driver adds a
+bounded number of such sums. Ridge scores of training rows that took no part in them give the isotonic curve from score to
+chance.
+
+Labels come from a hash sample of at most about MAX_TRAIN labelled rows outside the held-out fold; the model reads the texts of
+these alone. Then each document is read once, for its statistics and score. Training rows are added up in order of id, so
+reruns agree to the last bit. Null texts count as empty, and empty texts get a score as any other. Documents with a null id are never held
 out. Repeated rows get equal scores. Without labels of both kinds every score is the share of label 1, or 0.5 without any.
 """
 
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, staged, text_of
+from .common import map_arrow, staged
 from .learning import held_out, isotonic, training_labels
 
 #: Labelled rows that fit and calibrate the model, at most (about).
@@ -59,16 +60,17 @@ def statistics(text: str) -> list[float]:
     return [np.log1p(n), *counts.tolist(), lengths.mean(), lengths.std(), len(kinds) / n, top, same, spread / np.log(n + 1), upper, signs, len(set(lines)) / len(lines), min(stop, 1.0)]
 
 
-def document_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and stats of each row, written once to the shared folder."""
+def document_statistics(rows: DataFrame) -> DataFrame:
+    """The columns of rows, with stats in place of text (null as empty)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            stats = [statistics(t.as_py()) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(stats, pa.list_(pa.float32()))], ["doc_id", "stats"])
+            stats = pa.array([statistics(t.as_py() or "") for t in batch.column("text")], pa.list_(pa.float32()))
+            names = [c for c in batch.schema.names if c != "text"]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], stats], [*names, "stats"])
 
-    base = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
-    return staged(map_arrow(base, run, f"doc_id {base.schema['doc_id'].dataType.simpleString()}, stats array<float>"), "quality-stats")
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name != "text")
+    return map_arrow(rows, run, f"{kinds}, stats array<float>")
 
 
 class Model:
@@ -120,9 +122,12 @@ def _sums(rows: DataFrame, of) -> np.ndarray | None:
     return total
 
 
-def fit(stats: DataFrame, labels: DataFrame, label_col: str, folds: int, fold: int, id_col: str = "doc_id") -> Model:
+def fit(docs: DataFrame, labels: DataFrame, label_col: str, folds: int, fold: int, id_col: str = "doc_id", text_col: str = "text") -> Model:
+    """The model, from the labelled rows of docs alone."""
     chosen = training_labels(labels, label_col, folds, fold, MAX_TRAIN, id_col)
-    rows = staged(stats.join(chosen, "doc_id").repartition(TRAIN_PARTS, "doc_id"), "quality-train")
+    base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    rows = document_statistics(base.join(F.broadcast(chosen), "doc_id"))  # chosen has about MAX_TRAIN rows at most
+    rows = staged(rows.repartition(TRAIN_PARTS, "doc_id").sortWithinPartitions("doc_id", "stats"), "quality-train")
     ones = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     model = Model(ones.get(1, 0) / sum(ones.values()) if ones else 0.5)
     fitting, calibration = rows.where("part < 75"), rows.where("part >= 75")
@@ -152,30 +157,29 @@ def fit(stats: DataFrame, labels: DataFrame, label_col: str, folds: int, fold: i
     return model
 
 
-def score(stats: DataFrame, model: Model, folds: int, fold: int, threshold: float) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, label_col: str = "quality", folds: int = 3, fold: int = 1, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, held_out, score, predicted of each row of docs."""
+    model = fit(docs, labels, label_col, folds, fold, id_col, text_col)
+    base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(model.score(_matrix(batch)))], ["doc_id", "score"])
+                scores = model.score(np.array([statistics(t.as_py() or "") for t in batch.column("text")], dtype=np.float32))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores)], ["doc_id", "score"])
 
-    scored = map_arrow(stats, run, f"doc_id {stats.schema['doc_id'].dataType.simpleString()}, score double")
+    scored = map_arrow(base, run, f"doc_id {base.schema['doc_id'].dataType.simpleString()}, score double")
     return scored.select("doc_id", held_out(F.col("doc_id"), folds, fold).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
-def classify(docs: DataFrame, labels: DataFrame, label_col: str = "quality", folds: int = 3, fold: int = 1, threshold: float = 0.5) -> DataFrame:
-    """doc_id, held_out, score, predicted of each row of docs."""
-    stats = document_statistics(docs)
-    return score(stats, fit(stats, labels, label_col, folds, fold), folds, fold, threshold)
-
-
 def keep_good(docs: DataFrame, labels: DataFrame, label_col: str = "quality", folds: int = 3, fold: int = 1, threshold: float = 0.5) -> DataFrame:
     """The rows of docs that are not rejected. Texts are scored where they are, so no text is moved."""
-    model = fit(document_statistics(docs), labels, label_col, folds, fold)
+    model = fit(docs, labels, label_col, folds, fold)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                good = model.score(np.array([statistics(t.as_py() or "") for t in batch.column("text")])) >= threshold
+                good = model.score(np.array([statistics(t.as_py() or "") for t in batch.column("text")], dtype=np.float32)) >= threshold
                 yield batch.filter(pa.array(good))
 
     return map_arrow(docs, run, docs.schema)

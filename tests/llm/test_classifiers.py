@@ -114,6 +114,26 @@ def test_good_rows_stay(spark, make, good_and_bad):
     assert out.columns == docs.columns and {r["doc_id"] for r in out.collect()} == kept
 
 
+def test_ridge_against_a_dense_solve(spark, make, good_and_bad):
+    """The model's weights are those of a ridge regression on the features of all fitting rows at once; reruns agree."""
+    docs, labels = frames(spark, make, good_and_bad)
+    model = quality.fit(docs, labels, "quality", 3, 1)
+    text = dict(good_and_bad[0])
+    rows = sorted(learning.training_labels(labels, "quality", 3, 1, quality.MAX_TRAIN).where("part < 75").collect())
+    stats = np.array([quality.statistics(text[r["doc_id"]]) for r in rows], dtype=np.float32).astype(np.float64)
+    assert np.allclose(model.mean, stats.mean(0)) and np.allclose(model.deviation, np.sqrt(np.maximum(stats.var(0), 1e-6)), rtol=1e-3)
+    a, y = model.features(stats), np.array([r["label"] for r in rows], dtype=np.float64)
+    k = a.shape[1]
+    dense = np.linalg.lstsq(np.vstack([a, np.sqrt(quality.RIDGE) * np.eye(k)]), np.concatenate([y, np.zeros(k)]), rcond=None)[0]
+    assert np.allclose(a @ model.weights, a @ dense, atol=1e-6)
+    rbf = model.features(stats[:40])[:, : quality.FEATURES]
+    z = np.clip((stats[:40] - model.mean) / model.deviation, -6, 6)
+    kernel = np.exp(-((z[:, None] - z) ** 2).sum(2) / (2 * z.shape[1]))
+    assert np.abs(rbf @ rbf.T - kernel).max() < 0.3 and np.abs(rbf @ rbf.T - kernel).mean() < 0.08
+    again = quality.fit(docs.repartition(5), labels, "quality", 3, 1)
+    assert np.array_equal(model.weights, again.weights) and np.array_equal(model.chances, again.chances)
+
+
 def test_isotonic_fit():
     fit = learning.pool_adjacent_violators(np.array([1.0, 0.0, 2.0, 1.5, 3.0]), np.ones(5))
     assert fit.tolist() == [0.5, 0.5, 1.75, 1.75, 3.0]
