@@ -1,6 +1,6 @@
 """Mixing sources to target weights by weighted fair queueing. Native DataFrame code.
 
-Each source's documents are shuffled by a hash of their id. A document's virtual finish time is the number of its source's
+Each source's documents are shuffled by a hash of their id and text. A document's virtual finish time is the number of its source's
 words up to and with it, passes before this one included, over the source's target. The finish times of all sources are
 sorted by range, and the mix ends where the words taken reach the budget.
 
@@ -8,7 +8,7 @@ Targets share the words of all sources by weight (1, 2, 3, repeating, over sourc
 above max_passes times its source, and what is over goes to the others by weight.
 
 Null texts and texts without words have size 0 and are never taken. A source without words has target 0. Repeated rows are
-separate documents. An empty table gives an empty result. Columns besides id, text and source are ignored.
+separate documents, in any order, as nothing tells them apart; only rows equal in id and text stand in one run of the queue. An empty table gives an empty result. Columns besides id, text and source are ignored.
 """
 
 from __future__ import annotations
@@ -20,15 +20,17 @@ from .common import WS, staged, text_of
 
 #: Rows of one shuffled run of a source; a source is cut into as many runs as it needs.
 RUN_ROWS = 4_000
+#: Entries of which the end of the mix is found in one task; more are cut by range again.
+END_ROWS = 1_000_000
 
 
 def n_words(text: Column) -> Column:
     return F.regexp_count(text, F.lit(f"[^{WS}]+")).cast("long")
 
 
-def shuffle_key(id_col: Column, seed: str) -> Column:
+def shuffle_key(id_col: Column, text: Column, seed: str) -> Column:
     """60 bits that order a source's documents."""
-    hexed = F.sha2(F.concat(F.lit(f"{seed}:"), F.coalesce(id_col.cast("string"), F.lit(""))), 256)
+    hexed = F.sha2(F.concat(F.lit(f"{seed}:"), F.coalesce(id_col.cast("string"), F.lit("")), F.lit(":"), F.md5(text)), 256)
     return F.conv(F.substring(hexed, 1, 15), 16, 10).cast("long")
 
 
@@ -61,8 +63,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     keep: more columns to carry along, by name.
     """
     keep = keep or {}
-    sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(text_of(text_col)).alias("size"), *[c.alias(k) for k, c in keep.items()])
-    sized = staged(sized.withColumn("key", shuffle_key(F.col("doc_id"), seed)), "mix-sizes")
+    key = shuffle_key(F.col(id_col), text_of(text_col), seed)
+    sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(text_of(text_col)).alias("size"), key.alias("key"), *[c.alias(k) for k, c in keep.items()])
+    sized = staged(sized, "mix-sizes")
     sources = staged(source_targets(sized, weights, max_passes), "mix-sources")  # its size on disk decides how it is joined
 
     known = sized.join(sources.withColumnRenamed("source", "s_source"), F.col("source").eqNullSafe(F.col("s_source")))
@@ -71,7 +74,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     runs = known.groupBy("rank", "run").agg(F.sum("size").alias("run_size"))
     earlier = Window.partitionBy("rank").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
     runs = runs.select("rank", "run", F.coalesce(F.sum("run_size").over(earlier), F.lit(0)).alias("run_start"))
-    within = Window.partitionBy("rank", "run").orderBy("key", F.col("doc_id").asc_nulls_first(), "size").rowsBetween(Window.unboundedPreceding, 0)
+    within = Window.partitionBy("rank", "run").orderBy("key", F.col("doc_id").asc_nulls_first(), "size", *keep).rowsBetween(Window.unboundedPreceding, 0)
     queued = known.join(runs, ["rank", "run"]).withColumn("served", F.col("run_start") + F.sum("size").over(within))
     queued = staged(queued.select("doc_id", "rank", "size", "source_size", "target", "served", *keep), "mix-queue")
 
@@ -97,7 +100,8 @@ def _finish(p: Column) -> Column:
 def _end_of_mix(queued: DataFrame, sources: DataFrame, max_passes: int) -> dict | None:
     """The last entry of the range-sorted finish times that the budget holds.
 
-    Only sums of the sort's ranges come to the driver, one for each partition, and then one row of one range.
+    Only sums of the sort's ranges come to the driver, one for each partition, and one row of one range. A range of over END_ROWS
+    entries is cut by range again.
     """
     budget = sources.agg(F.sum("source_size")).first()[0]
     if not budget:
@@ -107,23 +111,31 @@ def _end_of_mix(queued: DataFrame, sources: DataFrame, max_passes: int) -> dict
     order = ["finish", "rank", "pass", "served"]
     entries = entries.where(_begins(F.col("pass"))).withColumn("finish", _finish(F.col("pass")))
     ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8)
-    entries = entries.select(*order, "size").repartitionByRange(ranges, *order)
-    entries = staged(entries.withColumn("range", F.spark_partition_id()), "mix-ranges")
-    before = 0
-    totals = {r["range"]: r["n"] for r in entries.groupBy("range").agg(F.sum("size").alias("n")).collect()}
-    for part in sorted(totals):
-        if before + totals[part] > budget:
+    entries, before, earlier = entries.select(*order, "size"), 0, None
+    while True:
+        ranged = staged(entries.repartitionByRange(ranges, *order).withColumn("range", F.spark_partition_id()), "mix-ranges")
+        totals = {r["range"]: (r["n"], r["rows"]) for r in ranged.groupBy("range").agg(F.sum("size").alias("n"), F.count(F.lit(1)).alias("rows")).collect()}
+        crossing = None
+        for part in sorted(totals):
+            if before + totals[part][0] > budget:
+                crossing = part
+                break
+            before += totals[part][0]
+        if crossing is None:
+            return _last(ranged, order)
+        # the range that crosses the budget; where it holds nothing, the end is the last entry before it
+        inside = ranged.where(F.col("range") == crossing).drop("range")
+        earlier = _last(ranged.where(F.col("range") < crossing), order) or earlier
+        if totals[crossing][1] <= END_ROWS or len(totals) == 1:
             break
-        before += totals[part]
-    else:
-        part = max(totals)
-        before -= totals[part]
-    # the range that crosses the budget; where it holds nothing, the end is the last entry before it
-    running = entries.where(F.col("range") == part).withColumn("upto", F.sum("size").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
-    row = running.where(F.col("upto") <= budget - before).agg(F.max(F.struct(*order)).alias("end")).first()["end"]
-    if row is None:
-        row = entries.where(F.col("range") < part).agg(F.max(F.struct(*order)).alias("end")).first()["end"]
-    return row.asDict() if row is not None else None
+        entries = inside
+    running = inside.withColumn("upto", F.sum("size").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
+    return _last(running.where(F.col("upto") <= budget - before), order) or earlier
+
+
+def _last(entries: DataFrame, order: list[str]) -> dict | None:
+    row = entries.agg(F.max(F.struct(*order)).alias("end")).first()["end"]
+    return None if row is None else row.asDict()
 
 
 def repeat_documents(docs: DataFrame, **options) -> DataFrame:

@@ -55,6 +55,22 @@ def test_runs_of_a_source(make, rows, monkeypatch):
     assert sorted(map(tuple, op.mix(make(rows)).collect())) == want
 
 
+def test_the_end_is_found_by_cutting_again(make, rows, monkeypatch):
+    want = sorted(map(tuple, op.mix(make(rows)).collect()))
+    monkeypatch.setattr(op, "END_ROWS", 5)
+    assert sorted(map(tuple, op.mix(make(rows)).collect())) == want
+
+
+def test_rows_of_one_id(make, prose, spark):
+    """Other texts of one id, or of none, are spread over the queue and taken alike in reruns."""
+    rows = [(None if i % 2 else 5, prose(6, i), "ab"[i % 3 == 0]) for i in range(90)]
+    docs = make(rows)
+    first = sorted(r["text"] for r in op.repeat_documents(docs).collect())
+    assert first == sorted(r["text"] for r in op.repeat_documents(docs.repartition(7)).collect())
+    keys = docs.select(op.shuffle_key(docs["doc_id"], docs["text"], "mix").alias("key"))
+    assert keys.distinct().count() == 90
+
+
 def test_edges(make, edge_rows):
     got = op.mix(make(edge_rows)).collect()
     assert len(got) == len(edge_rows)
