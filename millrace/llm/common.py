@@ -84,10 +84,10 @@ def spread_join(rows: DataFrame, known: DataFrame, keys: list[str], weight: str,
     known is staged, has one row for each key and, in `weight`, the number of rows with that key. Hot keys, of which there
     can be HOT_KEYS at most, are broadcast, so their rows stay where they are; the rest is joined as Spark sees fit.
     """
-    total = known.agg(F.sum(weight)).first()[0] or 0
+    total, most = (x or 0 for x in known.agg(F.sum(weight), F.max(weight)).first())
     limit = max(FEW_ROWS, total // HOT_KEYS)
     hot = known.where(F.col(weight) > limit).drop(weight)
-    if not hot.take(1):
+    if most <= limit:
         return rows.join(known.drop(weight), keys, how)
     near = rows.join(F.broadcast(hot), keys, "left_semi" if how == "left_semi" else "inner")
     far = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti")

@@ -7,7 +7,9 @@ dealt by hash and sorted, and each run of equal variants is verified. Equal fing
 
 In a run of up to SMALL_RUN fingerprints all pairs are verified, and a pair is told by one of the variants that it shares. In
 a longer one each fingerprint is compared with those that nothing has reached yet, so a dense group costs little and gives a
-spanning tree, no pairs: it keeps all that the components need.
+spanning tree, no pairs: it keeps all that the components need. A run of over LONG_RUN, where most are unrelated, is cut by
+LINK_BITS + 1 pieces of the bits in turn: two that link agree in one of them, so only runs of equal pieces are compared, and
+the trees of all pieces are made into one. A run holds 8 bytes for each different fingerprint, in one task.
 
 Null texts count as empty. Texts without words have fingerprint zero and link as any other. Null ids are never the smallest;
 a group of null ids alone has a null component. Repeated rows get equal results. An empty table gives an empty result.
@@ -23,13 +25,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, staged, text_of
-from .components import components
+from .common import map_arrow, spread_join, staged, text_of
+from .components import components, forest
 
 BITS, SEED, LINK_BITS = 64, 42, 4
 #: (first bit, bits) of the segments.
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
-SMALL_RUN = 32
+SMALL_RUN, LONG_RUN = 32, 4_096
 #: Shingles whose bits are counted at once.
 BLOCK = 1 << 16
 
@@ -121,6 +123,27 @@ def _tree_of_long_run(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(a), np.concatenate(b)) if a else (fp[:0], fp[:0])
 
 
+def _tree_of_run(fp: np.ndarray, bits: tuple[int, ...] = tuple(range(BITS))) -> tuple[np.ndarray, np.ndarray]:
+    """_tree_of_long_run, of runs of any length; bits: those in which the fingerprints may differ."""
+    bits = tuple(b for b in bits if (fp[0] ^ fp).any() and ((fp ^ fp[0]) >> np.uint64(b) & np.uint64(1)).any())
+    if len(fp) <= LONG_RUN or len(bits) <= LINK_BITS:
+        return _tree_of_long_run(fp)
+    a, b = [], []
+    for k in range(LINK_BITS + 1):
+        mine = bits[k :: LINK_BITS + 1]
+        piece = fp & np.uint64(sum(1 << i for i in mine))
+        order = np.argsort(piece, kind="stable")
+        cuts = np.flatnonzero(np.diff(piece[order])) + 1
+        for run in np.split(fp[order], cuts):
+            if len(run) > 1:
+                x, y = _tree_of_run(run, tuple(i for i in bits if i not in mine))
+                a.append(x)
+                b.append(y)
+    x, y = np.concatenate(a), np.concatenate(b)
+    kept = forest(x, y) if len(x) else np.zeros(0, dtype=np.int64)
+    return x[kept], y[kept]
+
+
 def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links within runs of equal variants; a run that a batch cuts is held until it is whole."""
 
@@ -129,7 +152,7 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sizes = np.diff(np.concatenate([starts, [len(variant)]]))
         small = np.repeat(sizes <= SMALL_RUN, sizes)
         found = list(_pairs_of_small_runs(variant[small], fp[small], SMALL_RUN))
-        found += [_tree_of_long_run(fp[s : s + n]) for s, n in zip(starts[sizes > SMALL_RUN], sizes[sizes > SMALL_RUN])]
+        found += [_tree_of_run(fp[s : s + n]) for s, n in zip(starts[sizes > SMALL_RUN], sizes[sizes > SMALL_RUN])]
         for a, b in found:
             if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
@@ -163,15 +186,20 @@ def classes(marked: DataFrame) -> DataFrame:
     member = components(links(prints.select("fp")))
     rooted = prints.join(member, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     rooted = staged(rooted, "simhash-roots")
-    least = rooted.groupBy(F.col("root").alias("c_root")).agg(F.min("least").alias("component_id"))
-    return rooted.join(least, F.col("root") == F.col("c_root")).select("fp", "root", "component_id")
+    least = staged(rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("n")), "simhash-components")
+    return spread_join(rooted.select("fp", "root"), least, ["root"], "n").select("fp", "root", "component_id")
+
+
+def _classed(marked: DataFrame) -> DataFrame:
+    """The rows of marked, which have fp, with root and component_id; a fingerprint may be that of a third of all rows."""
+    known = classes(marked).join(marked.groupBy("fp").agg(F.count(F.lit(1)).alias("n")), "fp")
+    return spread_join(marked, staged(known, "simhash-classes"), ["fp"], "n")
 
 
 def near_dedup(docs: DataFrame, width: int = 4) -> DataFrame:
     """doc_id, fp, component_id of each row."""
     marked = staged(fingerprints(docs, width), "simhash-documents")
-    named = classes(marked).withColumnRenamed("fp", "c_fp")
-    return marked.join(named, F.col("fp") == F.col("c_fp")).select("doc_id", "fp", "component_id")
+    return _classed(marked).select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, width: int = 4) -> DataFrame:
@@ -181,9 +209,7 @@ def keep_one(docs: DataFrame, width: int = 4) -> DataFrame:
     """
     row_hash = F.xxhash64(*[F.col(c) for c in docs.columns])
     marked = staged(fingerprints(docs, width, {"row_hash": row_hash}), "simhash-documents")
-    named = classes(marked).withColumnRenamed("fp", "c_fp")
-    rows = marked.join(named, F.col("fp") == F.col("c_fp"))
-    best = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_hash")).alias("best"))
+    best = _classed(marked).groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_hash")).alias("best"))
     best = best.select(F.col("best.doc_id").alias("k_id"), F.col("best.row_hash").alias("k_hash"))
     count = marked.groupBy(F.col("doc_id").alias("n_id"), F.col("row_hash").alias("n_hash")).agg(F.count(F.lit(1)).alias("k_rows"))
     best = best.join(count, F.col("k_id").eqNullSafe(F.col("n_id")) & (F.col("k_hash") == F.col("n_hash"))).drop("n_id", "n_hash")

@@ -3,7 +3,8 @@ import re
 import numpy as np
 import xxhash
 
-from millrace.llm import components, simhash as op
+from millrace.llm import common, components
+from millrace.llm import simhash as op
 
 
 def brute_print(text):
@@ -80,6 +81,41 @@ def test_links_against_brute_force(spark, monkeypatch):
         assert partition(found_components(spark, prints)) == partition(brute_components(prints))
 
 
+def test_long_runs_are_cut(monkeypatch):
+    for seed, long in ((1, 8), (2, 40)):
+        monkeypatch.setattr(op, "LONG_RUN", long)
+        prints = np.array(clustered(seed, 500), dtype=np.uint64)
+        a, b = op._tree_of_run(prints)
+        assert (np.bitwise_count(a ^ b) <= 4).all() and len(a) < len(prints)
+        place = {int(f): i for i, f in enumerate(prints)}
+        root = list(range(len(prints)))
+        for x, y in zip(a.tolist(), b.tolist()):
+            old, new = root[place[x]], root[place[y]]
+            root = [new if r == old else r for r in root]
+        assert partition(root) == partition(brute_components(prints.tolist()))
+
+
+def test_hot_centres(spark, monkeypatch):
+    """A component with most of the nodes, and every key hot."""
+    monkeypatch.setattr(common, "FEW_ROWS", 0)
+    rng = np.random.default_rng(3)
+    edges = [(0, int(i)) for i in range(1, 400)] + [(int(a), int(b)) for a, b in rng.integers(1000, 1400, (300, 2))] + [(399, 2000), (2000, 1999), (1999, -5)]
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        x, y = sorted((find(a), find(b)))
+        root[y] = x
+    df = spark.createDataFrame(edges, "a long, b long")
+    got = {r["node"]: r["root"] for r in components.components(df).collect()}
+    linked = {x for a, b in edges if a != b for x in (a, b)}
+    assert got == {x: find(x) for x in linked}
+
+
 def test_runs_over_batches(spark):
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
     prints = clustered(7, 150)
