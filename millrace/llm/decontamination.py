@@ -1,15 +1,19 @@
 """Benchmark decontamination by a distributed positional inverted index. Native DataFrame code only.
 
-A first pass counts the benchmark's terms in the documents. Each window of an item is then looked up by its RAREST terms that
-are least frequent there; a window with a term that no document has can't occur and goes at once. A second pass stores the
-postings (document, term, position) of these terms alone, and the length of each document. Postings, less the term's offset in
-the window, are intersected by (document, window, start). What is left is compared word by word with the document's text, which
-only documents with candidates are read for again.
+A first pass counts the documents' terms, with map-side combine. Each window of an item is then looked up by its RAREST terms
+that are least frequent there, of those that some document has. A second pass stores the postings (document, term, position) of
+these terms alone, and the length of each document. Postings, less the term's offset in the window, are intersected by
+(document, window, start).
+
+- Phrases: what is left of windows all of whose terms some document has is compared word by word with the document's text, of
+  which only documents with candidates are read again.
+- Proximity: places where a window's rarest terms stand up to `slack` words out of place, whatever stands between; so edited
+  passages are found, with windows that have words of no document. Windows with one known term are left to phrases.
 
 Windows have WINDOW consecutive words of an item; an item with fewer words, but some, is one window. Null texts have no words;
 items without words have no windows. Null ids are ids of their own. Repeated documents get equal rows, repeated items count
-once by id. Empty tables give no hits or no rows. Documents and postings are never gathered by term, so frequent terms and
-passages stay spread by document.
+once by id. Empty tables give no hits or no rows. Frequent terms, windows and passages stay spread: joins by term or window
+broadcast hot keys alone, and what is broadcast besides is under BROADCAST_ROWS rows of fixed size.
 """
 
 from __future__ import annotations
@@ -17,11 +21,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fits, staged, text_of
+from .common import fits, spread_join, staged, text_of
 
-WINDOW, RAREST = 13, 2
-#: Rows of the benchmark's terms, or of candidates, that may be broadcast (each well under 1 kB).
+WINDOW, RAREST, SLACK = 13, 2, 3
+#: Rows of terms, windows or document keys that may be broadcast (each well under 1 kB).
 BROADCAST_ROWS = 100_000
+#: Postings of a term, or windows' terms, that meet in one task; more are dealt over several.
+ROWS_A_TASK = 50_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Stands for a document's end in the index; no word holds it.
 END = "\x01"
@@ -47,27 +53,28 @@ def _bounded(df: DataFrame) -> DataFrame:
 
 
 def rarest_terms(documents: DataFrame, windows: DataFrame) -> DataFrame:
-    """window, size, rank, term, offset: the terms by which each window is looked up."""
+    """window, size, whole (whether documents have all its terms), terms (of those), rank, term, offset, count (in the
+    documents): the terms by which each window is looked up."""
     terms = windows.select("window", F.size("words").alias("size"), F.posexplode("words").alias("offset", "term"))
-    vocabulary = staged(terms.select("term").distinct(), "index-vocabulary")
-    met = documents.select(F.explode(words_of(F.col("text"))).alias("term")).join(_bounded(vocabulary), "term", "left_semi")
-    counted = staged(met.groupBy("term").count(), "index-frequencies")
-    known = terms.join(counted, "term", "left").withColumn("count", F.coalesce("count", F.lit(0)))
+    vocabulary = terms.select("term").distinct()
+    counted = documents.select(F.explode(words_of(F.col("text"))).alias("term")).groupBy("term").count()
+    counted = staged(counted.join(vocabulary, "term", "left_semi"), "index-frequencies")
+    known = terms.join(counted, "term", "left")
     every = Window.partitionBy("window")
-    known = known.withColumn("least", F.min("count").over(every)).where("least > 0")
-    ranked = known.withColumn("rank", F.row_number().over(every.orderBy("count", "term", "offset")))
-    return ranked.where(F.col("rank") <= RAREST).select("window", "size", "rank", "term", "offset")
+    known = known.withColumn("whole", F.count("count").over(every) == F.col("size")).where("count IS NOT NULL")
+    ranked = known.withColumn("rank", F.row_number().over(every.orderBy("count", "term", "offset"))).withColumn("terms", F.count(F.lit(1)).over(every))
+    return ranked.where(F.col("rank") <= RAREST).select("window", "size", "whole", F.least("terms", F.lit(RAREST)).alias("terms"), "rank", "term", "offset", "count")
 
 
 def postings(documents: DataFrame, chosen: DataFrame) -> DataFrame:
-    """d_id, d_hash, term, at: the index. The position of END is the document's number of words."""
-    kept = staged(chosen.select("term").distinct().unionByName(documents.sparkSession.createDataFrame([(END,)], "term string")), "index-terms")
+    """d_id, d_hash, term, at, fan: the index. The position of END is the document's number of words. fan: over how many tasks a
+    term's postings are dealt."""
+    known = chosen.groupBy("term").agg(F.max("count").alias("count"))
+    known = known.unionByName(documents.groupBy().agg(F.lit(END).alias("term"), F.count(F.lit(1)).alias("count")))
+    known = staged(known.withColumn("fan", F.ceil(F.greatest("count", F.lit(1)) / ROWS_A_TASK)), "index-terms")
     listed = documents.select("d_id", "d_hash", F.posexplode(F.concat(words_of(F.col("text")), F.array(F.lit(END)))).alias("at", "term"))
-    return listed.join(_bounded(kept), "term", "left_semi").select("d_id", "d_hash", "term", "at")
-
-
-def _same(a: DataFrame, b: DataFrame) -> Column:
-    return a["d_id"].eqNullSafe(b["d_id"]) & (a["d_hash"] == b["d_hash"])
+    met = listed.join(F.broadcast(known.drop("count")), "term") if fits(known, BROADCAST_ROWS) else spread_join(listed, known, ["term"], "count")
+    return met.select("d_id", "d_hash", "term", "at", "fan")
 
 
 class Index:
@@ -86,34 +93,57 @@ class Index:
         return self.postings.where(F.col("term") == END).select("d_id", "d_hash", F.col("at").cast("long").alias("n_words"))
 
     def starts(self) -> DataFrame:
-        """d_id, d_hash, window, size, rank, start: where a window would begin for each posting of its terms."""
-        met = self.postings.join(_bounded(self.chosen), "term")
-        return met.select("d_id", "d_hash", "window", "size", "rank", (F.col("at") - F.col("offset")).alias("start"))
+        """d_id, d_hash, window, size, whole, terms, rank, start: where a window would begin for each posting of its terms.
+
+        Both sides are dealt by the term and, for frequent ones, a number that spreads its postings.
+        """
+        chosen = self.chosen.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.greatest("count", F.lit(1)) / ROWS_A_TASK) - 1))).drop("count")
+        met = self.postings.withColumn("salt", F.pmod(F.xxhash64("d_hash", "at"), "fan")).join(_bounded(chosen), ["term", "salt"])
+        return met.select("d_id", "d_hash", "window", "size", "whole", "terms", "rank", (F.col("at") - F.col("offset")).alias("start"))
 
     def phrases(self) -> DataFrame:
         """d_id, d_hash, window, size, start of each occurrence of a window."""
-        found = self.starts().where("start >= 0").groupBy("d_id", "d_hash", "window", "size", "start").agg(F.count_distinct("rank").alias("n"))
-        found = found.where(F.col("n") == F.least(F.col("size"), F.lit(RAREST)))
+        found = self.starts().where("whole AND start >= 0").groupBy("d_id", "d_hash", "window", "size", "terms", "start").agg(F.count_distinct("rank").alias("n"))
+        found = staged(found.where("n = terms").select("d_id", "d_hash", "window", "size", "start"), "index-found")
         by_document = found.groupBy("d_id", "d_hash").agg(F.collect_list(F.struct("window", "size", "start")).alias("places"))
-        by_document = staged(by_document, "index-candidates")
-        texts = self.documents.alias("t").join(_bounded(by_document).alias("c"), F.col("t.d_id").eqNullSafe(F.col("c.d_id")) & (F.col("t.d_hash") == F.col("c.d_hash")))
-        texts = texts.select("c.d_id", "c.d_hash", "c.places", words_of(F.col("t.text")).alias("all"))
-        cut = F.transform("places", lambda p: F.struct(p["window"].alias("window"), p["size"].alias("size"), p["start"].alias("start"), F.slice("all", p["start"] + 1, p["size"]).alias("read")))
+        wanted = staged(found.select("d_id", "d_hash").distinct(), "index-candidates")
+        texts = _where(self.documents, _bounded(wanted), "left_semi")  # so that only their texts move
+        texts = _where(texts, by_document.hint("merge"), "inner").select("d_id", "d_hash", "places", words_of(F.col("text")).alias("all"))
+        cut = F.transform("places", lambda p: F.struct(p["window"].alias("window"), p["size"].alias("size"), p["start"].alias("start"), F.xxhash64(F.slice("all", p["start"] + 1, p["size"])).alias("h"), F.slice("all", p["start"] + 1, p["size"]).alias("read")))
         read = texts.select("d_id", "d_hash", F.explode(cut).alias("p")).select("d_id", "d_hash", "p.*")
-        return read.join(_bounded(self.windows), "window").where(F.col("read") == F.col("words")).select("d_id", "d_hash", "window", "size", "start").distinct()
+        read = read.join(_bounded(staged(self.windows.select(F.col("window").alias("w"), "words", F.xxhash64("words").alias("w_hash")), "index-window-hashes")), (F.col("window") == F.col("w")) & (F.col("h") == F.col("w_hash")))
+        return read.where(F.col("read") == F.col("words")).select("d_id", "d_hash", "window", "size", "start").distinct()
 
-    def proximity(self, slack: int) -> DataFrame:
+    def proximity(self, slack: int = SLACK) -> DataFrame:
         """d_id, d_hash, item_id, at: items whose windows' rarest terms stand together, in any order, up to slack words out of
-        place, whether or not the rest is the same."""
-        one, two = self.starts().where("rank = 1").alias("x"), self.starts().where("rank = 2").alias("y")
-        on = F.col("x.d_id").eqNullSafe(F.col("y.d_id")) & (F.col("x.d_hash") == F.col("y.d_hash")) & (F.col("x.window") == F.col("y.window"))
-        near = one.join(two, on & (F.abs(F.col("x.start") - F.col("y.start")) <= slack))
-        near = near.select("x.d_id", "x.d_hash", "x.window", F.greatest(F.least("x.start", "y.start"), F.lit(0)).alias("at"))
-        return near.join(self.items, "window").groupBy("d_id", "d_hash", "item_id").agg(F.min("at").alias("at"))
+        place, whether or not the rest is the same.
+
+        Starts meet by pieces of slack + 1 words, not all of a document's with each other.
+        """
+        width = slack + 1
+        near = self.starts().where("terms > 1").select("d_id", "d_hash", "window", "rank", "start", F.floor(F.col("start") / width).alias("bin"))
+        one = near.where("rank = 1").withColumn("bin", F.explode(F.array(*[F.col("bin") + k for k in (-1, 0, 1)])))
+        one = one.select(*[F.col(c).alias(f"x_{c}") for c in ("d_id", "d_hash", "window", "bin", "start")])
+        on = F.col("d_id").eqNullSafe(F.col("x_d_id")) & (F.col("d_hash") == F.col("x_d_hash")) & (F.col("window") == F.col("x_window")) & (F.col("bin") == F.col("x_bin"))
+        met = near.where("rank = 2").join(one, on & (F.abs(F.col("start") - F.col("x_start")) <= slack))
+        met = met.groupBy("d_id", "d_hash", "window").agg(F.min(F.greatest(F.least("start", "x_start"), F.lit(0))).alias("at"))
+        return met.join(_bounded(self.items), "window").groupBy("d_id", "d_hash", "item_id").agg(F.min("at").alias("at"))
+
+
+def _where(documents: DataFrame, known: DataFrame, how: str) -> DataFrame:
+    """documents with what is known of them, by id and hash."""
+    other = known.withColumnsRenamed({"d_id": "g_id", "d_hash": "g_hash"})
+    joined = documents.join(other, F.col("d_id").eqNullSafe(F.col("g_id")) & (F.col("d_hash") == F.col("g_hash")), how)
+    return joined if how == "left_semi" else joined.drop("g_id", "g_hash")
+
+
+def _item(column: str = "item_id") -> Column:
+    return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, share: int = 20) -> DataFrame:
-    """One row per row of docs: doc_id, d_hash, n_words, n_hit, items (sorted ids, as strings) and contaminated.
+def contamination(docs: DataFrame, benchmark: DataFrame, share: int = 20, slack: int | None = None) -> DataFrame:
+    """One row per row of docs: doc_id, d_hash, n_words, n_hit, items (sorted ids, as strings) and contaminated; with a slack, near
+    too: the sorted ids of the items that proximity finds.
 
     A document is contaminated if at least one in `share` of its words is within an occurrence of a window.
     """
@@ -121,13 +151,16 @@ def contamination(docs: DataFrame, benchmark: DataFrame, share: int = 20) -> Dat
     phrases = staged(index.phrases(), "index-phrases")
     inside = phrases.select("d_id", "d_hash", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("size") - 1)).alias("at"))
     hit = inside.distinct().groupBy("d_id", "d_hash").agg(F.count(F.lit(1)).alias("n_hit"))
-    named = phrases.select("d_id", "d_hash", "window").distinct().join(_bounded(index.items), "window").select("d_id", "d_hash", F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"))
+    named = phrases.select("d_id", "d_hash", "window").distinct().join(_bounded(index.items), "window").select("d_id", "d_hash", _item().alias("item"))
     items = named.distinct().groupBy("d_id", "d_hash").agg(F.array_sort(F.collect_list("item")).alias("items"))
-    met = hit.join(items, _same(hit, items)).select(hit["d_id"].alias("h_id"), hit["d_hash"].alias("h_hash"), "n_hit", "items")
-    lengths = index.lengths()
-    joined = lengths.join(met, F.col("d_id").eqNullSafe(F.col("h_id")) & (F.col("d_hash") == F.col("h_hash")), "left")
-    n_hit = F.coalesce("n_hit", F.lit(0))
-    return joined.select(F.col("d_id").alias("doc_id"), "d_hash", "n_words", n_hit.alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), ((n_hit > 0) & (share * n_hit >= F.col("n_words"))).alias("contaminated"))
+    known = _where(index.lengths(), _where(hit, items, "inner"), "left")
+    n_hit, none = F.coalesce("n_hit", F.lit(0)), F.array().cast("array<string>")
+    out = [F.col("d_id").alias("doc_id"), "d_hash", "n_words", n_hit.alias("n_hit"), F.coalesce("items", none).alias("items"), ((n_hit > 0) & (share * n_hit >= F.col("n_words"))).alias("contaminated")]
+    if slack is not None:
+        near = index.proximity(slack).groupBy("d_id", "d_hash").agg(F.array_sort(F.collect_set(_item())).alias("near"))
+        known = _where(known, near, "left")
+        out.append(F.coalesce("near", none).alias("near"))
+    return known.select(*out)
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, share: int = 20) -> DataFrame:

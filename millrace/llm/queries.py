@@ -42,9 +42,9 @@ def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    rows = decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), slack=decontamination.SLACK)
     digest = F.sha2(F.array_join("items", ","), 256).alias("items_sha256")
-    return rows.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), digest, "contaminated")
+    return rows.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), digest, "contaminated", F.array_join("near", ",").alias("near_items"))
 
 
 def op6_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -202,11 +202,23 @@ hits AS (SELECT rid, i, size, item_id FROM places JOIN windows USING (size, w)),
 words AS (SELECT rid, count(DISTINCT word) AS n_hit FROM hits, unnest(range(i, i + size)) AS u(word) GROUP BY rid),
 items AS (
   SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
-  FROM (SELECT DISTINCT rid, item_id::VARCHAR AS item FROM hits) GROUP BY rid)
-SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  FROM (SELECT DISTINCT rid, item_id::VARCHAR AS item FROM hits) GROUP BY rid),
+said AS (SELECT rid, pos, w[pos] AS term FROM d, unnest(range(1, len(w) + 1)) AS u(pos)),
+counts AS (SELECT term, count(*) AS n FROM said GROUP BY term),
+ranked AS (
+  SELECT item_id, w, place, term, row_number() OVER (PARTITION BY item_id, w ORDER BY n, term, place) AS rank
+  FROM (SELECT item_id, w, place, w[place] AS term FROM windows, unnest(range(1, len(w) + 1)) AS u(place)) JOIN counts USING (term)),
+met AS (SELECT rid, item_id, w, rank, pos - place AS start FROM said JOIN ranked USING (term) WHERE rank <= 2),
+near AS (
+  SELECT rid, string_agg(item, ',' ORDER BY item) AS near_items FROM (
+    SELECT DISTINCT a.rid, a.item_id::VARCHAR AS item
+    FROM met a JOIN met b ON a.rid = b.rid AND a.item_id = b.item_id AND a.w = b.w AND a.rank = 1 AND b.rank = 2 AND b.start BETWEEN a.start - 3 AND a.start + 3)
+  GROUP BY rid)
+SELECT doc_id, len(d.w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
        sha256(coalesce(items, '')) AS items_sha256,
-       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
-FROM d LEFT JOIN words USING (rid) LEFT JOIN items USING (rid)
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(d.w) AS contaminated,
+       coalesce(near_items, '') AS near_items
+FROM d LEFT JOIN words USING (rid) LEFT JOIN items USING (rid) LEFT JOIN near USING (rid)
 """,
     "op10_line_dedup": r"""
 WITH every AS (

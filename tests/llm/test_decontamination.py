@@ -2,6 +2,7 @@ import re
 
 import pytest
 
+from millrace.llm import common
 from millrace.llm import decontamination as op
 
 
@@ -76,3 +77,40 @@ def test_proximity(spark, make, prose):
     index = op.Index(make(rows), spark.createDataFrame([(1, " ".join(item))], "item_id long, text string"))
     assert sorted(r["d_id"] for r in index.proximity(2).collect()) == [1, 2]
     assert sorted(r["d_id"] for r in index.phrases().collect()) == [2]
+
+
+def brute_near(rows, items, slack):
+    said = [words(t) for _, t in rows]
+    count = {}
+    for w in said:
+        for x in w:
+            count[x] = count.get(x, 0) + 1
+    out = [set() for _ in rows]
+    for i, t in items:
+        w = words(t)
+        for k in range(max(1, len(w) - 12) if w else 0):
+            v = w[k : k + 13]
+            ranked = sorted((count[x], x, p) for p, x in enumerate(v) if x in count)[:2]
+            if len(ranked) == 2:
+                for d, u in enumerate(said):
+                    a, b = ([at - p for at, x in enumerate(u) if x == y] for _, y, p in ranked)
+                    if any(abs(x - y) <= slack for x in a for y in b):
+                        out[d].add("" if i is None else str(i))
+    return sorted((repr(d), sorted(near)) for (d, _), near in zip(rows, out))
+
+
+@pytest.mark.parametrize("all_hot", [False, True])
+def test_proximity_against_brute_force(spark, make, cases, prose, monkeypatch, all_hot):
+    """Passages with a word of no document in the item, words left out or put in, and the other way around."""
+    rows, items = cases
+    w = prose(30, 70).split()
+    items = items + [(50, " ".join([*w[:6], "nowhereword", *w[6:]])), (51, " ".join(w[::-1]))]
+    rows = rows + [(60, " ".join(w)), (61, prose(40, 71) + " " + " ".join(w[:9] + ["put", "in"] + w[9:])), (62, " ".join(w[::2]))]
+    if all_hot:
+        monkeypatch.setattr(common, "FEW_ROWS", 0)
+        monkeypatch.setattr(op, "BROADCAST_ROWS", 0)
+        monkeypatch.setattr(op, "ROWS_A_TASK", 3)
+    got = op.contamination(make(rows), spark.createDataFrame(items, "item_id long, text string"), slack=3).collect()
+    assert sorted((repr(r["doc_id"]), list(r["near"])) for r in got) == brute_near(rows, items, 3)
+    exact = sorted(repr((r["doc_id"], r["n_words"], r["n_hit"], list(r["items"]), r["contaminated"])) for r in got)
+    assert exact == brute(rows, items)
