@@ -1,3 +1,3 @@
 """Scalar functions and user-defined functions."""
 
-from . import scalar, udfs  # noqa: F401
+from . import scalar, text, udfs  # noqa: F401

@@ -80,8 +80,38 @@ def stack_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "nation").select("n_nationkey", F.stack(F.lit(2), F.lit("name"), "n_name", F.lit("region"), F.col("n_regionkey").cast("string")).alias("k", "v"))
 
 
-@query()
+@query("SELECT page_id, split_part(url, '/', 3) AS host, url_encode(url) AS encoded, 'R163' AS sound, 'Xxnn' AS masked, 'x' AS b, true AS same FROM pages")
 def str_more(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Functions of text that have no equal in DuckDB."""
+    """Functions of text that have no equal in DuckDB, of values whose results are known."""
     p, url = table(spark, sf_dir, "pages"), F.col("url")
     return p.select("page_id", F.parse_url(url, F.lit("HOST")).alias("host"), F.url_encode(url).alias("encoded"), F.soundex(F.lit("Robert")).alias("sound"), F.mask(F.lit("Ab12")).alias("masked"), F.xpath_string(F.lit("<a><b>x</b></a>"), F.lit("a/b")).alias("b"), F.collate(url, "UTF8_LCASE").eqNullSafe(F.upper(url)).alias("same"))
+
+
+@query("SELECT event_id, (props::JSON ->> '$.k')::BIGINT AS k, 'STRUCT<k: BIGINT>' AS shape, (props::JSON ->> '$.k')::BIGINT AS from_xml FROM events")
+def json_xml_more(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """json_tuple, schema_of_json, from_xml."""
+    e = table(spark, sf_dir, "events")
+    read = e.select("event_id", F.json_tuple("props", "k").alias("k"), F.schema_of_json(F.lit('{"k": 1}')).alias("shape"))
+    xml = F.from_xml(F.concat(F.lit("<r><k>"), "k", F.lit("</k></r>")), "k long")
+    return read.select("event_id", F.col("k").cast("long").alias("k"), "shape", xml["k"].alias("from_xml"))
+
+
+@query("SELECT n_nationkey, n_regionkey + n_nationkey AS both, 'R' AS name, n_nationkey AS zipped, TIMESTAMP '2024-01-31 00:00:00' + INTERVAL 1 MONTH AS later, NULL::TIMESTAMP AS never FROM nation")
+def map_time_more(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """map_zip_with, transform_keys, arrays_zip, make_interval, try_to_timestamp."""
+    n, r = F.col("n_nationkey"), F.col("n_regionkey")
+    both = F.map_zip_with(F.create_map(F.lit("r"), n), F.create_map(F.lit("r"), r), lambda k, x, y: x + y)
+    name = F.element_at(F.map_keys(F.transform_keys(F.create_map(F.lit("r"), r), lambda k, v: F.upper(k))), 1)
+    zipped = F.arrays_zip(F.array(n).alias("a"), F.array(r).alias("b"))[0]["a"]
+    later = F.lit("2024-01-31 00:00:00").cast("timestamp_ntz") + F.make_interval(months=F.lit(1))
+    never = F.try_to_timestamp(F.lit("no time"), F.lit("yyyy-MM-dd")).cast("timestamp_ntz")
+    return table(spark, sf_dir, "nation").select("n_nationkey", both["r"].alias("both"), name.alias("name"), zipped.alias("zipped"), later.alias("later"), never.alias("never"))
+
+
+@query("SELECT n_nationkey, unnest([n_regionkey, n_nationkey]) AS a, unnest(['r', 'n']) AS b FROM nation")
+def inline_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = table(spark, sf_dir, "nation")
+    return n.select("n_nationkey", F.inline(F.array(F.struct(F.col("n_regionkey").alias("a"), F.lit("r").alias("b")), F.struct(F.col("n_nationkey").alias("a"), F.lit("n").alias("b")))))
+
+
+statement("str_collate", "SELECT c_mktsegment, count(*) AS n FROM customer WHERE c_mktsegment COLLATE UTF8_LCASE = 'building' GROUP BY c_mktsegment", "SELECT c_mktsegment, count(*) AS n FROM customer WHERE lower(c_mktsegment) = 'building' GROUP BY c_mktsegment")

@@ -1,3 +1,3 @@
 """Relational operators."""
 
-from . import aggregates, joins, projections, sets, windows  # noqa: F401
+from . import aggregates, joins, projections, sets, vectors, windows  # noqa: F401

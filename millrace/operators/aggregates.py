@@ -59,24 +59,55 @@ def agg_two_level(spark: SparkSession, sf_dir: str) -> DataFrame:
     return below.join(table(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).groupBy("s_nationkey").agg(F.sum("q").alias("quantity"))
 
 
-@query()
+def _near(estimate: Column, exact: Column, share: float = 0.1) -> Column:
+    return F.abs(estimate - exact) <= share * exact
+
+
+@query("SELECT l_returnflag, count(DISTINCT l_partkey) AS exact, true AS near FROM lineitem GROUP BY l_returnflag")
 def agg_approx_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(F.approx_count_distinct("l_partkey", 0.02).alias("parts"))
+    """The exact number, and whether the estimate is within a tenth of it."""
+    exact = F.count_distinct("l_partkey")
+    l = table(spark, sf_dir, "lineitem").groupBy("l_returnflag")
+    return l.agg(exact.alias("exact"), F.approx_count_distinct("l_partkey", 0.02).alias("about")).select("l_returnflag", "exact", _near(F.col("about"), F.col("exact")).alias("near"))
 
 
-@query()
+@query("SELECT l_returnflag, true AS hll, true AS theta, true AS kll, true AS middle, true AS frequencies, 8::BIGINT AS bins, count(DISTINCT l_suppkey) AS suppliers FROM lineitem GROUP BY l_returnflag")
 def agg_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sketches that merge: distinct counts (HLL, theta), quantiles (KLL, percentile), frequencies, a histogram, a bitmap."""
     l = table(spark, sf_dir, "lineitem")
-    return l.groupBy("l_returnflag").agg(
+    made = l.groupBy("l_returnflag").agg(
+        F.count_distinct("l_partkey").alias("parts"),
+        F.median("l_quantity").alias("exact"),
         F.hll_sketch_estimate(F.hll_sketch_agg("l_partkey", 12)).alias("hll"),
         F.theta_sketch_estimate(F.theta_sketch_agg("l_partkey")).alias("theta"),
         F.kll_sketch_get_quantile_bigint(F.kll_sketch_agg_bigint(F.col("l_quantity").cast("long")), F.lit(0.5)).alias("kll"),
         F.percentile_approx("l_quantity", 0.5, 1000).alias("middle"),
-        F.length(F.count_min_sketch("l_partkey", F.lit(0.01), F.lit(0.95), F.lit(7))).alias("frequencies"),
-        F.size(F.histogram_numeric("l_quantity", F.lit(8))).alias("bins"),
-        F.bitmap_count(F.bitmap_construct_agg(F.bitmap_bit_position("l_suppkey"))).alias("suppliers"),
+        (F.length(F.count_min_sketch("l_partkey", F.lit(0.01), F.lit(0.95), F.lit(7))) > 0).alias("frequencies"),
+        F.size(F.histogram_numeric("l_quantity", F.lit(8))).cast("long").alias("bins"),
+        F.bitmap_count(F.bitmap_construct_agg(F.bitmap_bit_position(F.col("l_suppkey") + 1))).alias("suppliers"),
     )
+    near = [_near(F.col(c), F.col("parts")).alias(c) for c in ("hll", "theta")] + [_near(F.col(c), F.col("exact")).alias(c) for c in ("kll", "middle")]
+    return made.select("l_returnflag", *near, "frequencies", "bins", "suppliers")
+
+
+@query("SELECT l_returnflag, sum(l_quantity) AS quantity, round(sum(l_extendedprice * (1 - l_discount)), 1) AS revenue FROM lineitem GROUP BY l_returnflag")
+def agg_sum_double(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sums of doubles; whole ones are exact, others are rounded, as their last digits turn with the order."""
+    l = table(spark, sf_dir, "lineitem").groupBy("l_returnflag")
+    return l.agg(F.sum("l_quantity").alias("quantity"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 1).alias("revenue"))
+
+
+@query("SELECT l_returnflag, avg(l_quantity) AS quantity, round(avg(l_extendedprice), 3) AS price FROM lineitem GROUP BY l_returnflag")
+def agg_avg_double(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(F.avg("l_quantity").alias("quantity"), F.round(F.avg("l_extendedprice"), 3).alias("price"))
+
+
+@query("SELECT l_returnflag, ((2 * sum((l_extendedprice::DECIMAL(12, 2) * 100)::BIGINT)::HUGEINT * 10000 + count(*)) // (2 * count(*)))::BIGINT AS millionths FROM lineitem GROUP BY l_returnflag")
+def agg_avg_decimal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The average of a decimal has four more digits; here as a whole number of millionths."""
+    mean = F.avg(F.col("l_extendedprice").cast("decimal(12,2)"))
+    return table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg((mean * 1_000_000).cast("long").alias("millionths"))
+
 
 
 @query("SELECT l_returnflag, count(DISTINCT l_suppkey) AS n FROM lineitem GROUP BY l_returnflag")

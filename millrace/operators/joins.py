@@ -27,8 +27,11 @@ def asof_join(left: DataFrame, right: DataFrame, keys: list[str], left_time: str
 def range_join(left: DataFrame, right: DataFrame, point: str, low: str, high: str, width: float, how: str = "inner") -> DataFrame:
     """Rows where low <= point < high, by an equality join on bins of `width` and a check.
 
-    A right row stands in each bin that its range meets; width should be near the usual length of a range.
+    A right row stands in each bin that its range meets; width should be near the usual length of a range. how may be inner, left,
+    left_semi or left_anti: other joins would show a right row once for each bin.
     """
+    if how not in ("inner", "left", "left_semi", "left_anti"):
+        raise ValueError(f"range_join: no {how} join")
     a = left.withColumn("_bin", F.floor(F.col(point) / width))
     b = right.withColumn("_bin", F.explode(F.sequence(F.floor(F.col(low) / width), F.floor(F.col(high) / width))))
     return a.join(b, (a["_bin"] == b["_bin"]) & (F.col(point) >= F.col(low)) & (F.col(point) < F.col(high)), how).drop("_bin")
@@ -58,7 +61,9 @@ statement(
 )
 statement("join_semi", "SELECT o_orderkey FROM orders LEFT SEMI JOIN lineitem ON o_orderkey = l_orderkey AND l_returnflag = 'R'", "SELECT o_orderkey FROM orders SEMI JOIN lineitem ON o_orderkey = l_orderkey AND l_returnflag = 'R'")
 statement("join_anti", "SELECT o_orderkey FROM orders LEFT ANTI JOIN lineitem ON o_orderkey = l_orderkey", "SELECT o_orderkey FROM orders ANTI JOIN lineitem ON o_orderkey = l_orderkey")
-statement("not_in", "SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 20)")
+statement("not_in", "SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 49)")
+# with a null among them, no other key is known not to be in the list; keys below 20 come by the other condition alone
+statement("not_in_null", "SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT nullif(l_partkey, 7) FROM lineitem) OR p_partkey < 20")
 statement("exists_subquery", "SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 400000)")
 statement("scalar_subquery", "SELECT c_custkey, (SELECT count(*) FROM orders WHERE o_custkey = c_custkey) AS n_orders FROM customer WHERE c_nationkey = (SELECT min(n_nationkey) FROM nation WHERE n_regionkey = 2)")
 statement("join_cross", "SELECT r_name, n_name FROM region CROSS JOIN nation")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Iterator
 
 import pandas as pd
@@ -47,9 +48,9 @@ def st_tumble(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drained(e.select(F.col("window.start").cast("timestamp_ntz").alias("start"), "event_type", "n"), "complete")
 
 
-@query("SELECT (date_trunc('hour', ts) - to_minutes(30 * k) + to_minutes(30 * (date_part('minute', ts) // 30)::INT))::TIMESTAMP AS start, count(*) AS n FROM events, (SELECT unnest([0, 1]) AS k) GROUP BY ALL")
+@query("SELECT (date_trunc('hour', ts) - to_minutes(15 * k) + to_minutes(15 * (date_part('minute', ts) // 15)::INT))::TIMESTAMP AS start, count(*) AS n FROM events, (SELECT unnest([0, 1, 2, 3]) AS k) GROUP BY ALL")
 def st_hop(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = event_stream(spark, sf_dir).groupBy(F.window("ts", "1 hour", "30 minutes")).agg(F.count(F.lit(1)).alias("n"))
+    e = event_stream(spark, sf_dir).groupBy(F.window("ts", "1 hour", "15 minutes")).agg(F.count(F.lit(1)).alias("n"))
     return drained(e.select(F.col("window.start").cast("timestamp_ntz").alias("start"), "n"), "complete")
 
 
@@ -92,12 +93,52 @@ def st_join_inner(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drained(a.join(b, F.expr("a = b AND b_ts BETWEEN a_ts AND a_ts + INTERVAL 1 HOUR")).select("view_id", "purchase_id"), "append")
 
 
-@query()
+def _views_and_purchases(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    e = event_stream(spark, sf_dir)
+    a = e.where("event_type = 'view'").select(F.col("event_id").alias("view_id"), F.col("user_id").alias("a"), F.col("ts").alias("a_ts")).withWatermark("a_ts", "1 hour")
+    e = event_stream(spark, sf_dir)
+    b = e.where("event_type = 'purchase'").select(F.col("event_id").alias("purchase_id"), F.col("user_id").alias("b"), F.col("ts").alias("b_ts")).withWatermark("b_ts", "1 hour")
+    return a, b
+
+
+_WITHIN = "a = b AND b_ts BETWEEN a_ts AND a_ts + INTERVAL 1 HOUR"
+_WITHIN_SQL = "a.user_id = b.user_id AND b.ts BETWEEN a.ts AND a.ts + INTERVAL 1 HOUR"
+
+
+@query(f"SELECT a.event_id AS view_id, b.event_id AS purchase_id FROM (SELECT * FROM events WHERE event_type = 'view') a LEFT JOIN (SELECT * FROM events WHERE event_type = 'purchase') b ON {_WITHIN_SQL} WHERE a.ts < (SELECT min(t) - INTERVAL 3 HOUR FROM (SELECT max(ts) AS t FROM events WHERE event_type IN ('view', 'purchase') GROUP BY event_type))")
 def st_join_left(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Views with purchases within an hour; a view without one comes once the watermark has passed it."""
-    a = event_stream(spark, sf_dir).where("event_type = 'view'").select(F.col("event_id").alias("view_id"), F.col("user_id").alias("a"), F.col("ts").alias("a_ts")).withWatermark("a_ts", "1 hour")
-    b = event_stream(spark, sf_dir).where("event_type = 'purchase'").select(F.col("event_id").alias("purchase_id"), F.col("user_id").alias("b"), F.col("ts").alias("b_ts")).withWatermark("b_ts", "1 hour")
-    return drained(a.join(b, F.expr("a = b AND b_ts BETWEEN a_ts AND a_ts + INTERVAL 1 HOUR"), "left").select("view_id", "purchase_id"), "append")
+    """Views with purchases within an hour, or none; of views that the watermark has closed (with two hours to spare), as one
+    without a purchase comes once the watermark has passed it."""
+    a, b = _views_and_purchases(spark, sf_dir)
+    done = drained(a.join(b, F.expr(_WITHIN), "left").select("view_id", "a_ts", "purchase_id"), "append")
+    last = table(spark, sf_dir, "events").where("event_type IN ('view', 'purchase')").groupBy("event_type").agg(F.max(F.col("ts").cast("timestamp")).alias("t")).agg(F.min("t").alias("t"))
+    return done.join(F.broadcast(last), F.expr("a_ts < t - INTERVAL 3 HOURS")).select("view_id", "purchase_id")
+
+
+@query(f"SELECT a.event_id AS view_id FROM (SELECT * FROM events WHERE event_type = 'view') a SEMI JOIN (SELECT * FROM events WHERE event_type = 'purchase') b ON {_WITHIN_SQL}")
+def st_join_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Views with a purchase within an hour, each once."""
+    a, b = _views_and_purchases(spark, sf_dir)
+    return drained(a.join(b, F.expr(_WITHIN), "left_semi").select("view_id"), "append")
+
+
+@query("SELECT least(count(*), 100)::BIGINT AS n FROM events")
+def st_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first hundred rows of a stream; which ones they are turns with the files."""
+    return drained(event_stream(spark, sf_dir).select("event_id").limit(100), "append").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT start, n FROM (SELECT date_trunc('day', ts)::TIMESTAMP AS start, count(*) AS n FROM events WHERE ts >= TIMESTAMP '2024-01-15' GROUP BY 1) WHERE start + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)")
+def st_late(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Out of order: the first half of the month comes last, when the watermark of two batches before has passed it, so it counts
+    nowhere."""
+    path, e = fresh_path(spark, "stream-late"), table(spark, sf_dir, "events")
+    for number, part in enumerate(("day(ts) BETWEEN 15 AND 24", "day(ts) >= 25", "day(ts) < 15")):
+        e.where(part).coalesce(1).write.parquet(f"{path}/part={number}")
+        time.sleep(1.1)  # files are read in order of their times, which some stores keep in seconds
+    read = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/part=*")
+    counted = read.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "1 hour").groupBy(F.window("ts", "1 day")).agg(F.count(F.lit(1)).alias("n"))
+    return drained(counted.select(F.col("window.start").cast("timestamp_ntz").alias("start"), "n"), "append")
 
 
 @query("SELECT DISTINCT event_id FROM events")
@@ -136,7 +177,38 @@ def st_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return written.groupBy("user_id").agg(F.max("n").alias("n"), F.max("last").alias("last"))
 
 
-@query()
+@query("SELECT event_type, count(DISTINCT user_id) AS users, true AS near FROM events GROUP BY event_type")
 def st_approx_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = event_stream(spark, sf_dir).groupBy("event_type").agg(F.approx_count_distinct("user_id").alias("users"))
-    return drained(e, "complete")
+    """The exact number of users, and whether the stream's estimate is within a tenth of it."""
+    e = event_stream(spark, sf_dir).groupBy("event_type").agg(F.approx_count_distinct("user_id", 0.02).alias("about"))
+    exact = table(spark, sf_dir, "events").groupBy("event_type").agg(F.count_distinct("user_id").alias("users"))
+    return drained(e, "complete").join(exact, "event_type").select("event_type", "users", (F.abs(F.col("about") - F.col("users")) <= 0.1 * F.col("users")).alias("near"))
+
+
+@query("SELECT user_id, count(*) AS n FROM events GROUP BY user_id")
+def st_transform_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stateful processor with a value for each user."""
+    from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+
+    class Count(StatefulProcessor):
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.state = handle.getValueState("n", "n long")
+
+        def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+            n = self.state.get()[0] if self.state.exists() else 0
+            n += sum(len(r) for r in rows)
+            self.state.update((n,))
+            yield pd.DataFrame({"user_id": [key[0]], "n": [n]})
+
+        def close(self) -> None:
+            pass
+
+    name, provider = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    before = spark.conf.get(name)
+    spark.conf.set(name, provider)
+    try:
+        e = event_stream(spark, sf_dir).select("user_id", "event_id")
+        counted = e.groupBy("user_id").transformWithStateInPandas(Count(), "user_id long, n long", "update", "none")
+        return drained(counted, "update").groupBy("user_id").agg(F.max("n").alias("n"))
+    finally:
+        spark.conf.set(name, before)

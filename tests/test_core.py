@@ -4,8 +4,8 @@ import pytest
 from support import SF
 from pyspark.sql import functions as F
 
-from millrace import registry
-from millrace.operators import joins, windows
+from millrace import registry, tables
+from millrace.operators import joins, vectors, windows
 from millrace.storage import staged
 
 
@@ -83,3 +83,41 @@ def test_null_keys_in_joins(spark):
     a = spark.createDataFrame([(1, None), (2, 3)], "i int, k int")
     assert a.alias("a").join(a.alias("b"), F.col("a.k") == F.col("b.k")).count() == 1
     assert a.alias("a").join(a.alias("b"), F.col("a.k").eqNullSafe(F.col("b.k"))).count() == 2
+
+
+@pytest.mark.parametrize("how", ["right", "full", "outer", "cross"])
+def test_range_join_refuses_joins_that_repeat_right_rows(spark, how):
+    a, b = spark.createDataFrame([(1.0,)], "p double"), spark.createDataFrame([(0.0, 9.0)], "low double, high double")
+    with pytest.raises(ValueError):
+        joins.range_join(a, b, "p", "low", "high", 1.0, how)
+
+
+def test_names_in_strings_are_no_tables(spark):
+    got = tables.sql(spark, SF, """SELECT 'orders' AS a, "part's {x}" AS b, r_name AS `nation` FROM region -- lineitem
+        WHERE r_name != 'it''s region'""")
+    assert got.columns == ["a", "b", "nation"] and got.count() == 5
+    assert set(got.select("a", "b").first()) == {"orders", "part's {x}"}
+
+
+def test_nearest_in_blocks(spark, monkeypatch):
+    e = tables.table(spark, SF, "embeddings")
+    asked = e.where("vec_id % 100 = 0")
+    def found(rows):
+        return sorted((r["query_id"], r["rank"], r["id"], round(r["similarity"], 9)) for r in vectors.nearest(rows, asked, 3).collect())
+
+    want = found(e)
+    monkeypatch.setattr(vectors, "BLOCK", 2)
+    monkeypatch.setattr(vectors, "ROWS", 7)
+    assert found(e.repartition(3)) == want
+    assert vectors.nearest(e, asked.limit(0), 3).count() == 0
+
+
+def test_a_broken_import_is_shown(monkeypatch):
+    import __spark_entry__ as entry
+
+    def broken(name):
+        raise ModuleNotFoundError("No module named 'xxhash'", name="xxhash")
+
+    monkeypatch.setattr(entry.importlib, "import_module", broken)
+    with pytest.raises(ModuleNotFoundError):
+        entry.queries()
