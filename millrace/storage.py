@@ -51,11 +51,22 @@ def _delete(spark: SparkSession, path: str) -> None:
 
 
 @atexit.register
-def release() -> None:
-    """Deletes what staged() and fresh_path() have named; frames that read it are void afterwards."""
-    while _written:
-        spark, path = _written.pop()
+def release(since: int = 0, keep: tuple[str, ...] = ()) -> None:
+    """Deletes what staged() and fresh_path() have named since mark() was `since`, but for the paths in keep; frames that read it
+    are void afterwards."""
+    for spark, path in [w for w in _written[since:] if w[1] not in keep]:
         try:
             _delete(spark, path)
         except Exception:  # noqa: BLE001  the session may be gone at exit
             pass
+    _written[since:] = [w for w in _written[since:] if w[1] in keep]
+
+
+def mark() -> int:
+    """How many paths have been named and not released."""
+    return len(_written)
+
+
+def last_path() -> str:
+    """The path that was named last."""
+    return _written[-1][1]

@@ -4,7 +4,7 @@ import pytest
 from support import SF
 from pyspark.sql import functions as F
 
-from millrace import registry, tables
+from millrace import registry, storage, tables
 from millrace.operators import joins, vectors, windows
 from millrace.storage import staged
 
@@ -79,6 +79,17 @@ def test_staged_survives_its_source(spark):
     assert df.count() == 10 and "parquet" in df.inputFiles()[0]
 
 
+def test_release_since_a_mark(spark):
+    first = staged(spark.range(3), "test")
+    since = storage.mark()
+    second = staged(spark.range(4), "test")
+    third = staged(spark.range(5), "test")
+    storage.release(since, (storage.last_path(),))
+    assert first.count() == 3 and third.count() == 5 and storage.mark() == since + 1
+    with pytest.raises(Exception, match="FILE_NOT_EXIST|does not exist"):
+        second.collect()
+
+
 def test_null_keys_in_joins(spark):
     a = spark.createDataFrame([(1, None), (2, 3)], "i int, k int")
     assert a.alias("a").join(a.alias("b"), F.col("a.k") == F.col("b.k")).count() == 1
