@@ -13,12 +13,12 @@ are dealt by their minimizer's and string's hashes alone:
 3. The bytes are fetched from the texts, by document, and come together by minimizer. They fill shards of up to SHARD bytes;
    a suffix array by induced sorting and permuted common prefixes of each tell which windows are equal. Of these all but the
    first go. A minimizer with over HOT_STRINGS strings (the edge of a passage among many neighbours) isn't gathered: its
-   strings stay spread, and Spark groups their windows by 128-bit hashes, with map-side combine.
+   strings stay spread, and Spark groups their windows by 128-bit hashes, with map-side combine; frequent windows stay spread.
 4. The windows that go are gathered by document and cut out of its text.
 
 Strings are compared by 64-bit hashes within equal 64-bit minimizers. Null texts count as empty; texts shorter than LENGTH
 bytes stay whole. Null ids come last; documents with one id are in the order of their texts' hashes, and rows equal in id and
-text are one document and get equal rows. An empty table gives an empty result.
+text are one document and get equal rows. Ids are whole numbers; others are refused. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,8 +29,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
-from .common import fits, map_arrow, staged, text_of
+from .common import fits, map_arrow, spread_join, staged, text_of
 from .suffix_array import permuted_lcp, suffix_array
 
 LENGTH, ANCHOR = 100, 48
@@ -246,8 +247,11 @@ def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """The keyed documents (d_id, d, t, text), and d, t, at, n: n windows from byte `at` on that go."""
+    if not isinstance(docs.schema[id_col].dataType, IntegralType):
+        raise TypeError(f"{id_col} must be whole numbers, as their order says what is first")
     text = docs.select(F.col(id_col).alias("d_id"), text_of(text_col).alias("text"))
-    keyed = text.select("d_id", F.coalesce(F.col("d_id").cast("long"), F.lit(2**63 - 1)).alias("d"), F.xxhash64("text").alias("t"), "text")
+    mark = F.xxhash64("text", F.col("d_id").isNull())  # keeps a null id apart from the greatest number, as which it is sorted
+    keyed = text.select("d_id", F.coalesce(F.col("d_id").cast("long"), F.lit(2**63 - 1)).alias("d"), mark.alias("t"), "text")
     runs = map_arrow(keyed.select("d", "t", "text"), _find_runs, _RUN).repartition("m").sortWithinPartitions("m", "h", "d", "t", "at")
     settled = staged(map_arrow(runs, _settle_runs, "m long, h long, d long, t long, at int, n int, gone boolean"), "suffix-runs")
     needed = settled.where("not gone")
@@ -261,8 +265,8 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     parts = [settled.where("gone").select("d", "t", "at", "n"), judged.where("x IS NULL").select("d", "t", "at", "n")]
     grouped = judged.where("x IS NOT NULL")
     if grouped.take(1):
-        first = grouped.groupBy(F.col("x").alias("fx"), F.col("y").alias("fy")).agg(F.min(F.struct("d", "t", "at")).alias("first"))
-        met = grouped.join(first, (F.col("x") == F.col("fx")) & (F.col("y") == F.col("fy")))
+        first = grouped.groupBy("x", "y").agg(F.min(F.struct("d", "t", "at")).alias("first"), F.count(F.lit(1)).alias("windows"))
+        met = spread_join(grouped, staged(first.where("windows > 1"), "suffix-first"), ["x", "y"], "windows")
         parts.append(met.where(F.struct("d", "t", "at") != F.col("first")).select("d", "t", "at", "n"))
     out = parts[0]
     for part in parts[1:]:

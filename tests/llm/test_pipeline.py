@@ -4,6 +4,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from support import SF
 
 import corpus_pipeline
@@ -69,3 +70,28 @@ def test_tokens(steps):
 def test_run(spark, steps):
     got = corpus_pipeline.run(spark, SF)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, steps[-1][1].collect()))
+
+
+def folder(spark, tmp_path, docs, labels, benchmark):
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame(benchmark, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    return str(tmp_path)
+
+
+def test_empty_tables(spark, make, tmp_path):
+    assert corpus_pipeline.run(spark, folder(spark, tmp_path, make([]), [], [])).count() == 0
+
+
+def test_nulls_and_repeated_rows(spark, make, prose, tmp_path):
+    """Every row good (one label alone): of equal texts one stays, contaminated ones go, nulls in any column pass through."""
+    item = prose(20, 900)
+    rows = [(i, prose(50, 800 + i), "ab"[i % 2]) for i in range(12)]
+    rows += [rows[0], rows[0], (None, None, None), (None, prose(40, 901), None), (50, "", "a"), (51, item, "b"), (52, rows[3][1], "b")]
+    docs = make(rows, extra=True).withColumn("lang", F.lit(None).cast("string"))
+    labels = [(i, 1, 0) for i in range(12)] + [(None, 1, 0), (3, None, None)]
+    got = corpus_pipeline.run(spark, folder(spark, tmp_path, docs, labels, [(1, item), (2, None), (None, "")])).collect()
+    kept = {r["doc_id"] for r in got}
+    assert 51 not in kept and 52 not in kept and kept <= {None, *range(12)} and len(kept) > 6
+    assert [r["start"] for r in sorted(got, key=lambda r: r["start"])][0] == 0
+    assert sum(r["n_tokens"] for r in got) == max(r["start"] + r["n_tokens"] for r in got)

@@ -5,6 +5,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from millrace.llm import common
 from millrace.llm import suffix_array as sa
 from millrace.llm import suffix_dedup as op
 
@@ -99,3 +100,19 @@ def test_edges(make, edge_rows):
     rows = [r for r in dict.fromkeys(edge_rows) if r[0] is not None] + [(None, edge_rows[3][1])]
     assert found(make(rows)) == brute(rows)
     assert found(make([])) == []
+
+
+def test_null_and_greatest_id(make, prose, spark):
+    text = prose(40, 31)
+    got = op.remove_repeats(make([(None, text), (2**63 - 1, text), (3, "short")])).collect()
+    assert sorted((str(r["doc_id"]), r["n_removed"] > 0) for r in got if r["doc_id"] != 3) in ([("9223372036854775807", False), ("None", True)], [("9223372036854775807", True), ("None", False)])
+    with pytest.raises(TypeError):
+        op.remove_repeats(spark.createDataFrame([("a", text)], "doc_id string, text string"))
+
+
+def test_frequent_windows_stay_spread(make, prose, monkeypatch):
+    monkeypatch.setattr(common, "FEW_ROWS", 0)
+    monkeypatch.setattr(op, "HOT_STRINGS", 3)
+    passage = prose(40, 9)
+    rows = [(i, prose(12, 200 + i) + " " + passage + " " + prose(12, 500 + i)) for i in range(30)]
+    assert found(make(rows)) == brute(rows)
