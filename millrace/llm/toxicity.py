@@ -1,50 +1,50 @@
 """Toxicity by class-conditional Kneser-Ney models of characters in words.
 
 Two models, of toxic and of ordinary documents, give the chance of each character of a word after the ORDER - 1 before it. The
-highest order has counts of its class alone; both back off to the same lower orders, whose continuation counts come from all
-documents, labelled or not. So a rare word, which the classes have hardly seen, gets nearly the same chance from both, and
-only what one class repeats tells them apart. A document's score comes from its words' log-likelihood ratios, normalised by
-its length, through a logistic curve. The curve is fitted to training rows that took no part in the class counts.
+highest order has counts of its class alone; both back off to the same lower orders, one character less each time down to single
+characters and at last UNIFORM. Their counts come from all documents, labelled or not: how many different characters stand
+before a string, or how often it begins a word. So a rare word, which the classes have hardly seen, gets nearly the same chance
+from both, and only what one class repeats tells them apart.
+
+A document's score comes from its words' log-likelihood ratios through a logistic curve, which is fitted to training rows that
+took no part in the class counts. The mean ratio, normalised by length, is one term; as one insult in a long document hardly
+moves it, the length-normalised sum of what is above 2, the highest ratio, the share above 4 and the length stand beside it.
 
 Class counts come from a hash sample of at most about MAX_LABELS labelled rows outside the held-out fold, the shared counts
-from every word of every document. Null texts count as empty; texts without letters get the score of a document whose words
-say nothing. Documents with a null id are never held out. Repeated rows get equal scores. Without labels of both kinds every
-score is the share of label 1, or 0 without any.
+from every word of every document. Words are runs of letters; Spark makes them, for counting and for scoring. Null texts count
+as empty; texts without letters get the score of a document whose words say nothing. Documents with a null id are never held
+out; of repeated ids the row with the least features calibrates. Repeated rows get equal scores. Without labels of both kinds
+every score is the share of label 1, or 0 without any.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fits, kept, map_arrow, staged, text_of
+from .common import fits, kept, map_arrow, spread_join, staged, text_of
 from .learning import held_out, logistic, training_labels
 
 #: Labelled rows used, at most (about): they are broadcast, at 24 bytes each.
 MAX_LABELS = 300_000
 #: Ratios of at most so many n-grams are sent to the workers (12 bytes each); with more, words meet their ratios by a join.
 MODEL_ROWS = 6_000_000
-#: Characters of an n-gram; of the shared lower order; the discount; the chance of a character about which nothing is known.
-ORDER, LOWER, DISCOUNT, UNIFORM = 6, 3, 0.75, 1 / 256
+#: Characters of an n-gram; the discount; the chance of a character about which nothing is known.
+ORDER, DISCOUNT, UNIFORM = 6, 0.75, 1 / 256
 #: Words remembered by a worker; at this number the memory is emptied.
 MEMO = 600_000
 #: Share of the training rows, in hundredths, that makes the counts; the rest calibrates.
 COUNTED = 70
 
-_LETTERS = re.compile(r"[^\W\d_]+").findall
-
 
-def WORDS(text: str) -> list[str]:
-    """Runs of letters, as [^\\p{L}]+ cuts them in Spark; Python's pattern keeps superscripts, fractions, Roman numerals."""
-    found = _LETTERS(text)
-    if not found or "".join(found).isalpha():
-        return found
-    return [w for f in found for w in ([f] if f.isalpha() else "".join(c if c.isalpha() else " " for c in f).split())]
+def words_of(text: Column) -> Column:
+    """Runs of letters, in lower case."""
+    return F.array_remove(F.split(F.lower(text), r"[^\p{L}]+"), "")
 
 
 FEATURES = ("mean", "excess", "most", "marked", "length")
@@ -53,7 +53,7 @@ FEATURES = ("mean", "excess", "most", "marked", "length")
 def word_counts(docs: DataFrame, chosen: DataFrame) -> DataFrame:
     """word, n_tox, n_ord, n_all over all documents; the classes count the chosen labels alone."""
     base = docs.join(F.broadcast(chosen.where(F.col("part") < COUNTED).select("doc_id", "label")), "doc_id", "left")
-    words = base.select("label", F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("word")).where("word != ''")
+    words = base.select("label", F.explode(words_of(F.col("text"))).alias("word"))
     return words.groupBy("word").agg(F.count_if(F.col("label") == 1).alias("n_tox"), F.count_if(F.col("label") == 0).alias("n_ord"), F.count(F.lit(1)).alias("n_all"))
 
 
@@ -67,21 +67,30 @@ def _before(gram: str) -> Column:
     return F.expr(f"left({gram}, length({gram}) - 1)")
 
 
-def _shared(grams: DataFrame) -> DataFrame:
-    """lower, p_shared: Kneser-Ney chances from the numbers of different n-grams that end alike."""
-    level = None
-    for order in (1, LOWER):
-        part = F.expr(f"right(gram, {order})")
-        ends = grams.where(F.length("gram") > order).groupBy(part.alias("tail")).agg(F.count(F.lit(1)).alias("types")).withColumn("head", _before("tail"))
-        heads = ends.groupBy(F.col("head").alias("h_head")).agg(F.sum("types").alias("h_types"), F.count(F.lit(1)).alias("h_tails"))
-        joined = ends.join(heads, F.col("head") == F.col("h_head"))
-        if level is None:
-            back = F.lit(UNIFORM)
-        else:
-            joined = joined.join(level.select(F.col("tail").alias("l_tail"), F.col("p").alias("l_p")), F.expr("right(tail, 1)") == F.col("l_tail"), "left")
+def shared(grams: DataFrame) -> DataFrame:
+    """tail, p: Kneser-Ney chances of the last character of strings of 1 to ORDER - 1 characters after the others.
+
+    grams: gram, n_all. A string at a word's beginning counts as often as it stands there, another one with its different
+    characters before; each order follows from the one above.
+    """
+    levels, above = {}, grams.where(F.length("gram") == ORDER).select(F.col("gram").alias("tail"))
+    for order in range(ORDER - 1, 0, -1):
+        inner = above.groupBy(F.expr(f"right(tail, {order})").alias("tail")).agg(F.count(F.lit(1)).alias("n"))
+        first = grams.where((F.length("gram") == order) & F.col("gram").startswith("_")).select(F.col("gram").alias("tail"), F.col("n_all").alias("n"))
+        levels[order] = staged(inner.unionByName(first), f"toxicity-order-{order}")
+        above = levels[order].select("tail")
+    out = lower = None
+    for order in range(1, ORDER):
+        level = levels[order].withColumn("head", _before("tail"))
+        heads = level.groupBy(F.col("head").alias("h_head")).agg(F.sum("n").alias("h_n"), F.count(F.lit(1)).alias("h_tails"))
+        joined = level.join(heads, F.col("head") == F.col("h_head"))
+        back = F.lit(UNIFORM)
+        if lower is not None:
+            joined = joined.join(lower.select(F.col("tail").alias("l_tail"), F.col("p").alias("l_p")), F.expr(f"right(tail, {order - 1})") == F.col("l_tail"), "left")
             back = F.coalesce("l_p", F.lit(UNIFORM))
-        level = joined.select("tail", ((F.col("types") - DISCOUNT + DISCOUNT * F.col("h_tails") * back) / F.col("h_types")).alias("p"))
-    return level
+        lower = staged(joined.select("tail", ((F.col("n") - DISCOUNT + DISCOUNT * F.col("h_tails") * back) / F.col("h_n")).alias("p")), f"toxicity-shared-{order}")
+        out = lower if out is None else out.unionByName(lower)
+    return out
 
 
 def ratios(counts: DataFrame) -> DataFrame:
@@ -89,10 +98,10 @@ def ratios(counts: DataFrame) -> DataFrame:
     character after that context."""
     each = counts.select(F.explode(grams_of(F.col("word"))).alias("gram"), "n_tox", "n_ord", "n_all")
     grams = staged(each.groupBy("gram").agg(*[F.sum(c).alias(c) for c in ("n_tox", "n_ord", "n_all")]), "toxicity-grams")
-    seen = grams.where("n_tox + n_ord > 0").withColumn("head", _before("gram")).withColumn("tail", F.expr(f"right(gram, {LOWER})"))
+    seen = grams.where("n_tox + n_ord > 0").withColumn("head", _before("gram")).withColumn("tail", F.expr("right(gram, length(gram) - 1)"))
     heads = seen.groupBy("head").agg(F.sum("n_tox").alias("c_tox"), F.sum("n_ord").alias("c_ord"), F.count_if(F.col("n_tox") > 0).alias("t_tox"), F.count_if(F.col("n_ord") > 0).alias("t_ord"))
     heads = staged(heads, "toxicity-contexts")
-    met = seen.join(heads, "head").join(_shared(grams), "tail", "left").withColumn("p", F.coalesce("p", F.lit(UNIFORM)))
+    met = seen.join(heads, "head").join(shared(grams), "tail", "left").withColumn("p", F.coalesce("p", F.lit(UNIFORM)))
 
     def chance(c: str) -> Column:
         own = (F.greatest(F.col(f"n_{c}") - DISCOUNT, F.lit(0.0)) + DISCOUNT * F.col(f"t_{c}") * F.col("p")) / F.col(f"c_{c}")
@@ -115,32 +124,37 @@ def measured(docs: DataFrame, counts: DataFrame, model: DataFrame) -> DataFrame:
     """doc_id and the FEATURES of each row: mean ratio of its words, mean of what is over 2, the highest, share over 4, and
     the logarithm of the number of words."""
     kind = docs.schema["doc_id"].dataType.simpleString()
+    rows = docs.select("doc_id", words_of(F.col("text")).alias("words"))
     if not fits(model, MODEL_ROWS):
-        pairs = counts.select("word", F.explode(grams_of(F.col("word"))).alias("text"))
+        pairs = counts.select("word", "n_all", F.explode(grams_of(F.col("word"))).alias("text"))
         known = pairs.join(model, "text", "left").withColumn("head", F.concat(F.lit("<"), _before("text")))
         known = known.join(model.select(F.col("text").alias("head"), F.col("llr").alias("miss")), "head", "left")
-        by_word = known.groupBy("word").agg(F.sum(F.coalesce("llr", "miss", F.lit(0.0))).alias("x"))
-        rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.split(F.lower("text"), r"[^\p{L}]+").alias("words"))
-        each = rows.select("row", "doc_id", F.explode_outer("words").alias("word")).join(by_word, "word", "left")
-        x = F.col("x")
-        summed = each.groupBy("row", "doc_id").agg(F.count(x).alias("n"), F.coalesce(F.sum(x), F.lit(0.0)).alias("s"), F.coalesce(F.sum(F.greatest(x - 2, F.lit(0.0))), F.lit(0.0)).alias("e"), F.max(x).alias("m"), F.count_if(x > 4).alias("k"))
+        by_word = staged(known.groupBy("word", "n_all").agg(F.sum(F.coalesce("llr", "miss", F.lit(0.0))).alias("x")), "toxicity-ratios")
+        numbered = rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "words")
+        each = numbered.select("row", "doc_id", F.explode_outer("words").alias("word")).groupBy("row", "doc_id", "word").agg(F.count("word").alias("times"))
+        each = staged(each, "toxicity-document-words")
+        met = spread_join(each.where("word IS NOT NULL"), by_word, ["word"], "n_all").select("row", "doc_id", "x", "times")
+        met = met.unionByName(each.where("word IS NULL").select("row", "doc_id", F.lit(None).cast("double").alias("x"), "times"))
+        x, n = F.col("x"), F.col("times")
+        sums = [F.sum(n).alias("n"), *[F.coalesce(F.sum(v * n), F.lit(0.0)).alias(c) for c, v in (("s", x), ("e", F.greatest(x - 2, F.lit(0.0))))], F.max(x).alias("m"), F.sum(F.when(x > 4, n).otherwise(0)).alias("k")]
+        summed = met.groupBy("row", "doc_id").agg(*sums)
         return summed.select("doc_id", *_aggregates(F.col("n"), F.col("s"), F.col("e"), F.col("m"), F.col("k")))
 
     table = model.select(F.xxhash64("text").alias("key"), "llr").toArrow()  # at most MODEL_ROWS
     keys, values = table.column("key").to_numpy(), table.column("llr").to_numpy().astype(np.float32)
     order = np.argsort(keys)
-    shared = docs.sparkSession.sparkContext.broadcast((keys[order], values[order]))
+    shared_ratios = docs.sparkSession.sparkContext.broadcast((keys[order], values[order]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = kept.get("toxicity")
-        if scorer is None or scorer.shared is not shared.value:
-            scorer = kept["toxicity"] = WordRatios(shared.value)
+        if scorer is None or scorer.shared is not shared_ratios.value:
+            scorer = kept["toxicity"] = WordRatios(shared_ratios.value)
         for batch in batches:
             if batch.num_rows:
-                found = np.array([scorer.features(t.as_py()) for t in batch.column(1)])
-                yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(found[:, i]) for i in range(len(FEATURES))]], ["doc_id", *FEATURES])
+                found = scorer.features(batch.column("words"))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(found[:, i]) for i in range(len(FEATURES))]], ["doc_id", *FEATURES])
 
-    return map_arrow(docs.select("doc_id", "text"), run, f"doc_id {kind}, " + ", ".join(f"{c} double" for c in FEATURES), "toxicity")
+    return map_arrow(rows, run, f"doc_id {kind}, " + ", ".join(f"{c} double" for c in FEATURES), "toxicity")
 
 
 class WordRatios:
@@ -170,20 +184,30 @@ class WordRatios:
         missing = np.flatnonzero(~known)
         if len(missing):
             x[missing] = self._find([f"<{grams[i][:-1]}" for i in missing.tolist()])[0]
-        total = np.concatenate([[0.0], np.cumsum(x)])[[0, *ends]]
-        self.memo.update(zip(words, np.diff(total).tolist()))
-
-    def features(self, text: str) -> list[float]:
-        words = WORDS(text.lower())
-        if not words:
-            return [0.0] * len(FEATURES)
-        if unknown := set(words).difference(self.memo):
+        self.memo.update(zip(words, np.add.reduceat(x, [0, *ends[:-1]]).tolist()))
+
+    def of(self, words: list[str]) -> np.ndarray:
+        """The ratios of different words."""
+        unknown = [w for w in words if w not in self.memo]
+        if unknown:
             if len(self.memo) + len(unknown) > MEMO:
                 self.memo.clear()
-                unknown = set(words)
-            self._learn(sorted(unknown))
-        x = np.fromiter(map(self.memo.__getitem__, words), dtype=np.float64, count=len(words))
-        return [x.mean(), np.maximum(x - 2, 0).mean(), x.max(), (x > 4).mean(), np.log1p(len(x))]
+                unknown = words
+            self._learn(unknown)
+        return np.fromiter(map(self.memo.__getitem__, words), dtype=np.float64, count=len(words))
+
+    def features(self, words: pa.ListArray) -> np.ndarray:
+        """A row of FEATURES for each list of words."""
+        n = pc.list_value_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
+        out = np.zeros((len(n), len(FEATURES)))
+        some = np.flatnonzero(n)
+        if len(some):
+            coded = words.flatten().dictionary_encode()
+            x = self.of(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
+            starts = (np.cumsum(n) - n)[some]
+            sums = [np.add.reduceat(v, starts) / n[some] for v in (x, np.maximum(x - 2, 0), x > 4)]
+            out[some] = np.column_stack([sums[0], sums[1], np.maximum.reduceat(x, starts), sums[2], np.log1p(n[some])])
+        return out
 
 
 def _design(f: np.ndarray) -> np.ndarray:
@@ -202,7 +226,8 @@ def classify(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", folds
         return base.select(*out, F.lit(prior).alias("score"), F.lit(int(prior >= threshold)).alias("predicted"))
     counts = staged(word_counts(base, chosen), "toxicity-words")
     found = staged(measured(base, counts, staged(ratios(counts), "toxicity-model")), "toxicity-features")
-    fitting = found.join(F.broadcast(chosen.where(F.col("part") >= COUNTED)), "doc_id").dropDuplicates(["doc_id"]).select(*FEATURES, "label").toArrow()  # at most MAX_LABELS
+    fitting = found.join(F.broadcast(chosen.where(F.col("part") >= COUNTED)), "doc_id").groupBy("doc_id").agg(F.min(F.struct(*FEATURES, "label")).alias("x"))
+    fitting = fitting.orderBy("doc_id").select("x.*").toArrow()  # at most MAX_LABELS
     y = np.array(fitting.column("label").to_pylist(), dtype=np.float64)
     if len(set(y.tolist())) < 2:
         return found.select(*out, F.lit(prior).alias("score"), F.lit(int(prior >= threshold)).alias("predicted"))

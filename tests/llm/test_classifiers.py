@@ -1,7 +1,9 @@
 import random
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from millrace.llm import learning, quality, toxicity
 
@@ -68,13 +70,84 @@ def test_toxicity_by_join_gives_the_same(spark, make, mild_and_toxic, monkeypatc
     one = {r["doc_id"]: r["score"] for r in toxicity.classify(docs, labels).collect()}
     monkeypatch.setattr(toxicity, "MODEL_ROWS", 0)
     two = {r["doc_id"]: r["score"] for r in toxicity.classify(docs, labels).collect()}
-    assert one.keys() == two.keys() and all(abs(one[k] - two[k]) < 1e-4 for k in one)
+    assert one.keys() == two.keys() and all(abs(one[k] - two[k]) < 1e-9 for k in one)
 
 
-def test_toxicity_with_a_small_memory(spark, make, mild_and_toxic, monkeypatch):
+def test_toxicity_with_a_small_memory(monkeypatch):
+    import pyarrow as pa
+
     scorer = toxicity.WordRatios((np.zeros(0, np.int64), np.zeros(0, np.float32)))
     monkeypatch.setattr(toxicity, "MEMO", 3)
-    assert scorer.features("one two three four five six") == pytest.approx([0, 0, 0, 0, np.log1p(6)])
+    got = scorer.features(pa.array([["one", "two", "three", "four", "five", "six"], [], ["one"]]))
+    assert got == pytest.approx(np.array([[0, 0, 0, 0, np.log1p(6)], [0] * 5, [0, 0, 0, 0, np.log1p(1)]]))
+
+
+def brute_shared(words):
+    """Kneser-Ney chances, by string, of the shared orders, from the words (with repeats)."""
+    grams = Counter()
+    for w in words:
+        padded = f"_{w}_"
+        for i in range(2, len(padded) + 1):
+            grams[padded[max(0, i - toxicity.ORDER) : i]] += 1
+    weights, above = {}, {g for g in grams if len(g) == toxicity.ORDER}
+    for order in range(toxicity.ORDER - 1, 0, -1):
+        level = Counter(g[-order:] for g in above)
+        level.update({g: n for g, n in grams.items() if len(g) == order and g[0] == "_"})
+        weights[order], above = level, set(level)
+    chances = {}
+    for order in range(1, toxicity.ORDER):
+        heads = defaultdict(list)
+        for g, n in weights[order].items():
+            heads[g[:-1]].append(n)
+        for g, n in weights[order].items():
+            every = heads[g[:-1]]
+            chances[g] = (n - toxicity.DISCOUNT + toxicity.DISCOUNT * len(every) * chances.get(g[1:], toxicity.UNIFORM)) / sum(every)
+    return grams, weights, chances
+
+
+def test_toxicity_model_against_brute_force(spark, prose):
+    toxic, other = (prose(n, seed).split() for n, seed in ((60, 71), (400, 72)))
+    counts = Counter(toxic + other)
+    rows = [(w, Counter(toxic)[w], Counter(other)[w], n) for w, n in counts.items()]
+    df = spark.createDataFrame(rows, "word string, n_tox long, n_ord long, n_all long")
+    grams, weights, chances = brute_shared(toxic + other)
+    frame = spark.createDataFrame(list(grams.items()), "gram string, n_all long")
+    got = {r["tail"]: r["p"] for r in toxicity.shared(frame).collect()}
+    assert got.keys() == chances.keys() and all(got[g] == pytest.approx(chances[g], rel=1e-12) for g in got)
+
+    model = {r["text"]: r["llr"] for r in toxicity.ratios(df).collect()}
+    by_class = {name: brute_shared(words)[0] for name, words in (("tox", toxic), ("ord", other))}
+
+    def chance(gram, name):
+        after = {g: n for g, n in by_class[name].items() if g[:-1] == gram[:-1]}
+        back = chances.get(gram[1:], toxicity.UNIFORM)
+        if not after:
+            return back
+        return (max(after.get(gram, 0) - toxicity.DISCOUNT, 0) + toxicity.DISCOUNT * len(after) * back) / sum(after.values())
+
+    for gram in by_class["tox"] | by_class["ord"]:
+        assert model[gram] == pytest.approx(np.log(chance(gram, "tox") / chance(gram, "ord")), abs=1e-5)
+
+
+def test_shared_chances_sum_to_one(prose):
+    """Over the UNIFORM ** -1 characters that there can be, after each context of each order."""
+    _, weights, chances = brute_shared(prose(300, 73).split())
+    alphabet = {g for g in weights[1]}
+
+    def chance(g):
+        if not g:
+            return toxicity.UNIFORM
+        if g in chances:
+            return chances[g]
+        after = [n for t, n in weights[len(g)].items() if t[:-1] == g[:-1]]
+        back = chance(g[1:])
+        return toxicity.DISCOUNT * len(after) * back / sum(after) if after else back
+
+    unseen = round(1 / toxicity.UNIFORM) - len(alphabet)
+    for order in (1, 2, 3):
+        for head in list({g[:-1] for g in weights[order] if not g.startswith("_")})[:20]:
+            total = sum(chance(head + c) for c in alphabet) + unseen * chance(head + "\x00")
+            assert total == pytest.approx(1)
 
 
 @pytest.mark.parametrize("op", [quality, toxicity])
@@ -148,8 +221,10 @@ def test_toxicity_cuts_words_at_numerals_both_ways(spark, make, mild_and_toxic,
     one = {r["doc_id"]: r["score"] for r in toxicity.classify(docs, labels).collect()}
     monkeypatch.setattr(toxicity, "MODEL_ROWS", 0)
     two = {r["doc_id"]: r["score"] for r in toxicity.classify(docs, labels).collect()}
-    assert one.keys() == two.keys() and all(abs(one[k] - two[k]) < 1e-4 for k in one)
+    assert one.keys() == two.keys() and all(abs(one[k] - two[k]) < 1e-9 for k in one)
 
 
-def test_words_are_letters_only():
-    assert toxicity.WORDS("x\u00b2y \u00bdcup \u2167 na\u00efve 日本3語 a_b") == ["x", "y", "cup", "na\u00efve", "日本", "語", "a", "b"]
+def test_words_are_letters_only(spark):
+    text = "x\u00b2y \u00bdcup \u2167 na\u00efve 日本3語 a_b"
+    row = spark.createDataFrame([(text,), ("",)], "text string").select(toxicity.words_of(F.col("text")).alias("w")).collect()
+    assert row[0]["w"] == ["x", "y", "cup", "na\u00efve", "日本", "語", "a", "b"] and row[1]["w"] == []
