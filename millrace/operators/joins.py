@@ -4,24 +4,41 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from ..registry import query, statement
 from ..tables import table
 
 
-def asof_join(left: DataFrame, right: DataFrame, keys: list[str], left_time: str, right_time: str, take: list[str], tie: str) -> DataFrame:
+def asof_join(left: DataFrame, right: DataFrame, keys: list[str], left_time: str, right_time: str, take: list[str], tie: str, width: int = 86_400) -> DataFrame:
     """Each row of left with `take` of the last row of right that has its keys and no later time; null if there is none.
 
-    Both sides go through one shuffle by keys, as one frame in order of time, and the last right row is carried along: rows
-    never multiply as they would in a join with a range condition. Of right rows with equal times, the greatest `tie` counts.
+    Both sides go through one shuffle by keys and piece of time, as one frame in order of time, and the last right row is carried
+    along: rows never multiply as they would in a join with a range condition. What a piece has at its beginning comes from one
+    row for each key and piece, so a key with a third of all rows is spread over its pieces. width: seconds in a piece, for
+    times; units for numbers. Of right rows with equal times, the greatest `tie` counts. Null keys meet nothing.
     """
+    def kind(df: DataFrame, c: Column) -> str:
+        return df.select(c.alias("c")).schema["c"].dataType.simpleString()
+
+    def piece(df: DataFrame, time: str) -> Column:
+        t = F.col(time)
+        return F.floor((t if isinstance(df.schema[time].dataType, NumericType) else F.unix_timestamp(t.cast("timestamp"))) / width)
+
     value = F.struct(*[F.col(c) for c in take])
-    kind = right.select(value.alias("v")).schema["v"].dataType.simpleString()
-    a = left.select(*keys, F.col(left_time).alias("_time"), F.lit(1).alias("_side"), F.lit(None).cast("long").alias("_tie"), F.struct(*left.columns).alias("_row"), F.lit(None).cast(kind).alias("_value"))
-    b = right.select(*keys, F.col(right_time).alias("_time"), F.lit(0).alias("_side"), F.col(tie).cast("long").alias("_tie"), F.lit(None).cast(left.select(F.struct(*left.columns).alias("r")).schema["r"].dataType.simpleString()).alias("_row"), value.alias("_value"))
-    before = Window.partitionBy(*keys).orderBy("_time", "_side", "_tie").rowsBetween(Window.unboundedPreceding, 0)
-    carried = a.unionByName(b).withColumn("_last", F.last("_value", ignorenulls=True).over(before)).where("_side = 1")
-    return carried.select("_row.*", *[F.col(f"_last.{c}").alias(f"asof_{c}") for c in take])
+    a = left.select(*keys, F.col(left_time).alias("_time"), piece(left, left_time).alias("_piece"), F.lit(1).alias("_side"), F.lit(None).cast("long").alias("_tie"), F.struct(*left.columns).alias("_row"), F.lit(None).cast(kind(right, value)).alias("_value"))
+    b = right.dropna(subset=keys).select(*keys, F.col(right_time).alias("_time"), piece(right, right_time).alias("_piece"), F.lit(0).alias("_side"), F.col(tie).cast("long").alias("_tie"), F.lit(None).cast(kind(left, F.struct(*left.columns))).alias("_row"), value.alias("_value"))
+    rows = a.unionByName(b)
+    within = Window.partitionBy(*keys, "_piece").orderBy("_time", "_side", "_tie").rowsBetween(Window.unboundedPreceding, 0)
+    carried = rows.withColumn("_last", F.last("_value", ignorenulls=True).over(within)).where("_side = 1")
+    ends = rows.select(*keys, "_piece", F.when(F.col("_side") == 0, F.struct("_time", "_tie", "_value")).alias("_end")).groupBy(*keys, "_piece").agg(F.max("_end")["_value"].alias("_end"))
+    before = Window.partitionBy(*keys).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_piece").alias("_p"), F.last("_end", ignorenulls=True).over(before).alias("_before")).where("_before IS NOT NULL")
+    on = F.col("_piece") == F.col("_p")
+    for k in keys:
+        on &= F.col(k) == F.col(f"_k_{k}")
+    met = carried.join(ends, on, "left").withColumn("_last", F.coalesce("_last", "_before"))
+    return met.select("_row.*", *[F.col(f"_last.{c}").alias(f"asof_{c}") for c in take])
 
 
 def range_join(left: DataFrame, right: DataFrame, point: str, low: str, high: str, width: float, how: str = "inner") -> DataFrame:

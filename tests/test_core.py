@@ -37,13 +37,15 @@ def test_entry_runs(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
-def test_asof_join_against_brute_force(spark):
-    left = [(1, 10, 5), (2, 10, 1), (3, 20, 9), (4, None, 3), (5, 10, 7)]
-    right = [(100, 10, 2), (101, 10, 5), (102, 10, 5), (103, 20, 10)]
+@pytest.mark.parametrize("width", [1, 4, 1000])
+def test_asof_join_against_brute_force(spark, width):
+    left = [(1, 10, 5), (2, 10, 1), (3, 20, 9), (4, None, 3), (5, 10, 7), (6, 30, 50), (7, 10, 40), (8, 10, 40)]
+    right = [(100, 10, 2), (101, 10, 5), (102, 10, 5), (103, 20, 10), (104, None, 1), (105, 30, 3), (106, 10, 12)]
     a = spark.createDataFrame(left, "id long, k long, t long")
     b = spark.createDataFrame(right, "rid long, k long, t long")
-    got = {r["id"]: r["asof_rid"] for r in joins.asof_join(a, b, ["k"], "t", "t", ["rid"], "rid").collect()}
-    assert got == {1: 102, 2: None, 3: None, 4: None, 5: 102}
+    got = {r["id"]: r["asof_rid"] for r in joins.asof_join(a, b, ["k"], "t", "t", ["rid"], "rid", width).collect()}
+    want = {i: max(((u, r) for r, j, u in right if j == k and k is not None and u <= t), default=(0, None))[1] for i, k, t in left}
+    assert got == want
 
 
 def test_range_join_against_brute_force(spark):
