@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import shutil
 import tempfile
@@ -61,7 +62,8 @@ def map_arrow(df: DataFrame, run: Callable, schema: str | object, operator: str
     context = df.sparkSession.sparkContext
     if context.applicationId not in _shipped:
         root = Path(__file__).resolve().parent.parent
-        folder = tempfile.mkdtemp()
+        folder = tempfile.mkdtemp()  # the driver serves the archive from here
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
         archive = shutil.make_archive(os.path.join(folder, "millrace_code"), "zip", root.parent, root.name)
         context.addPyFile(archive)
         _shipped.add(context.applicationId)
