@@ -54,6 +54,20 @@ def range_join(left: DataFrame, right: DataFrame, point: str, low: str, high: st
     return a.join(b, (a["_bin"] == b["_bin"]) & (F.col(point) >= F.col(low)) & (F.col(point) < F.col(high)), how).drop("_bin")
 
 
+def interval_join(left: DataFrame, right: DataFrame, keys: list[str], left_time: str, right_time: str, width: int) -> DataFrame:
+    """Rows with equal keys where right's time is between left's and `width` seconds later, both included.
+
+    An equality join on keys and pieces of time, of which a left row stands in two, and a check: a key with a third of all rows
+    is spread over its pieces. Columns besides keys differ.
+    """
+    def piece(time: str) -> Column:
+        return F.floor(F.unix_timestamp(F.col(time).cast("timestamp")) / width)
+
+    a = left.withColumn("_piece", F.explode(F.array(piece(left_time), piece(left_time) + 1)))
+    met = a.join(right.withColumn("_piece", piece(right_time)), [*keys, "_piece"])
+    return met.where((F.col(right_time) >= F.col(left_time)) & (F.col(right_time) <= F.col(left_time) + F.expr(f"INTERVAL '{width}' SECOND"))).drop("_piece")
+
+
 def salted_join(large: DataFrame, small: DataFrame, key: str, salts: int, how: str = "inner", by: Column | None = None) -> DataFrame:
     """An equality join in which each key of large is dealt over `salts` tasks and small is repeated as often.
 
@@ -87,10 +101,6 @@ statement("join_cross", "SELECT r_name, n_name FROM region CROSS JOIN nation")
 statement("join_theta", "SELECT a.o_orderkey AS earlier, b.o_orderkey AS later FROM orders a JOIN orders b ON a.o_custkey = b.o_custkey AND a.o_orderdate < b.o_orderdate WHERE a.o_totalprice > 300000")
 statement("join_using", "SELECT doc_id, quality, source FROM documents JOIN labels USING (doc_id)")
 statement("join_self_nulls", "SELECT a.n_nationkey AS n, b.r_name FROM nation a LEFT JOIN region b ON nullif(a.n_regionkey, 3) <=> b.r_regionkey", "SELECT a.n_nationkey AS n, b.r_name FROM nation a LEFT JOIN region b ON nullif(a.n_regionkey, 3) IS NOT DISTINCT FROM b.r_regionkey")
-statement(
-    "join_interval",
-    "SELECT a.event_id AS view_id, b.event_id AS click_id FROM events a JOIN events b ON a.user_id = b.user_id AND b.ts BETWEEN a.ts AND a.ts + INTERVAL '2' HOUR WHERE a.event_type = 'view' AND b.event_type = 'click'",
-)
 statement(
     "join_lateral",
     "SELECT c_custkey, o_orderkey, o_totalprice FROM customer, LATERAL (SELECT o_orderkey, o_totalprice FROM orders WHERE o_custkey = c_custkey ORDER BY o_totalprice DESC, o_orderkey LIMIT 2)",
@@ -105,6 +115,14 @@ def join_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
     return asof_join(left, e.where("event_type = 'view'"), ["user_id"], "ts", "ts", ["event_id"], "event_id").drop("user_id")
 
 
+@query("SELECT a.event_id AS view_id, b.event_id AS click_id FROM events a JOIN events b ON a.user_id = b.user_id AND b.ts BETWEEN a.ts AND a.ts + INTERVAL '2' HOUR WHERE a.event_type = 'view' AND b.event_type = 'click'")
+def join_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    views = e.where("event_type = 'view'").select("user_id", F.col("event_id").alias("view_id"), F.col("ts").alias("view_ts"))
+    clicks = e.where("event_type = 'click'").select("user_id", F.col("event_id").alias("click_id"), F.col("ts").alias("click_ts"))
+    return interval_join(views, clicks, ["user_id"], "view_ts", "click_ts", 7200).select("view_id", "click_id")
+
+
 @query("SELECT p_partkey, b.low FROM part JOIN (SELECT unnest(range(0, 2000, 25)) AS low) b ON p_retailprice >= b.low AND p_retailprice < b.low + 40")
 def join_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     bands = spark.range(0, 2000, 25).select(F.col("id").alias("low"), (F.col("id") + 40).alias("high"))

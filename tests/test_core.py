@@ -57,6 +57,18 @@ def test_range_join_against_brute_force(spark):
     assert got == sorted((p, r) for p in points for r, low, high in ranges if low <= p < high)
 
 
+def test_interval_join_against_brute_force(spark):
+    from datetime import datetime, timedelta
+
+    zero = datetime(2024, 1, 1)
+    left = [(i, i % 2, zero + timedelta(seconds=37 * i, milliseconds=500)) for i in range(30)] + [(99, None, zero)]
+    right = [(i, i % 2, zero + timedelta(seconds=41 * i)) for i in range(30)] + [(98, 0, zero + timedelta(milliseconds=500)), (97, None, zero)]
+    a = spark.createDataFrame(left, "i long, k long, t timestamp_ntz")
+    b = spark.createDataFrame(right, "j long, k long, u timestamp_ntz")
+    got = sorted((r["i"], r["j"]) for r in joins.interval_join(a, b, ["k"], "t", "u", 90).collect())
+    assert got == sorted((i, j) for i, k, t in left for j, m, u in right if k is not None and k == m and t <= u <= t + timedelta(seconds=90))
+
+
 def test_salted_join_keeps_rows(spark):
     a = spark.range(1000).select(F.lit(1).alias("k"), "id")
     b = spark.createDataFrame([(1, "x"), (2, "y")], "k int, v string")
