@@ -139,11 +139,11 @@ COUNTS, COUNT_BITS = 12, 5
 def _codes(hit: Column, c: EntropyClass) -> Column:
     """For each character of hit, where its count stands."""
 
-    def place(code: int) -> Column:
+    def place(code: int) -> str:
         word, bit = divmod(code, COUNTS)
-        return F.struct(F.lit(code).alias("code"), F.lit(word).alias("word"), F.lit(bit * COUNT_BITS).alias("bit"), F.lit(1 << bit * COUNT_BITS).cast("long").alias("one"))
+        return f"struct({code} AS code, {word} AS word, {bit * COUNT_BITS} AS bit, {1 << bit * COUNT_BITS}L AS one)"
 
-    places = F.array(*[place(k) for k in range(len(c.alphabet))])
+    places = F.expr(f"array({', '.join(place(k) for k in range(len(c.alphabet)))})")
     chars = F.filter(F.split(hit, ""), lambda ch: ch != "")
     return F.transform(chars, lambda ch: F.element_at(places, F.instr(F.lit(c.alphabet), ch)))
 
@@ -154,8 +154,8 @@ def _entropy_windows(hit: Column, c: EntropyClass) -> Column:
     The window begins anew with each block of places, so that no fold is longer than a block and a window.
     """
     values, w = c.table, c.window
-    step_of = F.array(*[F.lit(b - a) for a, b in zip(values, values[1:])])  # what the sum gains with the n-th equal character
-    nothing = F.struct(F.lit(-1).alias("code"), F.lit(-1).alias("word"), F.lit(0).alias("bit"), F.lit(0).cast("long").alias("one"))
+    step_of = F.expr(f"array({', '.join(str(b - a) for a, b in zip(values, values[1:]))})")  # what the sum gains with the n-th equal character
+    nothing = F.expr("struct(-1 AS code, -1 AS word, 0 AS bit, 0L AS one)")
     zero = F.struct(F.array_repeat(F.lit(0).cast("long"), -(-len(c.alphabet) // COUNTS)).alias("n"), F.lit(0).alias("sum"), F.lit(0).alias("at"), _ints().alias("starts"))
 
     def count(acc: Column, place: Column) -> Column:
