@@ -11,7 +11,7 @@ template is its number of tokens, its first LEAD tokens and its constants; so li
 beginning make templates of their own, each counted on its own lines alone.
 
 Dropped, but for the first document that has it (by id, then text hash; all its lines stay):
-- an equal line that stands in at least LINE_DOCS documents;
+- an equal line that stands in two documents or more;
 - a template that stands in at least TEMPLATE_DOCS documents and whose constants, leading tokens included, are FIXED of its
   places or more.
 Lines of fewer than MIN_TOKENS tokens and fewer than MIN_CHARS characters besides white space are never dropped.
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import WS, spread_join, staged, text_of
 
-LEAD, MIN_TOKENS, MIN_CHARS, LINE_DOCS, TEMPLATE_DOCS = 3, 3, 10, 2, 3
+LEAD, MIN_TOKENS, MIN_CHARS, TEMPLATE_DOCS = 3, 3, 10, 3
 #: At least FIXED[0] of FIXED[1] of a template's places are constant.
 FIXED = (3, 5)
 FIELD = "<*>"
@@ -108,7 +108,7 @@ def dropped_lines(documents: DataFrame) -> DataFrame:
     """d_id, d_hash and the numbers, from 0, of the lines that go, of each document (d_id, d_hash, text) that has some."""
     narrow = staged(_lines(documents), "line-hashes").where("judged")
     ends = [F.min(_here()).alias("first"), F.max(_here()).alias("last"), F.count(F.lit(1)).alias("rows")]
-    met = narrow.groupBy("line").agg(*ends).where("first != last")  # in two documents, so LINE_DOCS
+    met = narrow.groupBy("line").agg(*ends).where("first != last")  # in two documents
     same = staged(met.select("line", "first", "rows"), "line-recurring")
 
     tree = narrow.where(F.col("leaf").isNotNull())
