@@ -305,19 +305,18 @@ def read_tokens(manifest: DataFrame, folder: str, id_type: str = "long") -> Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, root = _file_system(folder)
         for batch in batches:
-            for name in batch.column(0).to_pylist():
+            for name, before in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 with system.open_input_file(f"{root}/{name}") as f:
                     shard = Shard(f.read())
                 ids, starts = shard.ids().astype("<u4"), shard.starts.astype(np.int64)
                 crcs = [zlib.crc32(ids[a:b]) for a, b in zip(starts[:-1].tolist(), starts[1:].tolist())]
                 names = pa.array(shard.doc_ids, pa.int64() if id_type == "long" else pa.string())
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(crcs)), names, pa.array(starts[:-1]), pa.array(np.diff(starts)), pa.array(crcs, pa.int64())], ["shard", "doc_id", "within", "n_tokens", "ids_crc32"])
+                yield pa.RecordBatch.from_arrays([names, pa.array(starts[:-1] + before), pa.array(np.diff(starts)), pa.array(crcs, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     parts = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = map_arrow(manifest.select("shard").repartition(parts, "shard"), run, f"shard string, doc_id {id_type}, within long, n_tokens long, ids_crc32 long")
-    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # over one row for each file
-    shards = manifest.select(F.col("shard").alias("s_shard"), F.coalesce(F.sum("tokens").over(before), F.lit(0)).alias("s_start"))
-    return rows.join(shards, F.col("shard") == F.col("s_shard")).select("doc_id", (F.col("s_start") + F.col("within")).alias("start"), "n_tokens", "ids_crc32")
+    earlier = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # over one row for each file
+    shards = manifest.select("shard", F.coalesce(F.sum("tokens").over(earlier), F.lit(0)).alias("before"))
+    return map_arrow(shards.repartition(parts, "shard"), run, f"doc_id {id_type}, start long, n_tokens long, ids_crc32 long")
 
 
 def token_output(docs: DataFrame, tokenizer: str, end_id: int, folder: str | None = None, **columns: str) -> DataFrame:
