@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, exact_dedup, line_dedup, mixing, quality, secrets, simhash, suffix_dedup, token_store, toxicity
+from . import bpe, decontamination, exact_dedup, line_dedup, mixing, periodic_runs, quality, secrets, simhash, suffix_dedup, token_store, toxicity, vector_codes
+from .common import WS, spread_join, staged
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,7 +70,62 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_secret_scan, op3_source_mixing, op4_simhash_near_dedup, op5_decontamination, op6_token_output, op7_toxicity, op8_suffix_dedup, op9_quality_classifier, op10_line_dedup)}
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """docs; in about a tenth of them, which the ids' CRC chooses, the words from some place on repeat with a period."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    words = F.when(h % 10 == 0, F.filter(F.split("text", f"[{WS}]+"), lambda w: w != ""))
+    cut = docs.select("doc_id", "text", words.alias("w"), F.floor(h / 10).alias("g"))
+    a = (F.col("g") % F.size("w")).cast("int")
+    cut = cut.select("doc_id", "text", "w", F.when(F.size("w") > 0, a).alias("a"), "g")
+    cut = cut.withColumn("p", F.lit(1) + F.floor((F.size("w") - F.col("a")) / (3 + F.col("g") % 8)).cast("int"))
+    tail = F.transform(F.sequence(F.col("a"), F.size("w") - 1), lambda i: F.element_at("w", F.col("a") + (i - F.col("a")) % F.col("p") + 1))
+    planted = F.array_join(F.concat(F.slice("w", F.lit(1), F.col("a")), tail), " ")
+    return cut.select("doc_id", F.when(F.col("a").isNotNull(), planted).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = periodic_runs.periodic_runs(with_planted_runs(table(spark, sf_dir, "documents")))
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("back"), (-r["period"]).alias("short"))))
+    rows = rows.withColumn("longest", longest)
+    length, period = F.col("longest.length"), -F.col("longest.short")
+    listed = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), F.concat(r["period"].cast("string"), F.lit("\n")))), "")
+    return rows.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        (-F.col("longest.back")).alias("start"),
+        length.alias("length"),
+        period.alias("period"),
+        F.expr("1000 * longest.length div -longest.short").alias("exponent_milli"),
+        F.sha2(listed, 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    books = vector_codes.train(rows)
+    coded = staged(vector_codes.encode(rows, books, keep=("label",)), "vector-codes")
+    label = F.coalesce(F.concat(F.lit("="), F.col("label").cast("string")), F.lit("")).alias("kind")
+    sums = staged(coded.groupBy(label).agg(F.sum("error").alias("label_error"), F.count(F.lit(1)).alias("n")), "vector-labels")
+    joined = spread_join(coded.select("vec_id", "codes", "error", label), sums, ["kind"], "n")
+    code = F.array_join(F.transform("codes", lambda c: F.lower(F.lpad(F.hex(c), 2, "0"))), "")
+    digest = F.sha2(F.lit(vector_codes.digits(books)), 256)
+    return joined.select("vec_id", code.alias("code"), "error", "label_error", digest.alias("codebooks_sha256"))
+
+
+def word_tokenizer_file() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op13_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = bpe.encode(table(spark, sf_dir, "documents"), word_tokenizer_file())
+    ids = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_secret_scan, op3_source_mixing, op4_simhash_near_dedup, op5_decontamination, op6_token_output, op7_toxicity, op8_suffix_dedup, op9_quality_classifier, op10_line_dedup, op11_periodic_runs, op12_vector_codes, op13_bpe_round_trip)}
 
 
 def _hits_sql(kind: str, pattern: str) -> str:
@@ -131,6 +187,44 @@ FROM d LEFT JOIN spans USING (rid)
 """
 
 
+def _codes_sql(parts: int, entries: int, rounds: int, scale: int) -> str:
+    """The rounds one after the other; each part is a list of whole numbers, each codebook a relation of lists."""
+    def assigned(k: int) -> str:
+        far = "list_sum(list_transform(range(1, len(v) + 1), lambda i: (v[i] - b[i]) * (v[i] - b[i])))::BIGINT"
+        return f"""
+assigned{k} AS MATERIALIZED (
+  SELECT row, part, v, min([{far}, entry]) AS best
+  FROM cut JOIN book{k} USING (part) GROUP BY row, part, v)"""
+
+    def means(k: int) -> str:
+        return f"""
+got{k} AS (
+  SELECT part, best[2] AS entry, i, floor(sum(v[i])::HUGEINT::DOUBLE / count(*))::BIGINT AS mean
+  FROM assigned{k}, unnest(range(1, len(v) + 1)) AS u(i) GROUP BY ALL),
+book{k + 1} AS MATERIALIZED (
+  SELECT part, entry, coalesce(n.b, o.b) AS b
+  FROM book{k} o LEFT JOIN (SELECT part, entry, list(mean ORDER BY i) AS b FROM got{k} GROUP BY ALL) n USING (part, entry))"""
+
+    steps = [s for k in range(rounds) for s in (assigned(k), means(k))] + [assigned(rounds)]
+    return f"""
+WITH fit AS (
+  SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS row, vec_id, label,
+         list_transform(embedding, lambda x: floor({scale} * x::DOUBLE)::BIGINT) AS x
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+cut AS MATERIALIZED (
+  SELECT row, part, x[part * (len(x) // {parts}) + 1 : (part + 1) * (len(x) // {parts})] AS v
+  FROM fit, (SELECT unnest(range(0, {parts})) AS part)),
+book0 AS (SELECT part, row - 1 AS entry, v AS b FROM cut WHERE row <= {entries}),{",".join(steps)},
+coded AS (
+  SELECT row, string_agg(printf('%02x', best[2]), '' ORDER BY part) AS code, sum(best[1])::BIGINT AS error
+  FROM assigned{rounds} GROUP BY row),
+digest AS (SELECT sha256(string_agg(array_to_string(b, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM book{rounds})
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256
+FROM fit JOIN coded USING (row), digest
+"""
+
+
 ORACLE_SQL = {
     "op1_exact_dedup": r"""
 WITH n AS (
@@ -267,4 +361,38 @@ kept AS (
 SELECT e.doc_id, len(raw) AS n_lines, coalesce(len(numbers), 0) AS n_dropped, sha256(stay) AS kept_sha256
 FROM every e JOIN kept k ON e.doc_id IS NOT DISTINCT FROM k.doc_id AND e.h = k.h
 """,
+    "op11_periodic_runs": r"""
+WITH h AS (
+  SELECT row_number() OVER () AS rid, doc_id, crc32,
+         list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x != '') AS w
+  FROM (
+    SELECT *, xor(4294967295, list_reduce(
+      list_concat([4294967295], flatten(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: [ord(c)::BIGINT, 0, 0, 0, 0, 0, 0, 0]))),
+      lambda c, b: CASE WHEN xor(c, b) & 1 = 1 THEN xor(xor(c, b) >> 1, 3988292384) ELSE xor(c, b) >> 1 END)) AS crc32
+    FROM documents)),
+p AS (
+  SELECT rid, doc_id, w, a, 1 + (len(w) - a) // (3 + g % 8) AS p
+  FROM (SELECT *, CASE WHEN crc32 % 10 = 0 AND len(w) > 0 THEN g % len(w) END AS a FROM (SELECT *, crc32 // 10 AS g FROM h))),
+d AS (
+  SELECT rid, doc_id, CASE WHEN a IS NULL THEN w ELSE list_transform(range(0, len(w)), lambda i: CASE WHEN i < a THEN w[i + 1] ELSE w[a + (i - a) % p + 1] END) END AS w
+  FROM p),
+grams AS (SELECT rid, i, w[i + 1 : i + 6] AS gram FROM d, unnest(range(0, len(w) - 5)) AS u(i)),
+pairs AS (SELECT a.rid, a.i, b.i - a.i AS q FROM grams a JOIN grams b ON a.rid = b.rid AND a.gram = b.gram AND a.i < b.i),
+islands AS (SELECT *, i - row_number() OVER (PARTITION BY rid, q ORDER BY i) AS island FROM pairs),
+found AS (SELECT rid, q, min(i) AS start, count(*) + 5 + q AS length FROM islands GROUP BY rid, q, island HAVING count(*) + 5 >= q),
+runs AS (SELECT rid, start, length, min(q) AS period FROM found WHERE length >= 12 GROUP BY rid, start, length),
+per AS (
+  SELECT rid, count(*) AS n_runs, arg_max({'s': start, 'l': length, 'q': period}, [length, -start, -period]) AS top,
+         sha256(string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period)) AS runs_sha256
+  FROM runs GROUP BY rid),
+gone AS (SELECT DISTINCT rid, unnest(range(start + period, start + length)) AS i FROM runs),
+kept AS (
+  SELECT rid, string_agg(word, ' ' ORDER BY i) AS stay
+  FROM (SELECT rid, i, w[i + 1] AS word FROM d, unnest(range(0, len(w))) AS u(i)) ANTI JOIN gone USING (rid, i)
+  GROUP BY rid)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, top.s AS start, top.l AS length, top.q AS period, 1000 * top.l // top.q AS exponent_milli,
+       coalesce(runs_sha256, sha256('')) AS runs_sha256, sha256(coalesce(stay, '')) AS collapsed_sha256
+FROM d LEFT JOIN per USING (rid) LEFT JOIN kept USING (rid)
+""",
+    "op12_vector_codes": _codes_sql(4, 256, 4, 1024),
 }
