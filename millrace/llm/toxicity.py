@@ -58,9 +58,16 @@ def word_counts(docs: DataFrame, chosen: DataFrame) -> DataFrame:
 
 
 def grams_of(word: Column) -> Column:
-    """The n-grams that end at each character of the word and at its end; '_' stands for the word's ends."""
-    padded = F.concat(F.lit("_"), word, F.lit("_"))
-    return F.transform(F.sequence(F.lit(2), F.length(word) + 2), lambda i: F.substring(padded, F.greatest(F.lit(1), i - (ORDER - 1)), F.least(F.lit(ORDER), i)))
+    """The n-grams that end at each character of the word and at its end; '_' stands for the word's ends.
+
+    The word is cut into characters once, in a list that a lambda holds, so the work is linear in its length.
+    """
+    ends = F.array(F.lit("_"))
+
+    def of(chars: Column) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.size(chars) - 1), lambda i: F.concat_ws("", *[F.get(chars, i - k) for k in range(ORDER - 1, -1, -1)]))
+
+    return F.element_at(F.transform(F.array(F.concat(ends, F.split(word, ""), ends)), of), 1)
 
 
 def _before(gram: str) -> Column:
