@@ -107,7 +107,7 @@ class Index:
         found = staged(found.where("n = terms").select("d_id", "d_hash", "window", "size", "start"), "index-found")
         by_document = found.groupBy("d_id", "d_hash").agg(F.collect_list(F.struct("window", "size", "start")).alias("places"))
         wanted = staged(found.select("d_id", "d_hash").distinct(), "index-candidates")
-        texts = _where(self.documents, _bounded(wanted), "left_semi")  # so that only their texts move
+        texts = _where(self.documents, _bounded(wanted), "left_semi").dropDuplicates(["d_id", "d_hash"])  # so that only their texts move, copies once
         texts = _where(texts, by_document.hint("merge"), "inner").select("d_id", "d_hash", "places", words_of(F.col("text")).alias("all"))
         cut = F.transform("places", lambda p: F.struct(p["window"].alias("window"), p["size"].alias("size"), p["start"].alias("start"), F.xxhash64(F.slice("all", p["start"] + 1, p["size"])).alias("h"), F.slice("all", p["start"] + 1, p["size"]).alias("read")))
         read = texts.select("d_id", "d_hash", F.explode(cut).alias("p")).select("d_id", "d_hash", "p.*")
@@ -121,7 +121,8 @@ class Index:
         Starts meet by pieces of slack + 1 words, not all of a document's with each other.
         """
         width = slack + 1
-        near = self.starts().where("terms > 1").select("d_id", "d_hash", "window", "rank", "start", F.floor(F.col("start") / width).alias("bin"))
+        near = self.starts().where("terms > 1").select("d_id", "d_hash", "window", "rank", "start").distinct()  # copies once
+        near = near.withColumn("bin", F.floor(F.col("start") / width))
         one = near.where("rank = 1").withColumn("bin", F.explode(F.array(*[F.col("bin") + k for k in (-1, 0, 1)])))
         one = one.select(*[F.col(c).alias(f"x_{c}") for c in ("d_id", "d_hash", "window", "bin", "start")])
         on = F.col("d_id").eqNullSafe(F.col("x_d_id")) & (F.col("d_hash") == F.col("x_d_hash")) & (F.col("window") == F.col("x_window")) & (F.col("bin") == F.col("x_bin"))
