@@ -6,8 +6,8 @@ bounded number of such sums. Ridge scores of training rows that took no part in
 chance.
 
 Labels come from a hash sample of at most about MAX_TRAIN labelled rows outside the held-out fold; the model reads the texts of
-these alone. Then each document is read once, for its statistics and score. Training rows are added up in order of id, so
-reruns agree to the last bit. Null texts count as empty, and empty texts get a score as any other. Documents with a null id are never held
+these alone, one row an id (of repeated ids the one with the least statistics). Then each document is read once, for its statistics and
+score. Training rows are added up in order of id and scores worked out in blocks of one shape, so reruns agree to the last bit. Null texts count as empty, and empty texts get a score as any other. Documents with a null id are never held
 out. Repeated rows get equal scores. Without labels of both kinds every score is the share of label 1, or 0.5 without any.
 """
 
@@ -30,6 +30,8 @@ MAX_TRAIN = 80_000
 #: Partitions of the training rows, so sums that come to the driver at once.
 TRAIN_PARTS = 16
 FEATURES, RIDGE, SEED = 384, 1.0, 20240
+#: Rows scored at once.
+BLOCK = 1_024
 
 #: Classes of bytes by which a text's bytes are counted.
 _CLASS = np.full(256, 7, dtype=np.int64)  # control characters
@@ -91,7 +93,14 @@ class Model:
         return np.column_stack([np.cos(z @ self.directions + self.phases) * np.sqrt(2 / FEATURES), z, np.ones(len(z))])
 
     def raw(self, stats: np.ndarray) -> np.ndarray:
-        return self.features(stats) @ self.weights
+        """Worked out in blocks of one shape, as a product's last bits turn with its shape: a row's score doesn't depend on its batch."""
+        out = np.empty(len(stats))
+        for at in range(0, len(stats), BLOCK):
+            mine = stats[at : at + BLOCK]
+            block = np.zeros((BLOCK, stats.shape[1]))
+            block[: len(mine)] = mine
+            out[at : at + BLOCK] = np.einsum("ij,j->i", self.features(block), self.weights)[: len(mine)]
+        return out
 
     def score(self, stats: np.ndarray) -> np.ndarray:
         if self.weights is None:
@@ -116,7 +125,7 @@ def _sums(rows: DataFrame, of) -> np.ndarray | None:
             yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["sums"])
 
     total = None
-    for row in map_arrow(rows, run, "sums binary").toLocalIterator():
+    for row in map_arrow(rows, run, "sums binary").collect():  # TRAIN_PARTS rows, in order of the partitions
         part = np.frombuffer(row["sums"])
         total = part if total is None else total + part
     return total
@@ -127,6 +136,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str, folds: int, fold: in
     chosen = training_labels(labels, label_col, folds, fold, MAX_TRAIN, id_col)
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     rows = document_statistics(base.join(F.broadcast(chosen), "doc_id"))  # chosen has about MAX_TRAIN rows at most
+    rows = rows.groupBy("doc_id", "label", "part").agg(F.min("stats").alias("stats"))  # one row an id, however often it comes
     rows = staged(rows.repartition(TRAIN_PARTS, "doc_id").sortWithinPartitions("doc_id", "stats"), "quality-train")
     ones = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     model = Model(ones.get(1, 0) / sum(ones.values()) if ones else 0.5)
@@ -151,7 +161,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str, folds: int, fold: in
     sums = _sums(fitting, normal_equations)
     k = FEATURES + d + 1
     model.weights = np.linalg.solve(sums[: k * k].reshape(k, k) + RIDGE * np.eye(k), sums[k * k :])
-    held = calibration.select("stats", "label").toArrow()  # bounded by MAX_TRAIN
+    held = calibration.select("stats", "label").toArrow()  # a part of the MAX_TRAIN ids
     raw = model.raw(np.array(held.column("stats").to_pylist(), dtype=np.float64))
     model.knots, model.chances = isotonic(raw, np.array(held.column("label").to_pylist()))
     return model
