@@ -9,9 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from millrace.llm import decontamination, mixing, quality, simhash, token_store
-from millrace.llm.common import staged
 from millrace.llm.queries import table, tokenizer_file
-from millrace.storage import last_path, mark, release
+from millrace.storage import Run
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,8 +52,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows. What a stage has written on its way, and its input, go when its output is there."""
-    docs, before = table(spark, sf_dir, "documents"), mark()
-    for name, stage in STAGES[:-1]:
-        docs = staged(stage(spark, docs, sf_dir), name.replace(" ", "-"))
-        release(before, (last_path(),))
-    return STAGES[-1][1](spark, docs, sf_dir)
+    docs = table(spark, sf_dir, "documents")
+    with Run() as mine:
+        for name, stage in STAGES[:-1]:
+            docs = mine.staged(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        return STAGES[-1][1](spark, docs, sf_dir)

@@ -5,10 +5,12 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 _written: list[tuple[SparkSession, str]] = []
+_run: ContextVar[Run | None] = ContextVar("run", default=None)
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -29,6 +31,8 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     """A new path in the shared folder; release() deletes it."""
     path = f"{scratch_dir(spark)}/millrace/{label}-{uuid.uuid4().hex}"
     _written.append((spark, path))
+    if (run := _run.get()) is not None:
+        run.paths.append((spark, path))
     return path
 
 
@@ -50,23 +54,44 @@ def _delete(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
-@atexit.register
-def release(since: int = 0, keep: tuple[str, ...] = ()) -> None:
-    """Deletes what staged() and fresh_path() have named since mark() was `since`, but for the paths in keep; frames that read it
-    are void afterwards."""
-    for spark, path in [w for w in _written[since:] if w[1] not in keep]:
+def exists(spark: SparkSession, path: str) -> bool:
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+
+def _forget(paths: list[tuple[SparkSession, str]]) -> None:
+    for spark, path in paths:
         try:
             _delete(spark, path)
         except Exception:  # noqa: BLE001  the session may be gone at exit
             pass
-    _written[since:] = [w for w in _written[since:] if w[1] in keep]
+        if (spark, path) in _written:
+            _written.remove((spark, path))
+
+
+@atexit.register
+def release() -> None:
+    """Deletes all that staged() and fresh_path() have named; frames that read it are void afterwards."""
+    _forget(list(_written))
+
+
+class Run:
+    """What is named within it, by this thread (or task) alone, whatever other runs name meanwhile."""
 
+    def __init__(self) -> None:
+        self.paths: list[tuple[SparkSession, str]] = []
 
-def mark() -> int:
-    """How many paths have been named and not released."""
-    return len(_written)
+    def __enter__(self) -> Run:
+        self._token = _run.set(self)
+        return self
 
+    def __exit__(self, *_: object) -> None:
+        _run.reset(self._token)
 
-def last_path() -> str:
-    """The path that was named last."""
-    return _written[-1][1]
+    def staged(self, df: DataFrame, label: str) -> DataFrame:
+        """staged(df, label); whatever else the run has named before goes once that is written."""
+        out = staged(df, label)
+        _forget(self.paths[:-1])
+        self.paths = self.paths[-1:]
+        return out

@@ -1,11 +1,13 @@
 """All queries of the core against DuckDB, and the helpers against brute force."""
 
+import threading
+
 import pytest
 from support import SF
 from pyspark.sql import functions as F
 
 from millrace import registry, storage, tables
-from millrace.operators import joins, vectors, windows
+from millrace.operators import joins, windows
 from millrace.storage import staged
 
 
@@ -48,15 +50,6 @@ def test_asof_join_against_brute_force(spark, width):
     assert got == want
 
 
-def test_range_join_against_brute_force(spark):
-    points = [float(x) for x in range(0, 60, 7)]
-    ranges = [(1, 0.0, 10.0), (2, 5.0, 36.0), (3, 49.0, 49.0), (4, -3.0, 100.0)]
-    a = spark.createDataFrame([(p,) for p in points], "p double")
-    b = spark.createDataFrame(ranges, "r int, low double, high double")
-    got = sorted((x["p"], x["r"]) for x in joins.range_join(a, b, "p", "low", "high", 10.0).collect())
-    assert got == sorted((p, r) for p in points for r, low, high in ranges if low <= p < high)
-
-
 def test_interval_join_against_brute_force(spark):
     from datetime import datetime, timedelta
 
@@ -93,13 +86,16 @@ def test_staged_survives_its_source(spark):
     assert df.count() == 10 and "parquet" in df.inputFiles()[0]
 
 
-def test_release_since_a_mark(spark):
+def test_a_run_deletes_its_own_tables_alone(spark):
     first = staged(spark.range(3), "test")
-    since = storage.mark()
-    second = staged(spark.range(4), "test")
-    third = staged(spark.range(5), "test")
-    storage.release(since, (storage.last_path(),))
-    assert first.count() == 3 and third.count() == 5 and storage.mark() == since + 1
+    with storage.Run() as mine:
+        second = staged(spark.range(4), "test")
+        thread = threading.Thread(target=lambda: others.append(staged(spark.range(6), "test")))
+        others = []
+        thread.start()
+        thread.join()
+        third = mine.staged(second, "test")
+    assert first.count() == 3 and third.count() == 4 and others[0].count() == 6
     with pytest.raises(Exception, match="FILE_NOT_EXIST|does not exist"):
         second.collect()
 
@@ -110,13 +106,6 @@ def test_null_keys_in_joins(spark):
     assert a.alias("a").join(a.alias("b"), F.col("a.k").eqNullSafe(F.col("b.k"))).count() == 2
 
 
-@pytest.mark.parametrize("how", ["right", "full", "outer", "cross"])
-def test_range_join_refuses_joins_that_repeat_right_rows(spark, how):
-    a, b = spark.createDataFrame([(1.0,)], "p double"), spark.createDataFrame([(0.0, 9.0)], "low double, high double")
-    with pytest.raises(ValueError):
-        joins.range_join(a, b, "p", "low", "high", 1.0, how)
-
-
 def test_names_in_strings_are_no_tables(spark):
     got = tables.sql(spark, SF, """SELECT 'orders' AS a, "part's {x}" AS b, r_name AS `nation` FROM region -- lineitem
         WHERE r_name != 'it''s region'""")
@@ -124,19 +113,6 @@ def test_names_in_strings_are_no_tables(spark):
     assert set(got.select("a", "b").first()) == {"orders", "part's {x}"}
 
 
-def test_nearest_in_blocks(spark, monkeypatch):
-    e = tables.table(spark, SF, "embeddings")
-    asked = e.where("vec_id % 100 = 0")
-    def found(rows):
-        return sorted((r["query_id"], r["rank"], r["id"], round(r["similarity"], 9)) for r in vectors.nearest(rows, asked, 3).collect())
-
-    want = found(e)
-    monkeypatch.setattr(vectors, "BLOCK", 2)
-    monkeypatch.setattr(vectors, "ROWS", 7)
-    assert found(e.repartition(3)) == want
-    assert vectors.nearest(e, asked.limit(0), 3).count() == 0
-
-
 def test_a_broken_import_is_shown(monkeypatch):
     import __spark_entry__ as entry
 
