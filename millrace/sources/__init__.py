@@ -1,3 +1,3 @@
 """Sources and sinks."""
 
-from . import formats, generated, tables_sink  # noqa: F401
+from . import formats, segments, tables_sink  # noqa: F401
