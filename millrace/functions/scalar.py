@@ -37,7 +37,11 @@ statement(
     "SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M') AS shown, epoch_us(ts) AS micros FROM events",
 )
 statement("date_trunc", "SELECT event_id, cast(date_trunc('DAY', ts) AS timestamp_ntz) AS day, cast(date_trunc('MONTH', ts) AS timestamp_ntz) AS month FROM events", "SELECT event_id, date_trunc('day', ts)::TIMESTAMP AS day, date_trunc('month', ts)::TIMESTAMP AS month FROM events")
-statement("date_parse", "SELECT cast(to_timestamp_ntz('2024-02-29 10:00', 'yyyy-MM-dd HH:mm') AS timestamp_ntz) AS t, make_date(2024, 2, 29) AS d", "SELECT strptime('2024-02-29 10:00', '%Y-%m-%d %H:%M') AS t, make_date(2024, 2, 29) AS d")
+statement(
+    "date_parse",
+    "SELECT o_orderkey, to_timestamp_ntz(concat(date_format(o_orderdate, 'dd/MM/yyyy'), ' 10:07'), 'dd/MM/yyyy HH:mm') AS t, make_date(year(o_orderdate), month(o_orderdate), 1) AS d FROM orders",
+    "SELECT o_orderkey, strptime(strftime(o_orderdate, '%d/%m/%Y') || ' 10:07', '%d/%m/%Y %H:%M') AS t, make_date(year(o_orderdate), month(o_orderdate), 1) AS d FROM orders",
+)
 statement("math", "SELECT p_partkey, round(sqrt(p_size), 9) AS root, round(ln(p_size), 9) AS log, round(power(p_size, 1.5), 6) AS p, cast(floor(p_retailprice) AS bigint) AS f, cast(ceil(p_retailprice) AS bigint) AS c, cast(sign(p_size - 25) AS bigint) AS s, abs(p_size - 25) AS a, round(exp(p_size / 50.0), 9) AS e FROM part")
 statement("bits", "SELECT p_partkey, p_size & 12 AS a, p_size | 3 AS o, p_size ^ 5 AS x, shiftleft(p_size, 2) AS l, cast(bit_count(p_size) AS bigint) AS n FROM part", "SELECT p_partkey, p_size & 12 AS a, p_size | 3 AS o, xor(p_size, 5) AS x, p_size << 2 AS l, bit_count(p_size)::BIGINT AS n FROM part")
 statement("json_path", "SELECT event_id, cast(get_json_object(props, '$.k') AS bigint) AS k FROM events", "SELECT event_id, (props::JSON ->> '$.k')::BIGINT AS k FROM events")

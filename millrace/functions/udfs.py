@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -88,15 +89,18 @@ def udf_row(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "nation").select("n_nationkey", n("n_name").alias("n"))
 
 
-@query("SELECT unnest(range(0, 10)) AS k, k * k AS square")
+@query("SELECT s_suppkey, k, k * k AS square FROM supplier, LATERAL (SELECT unnest(range(0, s_nationkey)) AS k)")
 def udtf_arrow(spark: SparkSession, sf_dir: str) -> DataFrame:
-    @F.arrow_udtf(returnType="k long, square long")
+    """The squares of the numbers below each supplier's nation, by a table function that gets the table in batches."""
+
+    @F.arrow_udtf(returnType="s_suppkey long, k long, square long")
     class Squares:
-        def eval(self, n: pa.Array) -> Iterator[pa.Table]:
-            k = pa.array(range(n[0].as_py()), pa.int64())
-            yield pa.table({"k": k, "square": pc.multiply(k, k)})
+        def eval(self, rows: pa.RecordBatch) -> Iterator[pa.Table]:
+            n = rows.column("s_nationkey").to_numpy()
+            k = pa.array(np.concatenate([np.arange(x, dtype=np.int64) for x in n]))
+            yield pa.table({"s_suppkey": pa.array(np.repeat(rows.column("s_suppkey").to_numpy(), n)), "k": k, "square": pc.multiply(k, k)})
 
-    return Squares(F.lit(10))
+    return Squares(table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey").asTable())
 
 
 @query("SELECT p_brand, sum(p_size)::BIGINT AS sizes FROM part GROUP BY p_brand")

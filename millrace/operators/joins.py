@@ -4,12 +4,25 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import NumericType
+from pyspark.sql.types import DateType, NumericType, TimestampNTZType
 
 from ..registry import query, statement
 from ..tables import table
 
 
+def axis(df: DataFrame, name: str) -> Column:
+    """A column's place on a line: numbers as they are, times as whole seconds.
+
+    Times without a zone are counted on their own clock, which knows no summer time, so what lies an hour apart there does here.
+    """
+    kind, c = df.schema[name].dataType, F.col(name)
+    if isinstance(kind, NumericType):
+        return c
+    if isinstance(kind, (TimestampNTZType, DateType)):
+        return ((c.cast("timestamp_ntz") - F.expr("TIMESTAMP_NTZ '1970-01-01'")).cast("interval second")).cast("long")
+    return F.unix_seconds(c)
+
+
 def asof_join(left: DataFrame, right: DataFrame, keys: list[str], left_time: str, right_time: str, take: list[str], tie: str, width: int = 86_400) -> DataFrame:
     """Each row of left with `take` of the last row of right that has its keys and no later time; null if there is none.
 
@@ -22,8 +35,7 @@ def asof_join(left: DataFrame, right: DataFrame, keys: list[str], left_time: str
         return df.select(c.alias("c")).schema["c"].dataType.simpleString()
 
     def piece(df: DataFrame, time: str) -> Column:
-        t = F.col(time)
-        return F.floor((t if isinstance(df.schema[time].dataType, NumericType) else F.unix_timestamp(t.cast("timestamp"))) / width)
+        return F.floor(axis(df, time) / width)
 
     value = F.struct(*[F.col(c) for c in take])
     a = left.select(*keys, F.col(left_time).alias("_time"), piece(left, left_time).alias("_piece"), F.lit(1).alias("_side"), F.lit(None).cast("long").alias("_tie"), F.struct(*left.columns).alias("_row"), F.lit(None).cast(kind(right, value)).alias("_value"))
@@ -41,30 +53,21 @@ def asof_join(left: DataFrame, right: DataFrame, keys: list[str], left_time: str
     return met.select("_row.*", *[F.col(f"_last.{c}").alias(f"asof_{c}") for c in take])
 
 
-def range_join(left: DataFrame, right: DataFrame, point: str, low: str, high: str, width: float, how: str = "inner") -> DataFrame:
-    """Rows where low <= point < high, by an equality join on bins of `width` and a check.
-
-    A right row stands in each bin that its range meets; width should be near the usual length of a range. how may be inner, left,
-    left_semi or left_anti: other joins would show a right row once for each bin.
-    """
-    if how not in ("inner", "left", "left_semi", "left_anti"):
-        raise ValueError(f"range_join: no {how} join")
-    a = left.withColumn("_bin", F.floor(F.col(point) / width))
-    b = right.withColumn("_bin", F.explode(F.sequence(F.floor(F.col(low) / width), F.floor(F.col(high) / width))))
-    return a.join(b, (a["_bin"] == b["_bin"]) & (F.col(point) >= F.col(low)) & (F.col(point) < F.col(high)), how).drop("_bin")
-
-
 def interval_join(left: DataFrame, right: DataFrame, keys: list[str], left_time: str, right_time: str, width: int) -> DataFrame:
     """Rows with equal keys where right's time is between left's and `width` seconds later, both included.
 
     An equality join on keys and pieces of time, of which a left row stands in two, and a check: a key with a third of all rows
-    is spread over its pieces. Columns besides keys differ.
+    is spread over its pieces. Columns besides keys differ; both times are of one type.
     """
-    def piece(time: str) -> Column:
-        return F.floor(F.unix_timestamp(F.col(time).cast("timestamp")) / width)
+    if left.schema[left_time].dataType != right.schema[right_time].dataType:
+        raise ValueError("interval_join: the times are of different types")
+
+    def piece(df: DataFrame, time: str) -> Column:
+        return F.floor(axis(df, time) / width)
 
-    a = left.withColumn("_piece", F.explode(F.array(piece(left_time), piece(left_time) + 1)))
-    met = a.join(right.withColumn("_piece", piece(right_time)), [*keys, "_piece"])
+    first = piece(left, left_time)
+    a = left.withColumn("_piece", F.explode(F.array(first, first + 1)))
+    met = a.join(right.withColumn("_piece", piece(right, right_time)), [*keys, "_piece"])
     return met.where((F.col(right_time) >= F.col(left_time)) & (F.col(right_time) <= F.col(left_time) + F.expr(f"INTERVAL '{width}' SECOND"))).drop("_piece")
 
 
@@ -123,12 +126,6 @@ def join_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
     return interval_join(views, clicks, ["user_id"], "view_ts", "click_ts", 7200).select("view_id", "click_id")
 
 
-@query("SELECT p_partkey, b.low FROM part JOIN (SELECT unnest(range(0, 2000, 25)) AS low) b ON p_retailprice >= b.low AND p_retailprice < b.low + 40")
-def join_range(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bands = spark.range(0, 2000, 25).select(F.col("id").alias("low"), (F.col("id") + 40).alias("high"))
-    return range_join(table(spark, sf_dir, "part"), bands, "p_retailprice", "low", "high", 40.0).select("p_partkey", "low")
-
-
 @query("SELECT n_name, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name")
 def join_salted(spark: SparkSession, sf_dir: str) -> DataFrame:
     small = table(spark, sf_dir, "nation").withColumnRenamed("n_nationkey", "c_nationkey")

@@ -16,8 +16,7 @@ statement("intersect_distinct", "SELECT l_partkey AS k FROM lineitem WHERE l_qua
 statement("intersect_all", "SELECT l_partkey AS k FROM lineitem WHERE l_quantity > 45 INTERSECT ALL SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R'")
 statement("except_distinct", "SELECT o_orderkey AS k FROM orders EXCEPT SELECT l_orderkey FROM lineitem WHERE l_quantity > 10")
 statement("except_all", "SELECT l_suppkey AS k FROM lineitem EXCEPT ALL SELECT l_suppkey FROM lineitem WHERE l_returnflag = 'N'")
-statement("values_list", "SELECT * FROM (VALUES (1, 'a'), (2, 'b'), (3, NULL)) AS t(k, v)")
-statement("recursive_cte", "WITH RECURSIVE t(n, f) AS (SELECT 1, cast(1 AS bigint) UNION ALL SELECT n + 1, f * (n + 1) FROM t WHERE n < 12) SELECT n, f FROM t")
+statement("values_list", "SELECT o_orderkey, label FROM orders JOIN (VALUES ('1-URGENT', 'now'), ('5-LOW', NULL)) AS t(priority, label) ON o_orderpriority = priority")
 statement("cte_reuse", "WITH big AS (SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey) SELECT a.o_custkey FROM big a WHERE a.n > (SELECT avg(n) FROM big)")
 
 
@@ -32,3 +31,10 @@ def explode_pos(spark: SparkSession, sf_dir: str) -> DataFrame:
 def explode_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = table(spark, sf_dir, "nation")
     return n.select("n_nationkey", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_regionkey").cast("long"))).alias("step"))
+
+
+@query("SELECT n, count(p_partkey) AS parts FROM (SELECT unnest(range(0, 60, 3)) AS n) r LEFT JOIN part ON p_size BETWEEN n AND n + 2 GROUP BY n")
+def range_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts by size, with a row for each range of three sizes even where there is none."""
+    sizes = table(spark, sf_dir, "part").groupBy((F.col("p_size") - F.col("p_size") % 3).cast("long").alias("n")).agg(F.count(F.lit(1)).alias("parts"))
+    return spark.range(0, 60, 3).withColumnRenamed("id", "n").join(sizes, "n", "left").select("n", F.coalesce("parts", F.lit(0)).alias("parts"))

@@ -1,73 +1,16 @@
-"""Search among vectors: the rows nearest to those of a stated set of queries."""
+"""Similarity of vectors by a join. The nearest rows are found in vector_index."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from itertools import batched
-
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..registry import query
 from ..tables import table
 
-#: Queries that meet the rows at once: each block is one broadcast of so many vectors.
-BLOCK = 2_048
-#: Rows of a partition that are held against a block at once.
-ROWS = 4_096
-
-
-def nearest(rows: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """query_id, id, similarity and rank of the k rows with the greatest dot product with each query, itself left out.
-
-    Exact. Queries come in blocks of BLOCK, by way of the driver, which holds one block at a time; each block is a pass over the
-    rows. A partition gives at most k rows for each query; ties go to the smaller id. Null vectors match nothing.
-    """
-    spark = rows.sparkSession
-    base = rows.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vector")).where("id IS NOT NULL AND vector IS NOT NULL")
-    asked = queries.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vector")).where("id IS NOT NULL AND vector IS NOT NULL")
-    schema = "query_id long, id long, similarity double"
-    found = None
-    for block in batched(asked.toLocalIterator(), BLOCK):
-        shared = spark.sparkContext.broadcast((np.array([r["id"] for r in block]), np.array([r["vector"] for r in block], dtype=np.float64)))
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            names, vectors = shared.value
-            best_ids, best = np.zeros((len(names), 0), dtype=np.int64), np.zeros((len(names), 0))
-            for batch in batches:
-                for at in range(0, batch.num_rows, ROWS):
-                    part = batch.slice(at, ROWS)
-                    ids = part.column("id").to_numpy()
-                    matrix = part.column("vector").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(ids), -1)
-                    same = np.where(names[:, None] == ids, -np.inf, vectors @ matrix.T)
-                    best_ids = np.concatenate([best_ids, np.broadcast_to(ids, same.shape)], axis=1)
-                    best = np.concatenate([best, same], axis=1)
-                    order = np.lexsort((best_ids, -best), axis=1)[:, :k]
-                    best_ids, best = np.take_along_axis(best_ids, order, 1), np.take_along_axis(best, order, 1)
-            known = best > -np.inf
-            if known.any():
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, known.sum(1))), pa.array(best_ids[known]), pa.array(best[known])], ["query_id", "id", "similarity"])
-
-        part = base.mapInArrow(run, schema)
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        found = spark.createDataFrame([], schema)
-    order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id")
-    return found.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k)
-
-
 _DOT = "list_dot_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[])"
 
 
-@query(f"SELECT q.vec_id AS query_id, v.vec_id AS id, round({_DOT}, 6) AS similarity, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_DOT} DESC, v.vec_id) AS rank FROM embeddings q JOIN embeddings v ON q.vec_id != v.vec_id WHERE q.vec_id % 100 = 0 QUALIFY rank <= 5")
-def vec_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The five nearest rows to every row whose id is divisible by 100."""
-    e = table(spark, sf_dir, "embeddings")
-    return nearest(e, e.where("vec_id % 100 = 0"), 5).withColumn("similarity", F.round("similarity", 6))
-
-
 @query(f"SELECT q.vec_id AS query_id, v.vec_id AS id, round({_DOT}, 6) AS similarity FROM embeddings q JOIN embeddings v ON q.label = v.label AND q.vec_id != v.vec_id WHERE q.vec_id % 100 = 0")
 def vec_pair_sim(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Similarity of every row whose id is divisible by 100 with the rows of its label; the queries are the small side."""
