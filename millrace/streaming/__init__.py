@@ -1,3 +1,3 @@
 """Structured Streaming."""
 
-from . import events  # noqa: F401
+from . import events, stateful  # noqa: F401

@@ -11,32 +11,82 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..registry import query
-from ..storage import fresh_path
+from ..storage import exists, fresh_path
 from ..tables import table
 
 
-def event_stream(spark: SparkSession, sf_dir: str, files: int = 1) -> DataFrame:
-    """events as a stream; its times are instants, as watermarks want."""
+#: Parts that events come in, files of each, and how far they may be out of order; watermarks wait for longer.
+PARTS, FILES, DISORDER_MINUTES = 5, 1, 30
+_feeds: dict[tuple[str, str], str] = {}
+
+
+def write_feed(spark: SparkSession, sf_dir: str, path: str, parts: range = range(PARTS)) -> None:
+    """Writes these parts of events, as files that a stream reads one part after the other: events as they might arrive, up to
+    DISORDER_MINUTES late."""
+    e = table(spark, sf_dir, "events")
+    arrival = F.unix_micros(F.to_utc_timestamp(F.col("ts").cast("timestamp"), "UTC")) + F.pmod(F.xxhash64("event_id"), F.lit(DISORDER_MINUTES * 60_000_000))
+    low, high = e.agg(F.min(arrival), F.max(arrival)).first()
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for part in parts:
+        number = F.lit(0) if low is None else F.floor((arrival - low) * PARTS / (high - low + 1))
+        e.where(number == part).repartition(FILES).write.mode("overwrite").parquet(f"{path}/part={part}")
+        folder = jvm.org.apache.hadoop.fs.Path(f"{path}/part={part}")
+        system = folder.getFileSystem(conf)
+        for f in system.listStatus(folder):  # files are read in order of their times, which may be equal or in whole seconds
+            system.setTimes(f.getPath(), 1_700_000_000_000 + part * 10_000, -1)
+
+
+def event_feed(spark: SparkSession, sf_dir: str) -> str:
+    """A folder with all parts of events, written once in a session."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _feeds or not exists(spark, _feeds[key]):
+        path = fresh_path(spark, "event-feed")
+        write_feed(spark, sf_dir, path)
+        _feeds[key] = path
+    return _feeds[key]
+
+
+def read_feed(spark: SparkSession, sf_dir: str, path: str) -> DataFrame:
+    """A feed as a stream, a part in each batch; its times are instants, as watermarks want."""
     schema = table(spark, sf_dir, "events").schema
-    read = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(f"{sf_dir}/events.parque[t]")
+    read = spark.readStream.schema(schema).option("maxFilesPerTrigger", FILES).parquet(f"{path}/part=*")
     return read.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def drained(df: DataFrame, mode: str) -> DataFrame:
-    """Runs a stream to its end. Append goes to files that a stream's log makes whole; complete and update are batches that
-    the last one (complete) or all (update) of their writes stand for."""
-    spark = df.sparkSession
-    out, log = fresh_path(spark, "stream-out"), fresh_path(spark, "stream-log")
-    writer = df.writeStream.outputMode(mode).option("checkpointLocation", log).trigger(availableNow=True)
-    if mode == "append":
-        writer.format("parquet").start(out).awaitTermination()
-        return spark.read.schema(df.schema).parquet(out)
+def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """events as a stream of PARTS batches."""
+    return read_feed(spark, sf_dir, event_feed(spark, sf_dir))
 
-    def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(out if mode == "complete" else f"{out}/batch={number}")
 
-    writer.foreachBatch(write).start().awaitTermination()
-    return spark.read.parquet(out)
+class Drain:
+    """Runs a stream to the end of what is there. It may run again, on the same checkpoint, when more has come.
+
+    Append goes to files that a stream's log makes whole; of complete the last batch stands, of update each batch has a folder
+    of its own, which a batch that runs again replaces. batches: how many have run.
+    """
+
+    def __init__(self, spark: SparkSession, mode: str) -> None:
+        self.spark, self.mode, self.batches = spark, mode, 0
+        self.out, self.log = fresh_path(spark, "stream-out"), fresh_path(spark, "stream-log")
+
+    def run(self, df: DataFrame) -> DataFrame:
+        writer = df.writeStream.outputMode(self.mode).option("checkpointLocation", self.log).trigger(availableNow=True)
+        if self.mode == "append":
+            stream = writer.format("parquet").start(self.out)
+        else:
+            stream = writer.foreachBatch(self._write).start()
+        stream.awaitTermination()
+        if stream.lastProgress:
+            self.batches = stream.lastProgress["batchId"] + 1
+        return self.spark.read.schema(df.schema).parquet(self.out) if self.mode == "append" else self.spark.read.parquet(self.out)
+
+    def _write(self, batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(self.out if self.mode == "complete" else f"{self.out}/batch={number}")
+
+
+def drained(df: DataFrame, mode: str) -> DataFrame:
+    """What a stream has written when it has come to its end."""
+    return Drain(df.sparkSession, mode).run(df)
 
 
 _HOUR = "date_trunc('hour', ts)"
