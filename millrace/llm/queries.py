@@ -132,14 +132,22 @@ def _hits_sql(kind: str, pattern: str) -> str:
     """rid, kind, hit, gap, start of each match."""
     pattern = pattern.replace("'", "''")
     return f"""
-  SELECT rid, '{kind}' AS kind, hits[i] AS hit, gaps[i] AS gap,
+  SELECT rid, '{kind}' AS kind, hits[i] AS hit, gaps[i] AS gap, gaps[i + 1] AS after,
          (list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(hits[1:i - 1], lambda x: length(x))), 0))::BIGINT AS start
   FROM (SELECT rid, regexp_extract_all(t, '{pattern}') AS hits, string_split_regex(t, '{pattern}') AS gaps FROM d), unnest(range(1, len(hits) + 1)) AS u(i)"""
 
 
+#: The contract's patterns, as they stand there.
+_BASE_SQL = {
+    "assign": r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
+    "access": "AKIA[A-Z0-9]+",
+    "hex": "[0-9a-f]+",
+}
+
+
 def _secrets_sql() -> str:
-    base = "\n  UNION ALL".join(_hits_sql(kind, pattern) for kind, (pattern, _, _) in secrets.BASE.items())
-    assign, (_, _, least) = secrets.BASE["assign"][0].replace("'", "''"), secrets.BASE["assign"]
+    base = "\n  UNION ALL".join(_hits_sql(kind, pattern) for kind, pattern in _BASE_SQL.items())
+    assign = _BASE_SQL["assign"].replace("'", "''")
     added = []
     for c in secrets.CLASSES:
         needs = " AND ".join(f"regexp_matches(hit, '{n}')" for n in c.needs)
@@ -159,12 +167,12 @@ WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t F
 hits AS ({base}),
 base AS (
   SELECT rid, kind, start, start + length(hit) AS stop FROM hits
-  WHERE CASE kind WHEN 'assign' THEN length(regexp_extract(hit, '{assign}', 1)) >= {least}
-             WHEN 'access' THEN length(hit) >= {secrets.BASE["access"][2]} ELSE length(hit) >= {secrets.BASE["hex"][2]} END),
+  WHERE CASE kind WHEN 'assign' THEN length(regexp_extract(hit, '{assign}', 2)) >= 6 WHEN 'access' THEN length(hit) >= 20 ELSE length(hit) >= 24 END),
 added AS ({" UNION ALL ".join(added)}),
 cover AS (
   SELECT rid, start, stop FROM base UNION ALL
-  SELECT rid, start - {secrets.REACH}, start + length(hit) + {secrets.REACH} FROM ({_hits_sql("allow", secrets.ALLOW)})),
+  SELECT rid, start - length(regexp_extract(right(gap, {secrets.REACH}), '{secrets.TOKEN}*$')),
+         start + length(hit) + length(regexp_extract(left(after, {secrets.REACH}), '^{secrets.TOKEN}*')) FROM ({_hits_sql("allow", secrets.ALLOW)})),
 ends AS (
   SELECT rid, kind, pos, sum(open) AS open, sum(over) AS over FROM (
     SELECT rid, kind, unnest([start, stop]) AS pos, unnest([1, -1]) AS open, 0 AS over FROM added UNION ALL

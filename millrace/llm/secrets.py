@@ -3,9 +3,9 @@
 Base spans are matches of three patterns, leftmost and non-overlapping for each kind, without those that are too short. Added
 spans come from candidate strings of a character class: a window moves along each candidate, one count goes down and one goes
 up with each step, and the sum of n * log2(n) over the counts follows from the table of its whole-number values. Windows with
-enough entropy join to spans. What base spans cover is cut out of them, and so is what stands within REACH characters of a
-match of the allow-list (see ALLOW); pieces of at least LEAST_PIECE characters stay. Candidates right after a word of
-ALLOW_BEFORE are left out whole.
+enough entropy join to spans. What base spans cover is cut out of them, and so are matches of the allow-list (see ALLOW) with up to
+REACH characters of the same token before and after; pieces of at least LEAST_PIECE characters stay. Candidates right after a word
+of ALLOW_BEFORE are left out whole.
 
 Null and empty texts have no spans. The work for a text grows with its length, whatever it holds. Repeated rows give equal
 rows, ids may be null, an empty table gives an empty result, and columns besides id and text are ignored.
@@ -17,6 +17,7 @@ import math
 from dataclasses import dataclass
 from functools import reduce
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -63,9 +64,9 @@ CLASSES = (
     EntropyClass("entropy_lower", "[0-9a-z]", "0123456789abcdefghijklmnopqrstuvwxyz", ("[0-9]", "[a-z]"), 24, 3.6),
     EntropyClass("entropy_upper", "[0-9A-Z]", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ", ("[0-9]", "[A-Z]"), 24, 3.6),
 )
-#: What is no secret, and how far it speaks for the characters around it: UUIDs, alphabets in order, placeholders.
+#: What is no secret: UUIDs, alphabets in order, placeholders. It speaks for REACH characters around it, but not beyond its token.
 ALLOW = r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}|0123456789|abcdefghij|ABCDEFGHIJ|example|EXAMPLE|placeholder|PLACEHOLDER|dummy|DUMMY|xxxx+|XXXX+"
-REACH, LEAST_PIECE = 24, 8
+REACH, LEAST_PIECE, TOKEN = 24, 8, "[A-Za-z0-9+/_-]"
 #: Words right before a candidate that name it a digest of public data.
 ALLOW_BEFORE = r"(?:sha1|sha256|sha384|sha512|md5|integrity|checksum|commit)[:= -]{1,3}$"
 
@@ -105,16 +106,17 @@ def _running(values: Column) -> Column:
 
 
 def _pieces(text: Column, pattern: str, of) -> Column:
-    """What `of` makes of (match, text before it since the last match, start), for each match of the pattern, in order.
+    """What `of` makes of (match, text before it since the last match, text after it up to the next one, start), for each match of
+    the pattern, in order.
 
     The text is split at the matches, so starts are sums of lengths in code points.
     """
     found = F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hit"), F.split(text, pattern, -1).alias("gap"))
-    found = F.filter(found, lambda x: x["hit"].isNotNull())
+    found = _let(found, lambda z: F.transform(F.filter(z, lambda x: x["hit"].isNotNull()), lambda x, i: F.struct(x["hit"].alias("hit"), x["gap"].alias("gap"), F.get(z, i + 1)["gap"].alias("after"))))
 
     def placed(all_: Column) -> Column:
         upto = _running(F.transform(all_, lambda x: F.length(x["gap"]) + F.length(x["hit"])))
-        return F.zip_with(all_, upto, lambda x, end: F.struct(x["hit"].alias("hit"), x["gap"].alias("gap"), (end - F.length(x["hit"])).alias("start")))
+        return F.zip_with(all_, upto, lambda x, end: F.struct(x["hit"].alias("hit"), x["gap"].alias("gap"), x["after"].alias("after"), (end - F.length(x["hit"])).alias("start")))
 
     return F.transform(_let(found, placed), of)
 
@@ -202,9 +204,14 @@ def entropy_spans(text: Column, c: EntropyClass) -> Column:
 
 
 def allowed_spans(text: Column) -> Column:
-    """What matches of the allow-list cover, REACH characters before and after them included."""
-    reach = _pieces(text, ALLOW, lambda m: _span("allow", m["start"] - REACH, m["start"] + F.length(m["hit"]) + REACH))
-    return F.when(text.rlike(ALLOW), reach).otherwise(F.array().cast(SPAN))
+    """What matches of the allow-list cover, with up to REACH characters of their token before and after them."""
+
+    def one(m: Column) -> Column:
+        before = F.length(F.regexp_extract(F.right(m["gap"], F.lit(REACH)), f"{TOKEN}*$", 0))
+        after = F.length(F.regexp_extract(F.left(m["after"], F.lit(REACH)), f"^{TOKEN}*", 0))
+        return _span("allow", m["start"] - before, m["start"] + F.length(m["hit"]) + after)
+
+    return F.when(text.rlike(ALLOW), _pieces(text, ALLOW, one)).otherwise(F.array().cast(SPAN))
 
 
 def uncovered(spans: Column, cover: Column, least: int = LEAST_PIECE) -> Column:
@@ -239,13 +246,26 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return found.select("doc_id", "base", F.sort_array(F.concat("base", "added")).alias("spans"))
 
 
+_made: dict[int, tuple[list[Column], Column, Column]] = {}
+
+
+def _columns() -> tuple[list[Column], Column, Column]:
+    """base and the candidates' spans, of a column text; what covers them; what is added. They are some ten thousand calls of the JVM to
+    make, so they are made once for it."""
+    jvm = id(SparkContext._gateway)
+    if jvm not in _made:
+        text = F.col("text")
+        some = reduce(lambda x, y: x | y, [F.size(c.kind) > 0 for c in CLASSES])
+        first = [F.sort_array(F.concat(*[base_spans(text, k) for k in BASE])).alias("base"), *[entropy_spans(text, c).alias(c.kind) for c in CLASSES]]
+        cover = F.when(some, F.concat("base", allowed_spans(text))).otherwise(F.array().cast(SPAN))
+        _made[jvm] = first, cover, F.concat(*[_added(c.kind) for c in CLASSES]).alias("added")
+    return _made[jvm]
+
+
 def _found(rows: DataFrame) -> DataFrame:
     """doc_id, text, base and added spans of rows of doc_id and text."""
-    text = F.col("text")
-    rows = rows.select("doc_id", "text", F.sort_array(F.concat(*[base_spans(text, k) for k in BASE])).alias("base"), *[entropy_spans(text, c).alias(c.kind) for c in CLASSES])
-    some = reduce(lambda x, y: x | y, [F.size(c.kind) > 0 for c in CLASSES])
-    rows = rows.withColumn("cover", F.when(some, F.concat("base", allowed_spans(text))).otherwise(F.array().cast(SPAN)))
-    return rows.select("doc_id", "text", "base", F.concat(*[_added(c.kind) for c in CLASSES]).alias("added"))
+    first, cover, added = _columns()
+    return rows.select("doc_id", "text", *first).withColumn("cover", cover).select("doc_id", "text", "base", added)
 
 
 def _added(kind: str) -> Column:

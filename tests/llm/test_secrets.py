@@ -19,7 +19,12 @@ def brute_added(text, base):
     out = []
     covered = {i for s in base for i in range(s[0], s[2])}
     for m in re.finditer(op.ALLOW, text):
-        covered |= set(range(m.start() - op.REACH, m.end() + op.REACH))
+        first, last = m.start(), m.end()
+        while first > max(0, m.start() - op.REACH) and re.fullmatch(op.TOKEN, text[first - 1]):
+            first -= 1
+        while last < min(len(text), m.end() + op.REACH) and re.fullmatch(op.TOKEN, text[last]):
+            last += 1
+        covered |= set(range(first, last))
     for c in op.CLASSES:
         for m in re.finditer(c.pattern, text):
             hit, last = m[0], max((b.end() for b in re.finditer(c.pattern, text[: m.start()])), default=0)
@@ -63,6 +68,24 @@ def test_known(make):
     check(make, KNOWN)
 
 
+def test_placeholders_speak_for_their_own_token(make):
+    key = "Zk39dQpXv81LmT5yRw7BnC2s"
+    texts = [f"key is {key}", f"for example {key}", f"http://example.com/k={key}", f"dummy call, then {key}", f"example{key}", f"xxxx/{key}-dummy", f"example {key} dummy.{key}"]
+    check(make, texts)
+    got = {r["doc_id"]: [(s["start"], s["end"]) for s in r["spans"]] for r in op.scan_secrets(make(list(enumerate(texts)))).collect()}
+    assert all(got[i] == [(t.index(key), t.index(key) + len(key))] for i, t in enumerate(texts[:4]))
+    assert got[4] == [] and got[5] == [] and len(got[6]) == 2
+
+
+def test_the_plan_is_made_once(make):
+    import time
+
+    op.scan_secrets(make([(1, "a")]))
+    began = time.perf_counter()
+    op.scan_secrets(make([(1, "b")]))
+    assert time.perf_counter() - began < 5
+
+
 def test_failing_match_takes_its_characters(make):
     """A match that is too short still keeps later ones from its characters."""
     assert brute_base("secret: token = abcdef1234") == []
