@@ -228,3 +228,48 @@ def test_words_are_letters_only(spark):
     text = "x\u00b2y \u00bdcup \u2167 na\u00efve 日本3語 a_b"
     row = spark.createDataFrame([(text,), ("",)], "text string").select(toxicity.words_of(F.col("text")).alias("w")).collect()
     assert row[0]["w"] == ["x", "y", "cup", "na\u00efve", "日本", "語", "a", "b"] and row[1]["w"] == []
+
+
+def test_grams_of_a_word(spark):
+    words = ["a", "ab", "abcdefgh", "𝄞é日", "x" * 40]
+    df = spark.createDataFrame([(w,) for w in words], "w string").select("w", toxicity.grams_of(F.col("w")).alias("g"))
+    for r in df.collect():
+        padded = f"_{r['w']}_"
+        assert r["g"] == [padded[max(0, i - toxicity.ORDER) : i] for i in range(2, len(padded) + 1)]
+
+
+def test_long_words_take_linear_time(spark, make, mild_and_toxic):
+    """A text of a million letters without a space goes through the whole operator."""
+    import time
+
+    rows, labels = mild_and_toxic[0][:60], spark.createDataFrame(mild_and_toxic[1][:60], "doc_id long, quality int, toxic int")
+
+    def seconds(n):
+        docs = make([*rows, (10_000, "ab" * (n // 2))])
+        began = time.perf_counter()
+        assert toxicity.classify(docs, labels).count() == 61
+        return time.perf_counter() - began
+
+    seconds(10)
+    short, small, large = seconds(10), seconds(250_000), seconds(1_000_000)
+    assert large - short < 60 and large < 6 * max(small, 2)
+
+
+def test_a_score_does_not_turn_with_its_batch():
+    rng = np.random.default_rng(0)
+    model = quality.Model(0.5)
+    x = rng.normal(size=(1500, 20)).astype(np.float32)
+    model.scale(1500, x.sum(0, dtype=float), (x.astype(float) ** 2).sum(0))
+    model.weights = rng.normal(size=quality.FEATURES + 21)
+    whole = model.raw(x)
+    for n in (1, 7, 1000):
+        assert np.array_equal(np.concatenate([model.raw(x[i : i + n]) for i in range(0, 1500, n)]) if n > 1 else np.array([model.raw(x[i : i + 1])[0] for i in range(0, 1500, 50)]), whole if n > 1 else whole[::50])
+
+
+def test_a_labelled_id_of_very_many_rows_counts_once(spark, make, good_and_bad):
+    """The model is that of the rows without the copies."""
+    rows, labels = good_and_bad[0], spark.createDataFrame(good_and_bad[1], "doc_id long, quality int, toxic int")
+    one = quality.fit(make(rows), labels, "quality", 3, 1)
+    copies = make(rows).unionByName(make([rows[0]]).crossJoin(spark.range(20_000)).drop("id"))
+    many = quality.fit(copies, labels, "quality", 3, 1)
+    assert np.array_equal(one.weights, many.weights) and np.array_equal(one.knots, many.knots)

@@ -114,3 +114,21 @@ def test_proximity_against_brute_force(spark, make, cases, prose, monkeypatch, a
     assert sorted((repr(r["doc_id"]), list(r["near"])) for r in got) == brute_near(rows, items, 3)
     exact = sorted(repr((r["doc_id"], r["n_words"], r["n_hit"], list(r["items"]), r["contaminated"])) for r in got)
     assert exact == brute(rows, items)
+
+
+def test_copies_of_a_passage_take_linear_time(spark, make, prose):
+    """One document in thousands of rows: each gets its row, and the work follows their number."""
+    import time
+
+    item, text = prose(30, 60), prose(30, 60) + " and more"
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+
+    def seconds(n):
+        docs = make([(1, text)]).crossJoin(spark.range(n)).drop("id")
+        began = time.perf_counter()
+        got = op.contamination(docs, bench, slack=op.SLACK).groupBy("n_words", "n_hit", "contaminated", "near").count().collect()
+        assert [(r["n_hit"], r["contaminated"], r["near"], r["count"]) for r in got] == [(30, True, ["1"], n)]
+        return time.perf_counter() - began
+
+    seconds(10)
+    assert seconds(10_000) < 3 * max(seconds(1_000), 5)
