@@ -1,3 +1,3 @@
 """Relational operators."""
 
-from . import aggregates, heavy_hitters, joins, projections, prefix_sums, ranges, recursion, selection, sets, vector_index, vectors, windows  # noqa: F401
+from . import aggregates, funnels, heavy_hitters, joins, projections, prefix_sums, ranges, recursion, selection, sets, vector_index, vectors, windows  # noqa: F401

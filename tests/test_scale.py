@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.operators import heavy_hitters, prefix_sums, recursion, selection, vector_index
+from millrace.operators import funnels, heavy_hitters, prefix_sums, recursion, selection, vector_index
 
 
 @pytest.mark.parametrize(("counters", "parts"), [(5, 1), (5, 7), (20, 40), (3, 300)])
@@ -166,3 +166,27 @@ def test_rank_sums_to_the_nodes(spark):
     rows = {r["node"]: r for r in recursion.rank(e, 30).collect()}
     assert sum(r["rank"] for r in rows.values()) == pytest.approx(5)
     assert max(rows, key=lambda n: rows[n]["rank"]) == "a" and rows["e"]["links"] == 0
+
+
+@pytest.mark.parametrize("width", [1, 100, 10_000])
+def test_funnel_against_brute_force(spark, width):
+    from datetime import datetime, timedelta
+
+    rng = random.Random(width)
+    zero = datetime(2024, 1, 1)
+    rows = [(rng.choice([1, 1, 1, 2, None]), i, zero + timedelta(seconds=rng.randint(0, 300), milliseconds=rng.choice([0, 500])), rng.choice("abc")) for i in range(150)] + [(1, 900, None, "a")]
+    df = spark.createDataFrame(rows, "k long, i long, t timestamp_ntz, s string")
+    got = {r["a"]: (r["b"], r["c"], r["reached"]) for r in funnels.funnel(df, "k", "t", "i", {x: F.col("s") == x for x in "abc"}, 5, width).collect()}
+    expected = {}
+    for k, i, t, s in rows:
+        if s != "a" or k is None or t is None:
+            continue
+        made = []
+        for want in "bc":
+            later = min(((u, j) for m, j, u, x in rows if m == k and x == want and u is not None and u > t), default=None)
+            if later is None or later[0] > t + timedelta(seconds=5):
+                break
+            t = later[0]
+            made.append(later[1])
+        expected[i] = (*made, *[None] * (2 - len(made)), 1 + len(made))
+    assert got == expected
