@@ -8,7 +8,9 @@ are dealt by their minimizer's and string's hashes alone:
 
 1. Each task finds the runs of its documents. Of equal strings in a batch only the first is dealt; the others' windows have
    all started earlier, wherever. So a passage that a third of all documents share sends one row a batch.
-2. Runs come together by minimizer, sorted by string. Later runs of a string are settled in the same way. First ones whose
+2. Runs come together by minimizer, sorted by string; those of a minimizer that one in SAMPLE of the documents shows to be hot (the
+   edge of a passage that many documents hold amid other text) by minimizer and string. Later runs of a string are settled in
+   the same way. First ones whose
    minimizer has other strings too, or which hold their minimizer twice, need their bytes; the rest is kept.
 3. The bytes are fetched from the texts, by document, and come together by minimizer. They fill shards of up to SHARD bytes;
    a suffix array by induced sorting and permuted common prefixes of each tell which windows are equal. Of these all but the
@@ -39,6 +41,8 @@ SPAN = LENGTH - ANCHOR + 1
 SHARD = 3_000_000
 #: A minimizer with more strings is hot; so many hot ones, of 8 bytes each, may be broadcast.
 HOT_STRINGS, BROADCAST_ROWS = 1_000, 300_000
+#: One in so many texts, by hash, tells which minimizers have over HOT_STRINGS runs. That decides where runs go, never what goes.
+SAMPLE = 16
 #: Odd multipliers for the rolling and the final hash.
 _STEP, _MIX = 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD
 _RUN = "m long, h long, d long, t long, at int, n int, gone boolean, twice boolean"
@@ -245,6 +249,13 @@ def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield shard()
 
 
+def _hot_minimizers(keyed: DataFrame) -> DataFrame:
+    """m of the minimizers with most runs, BROADCAST_ROWS at most."""
+    some = keyed.where(F.pmod("t", F.lit(SAMPLE)) == 0).select("d", "t", "text")
+    counted = map_arrow(some, _find_runs, _RUN).where("not gone").groupBy("m").agg(F.count(F.lit(1)).alias("runs"))
+    return staged(counted.where(F.col("runs") * SAMPLE > HOT_STRINGS).orderBy(F.desc("runs"), "m").limit(BROADCAST_ROWS).select("m"), "suffix-edges")
+
+
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """The keyed documents (d_id, d, t, text), and d, t, at, n: n windows from byte `at` on that go."""
     if not isinstance(docs.schema[id_col].dataType, IntegralType):
@@ -252,7 +263,11 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     text = docs.select(F.col(id_col).alias("d_id"), text_of(text_col).alias("text"))
     mark = F.xxhash64("text", F.col("d_id").isNull())  # keeps a null id apart from the greatest number, as which it is sorted
     keyed = text.select("d_id", F.coalesce(F.col("d_id").cast("long"), F.lit(2**63 - 1)).alias("d"), mark.alias("t"), "text")
-    runs = map_arrow(keyed.select("d", "t", "text"), _find_runs, _RUN).repartition("m").sortWithinPartitions("m", "h", "d", "t", "at")
+    edges = F.broadcast(_hot_minimizers(keyed).withColumn("edge", F.lit(True)))
+    runs = map_arrow(keyed.select("d", "t", "text"), _find_runs, _RUN).join(edges, "m", "left")
+    edge = F.coalesce("edge", F.lit(False))  # all first strings of such a minimizer are needed, as if it stood in them twice
+    runs = runs.select("m", "h", "d", "t", "at", "n", "gone", (F.col("twice") | edge).alias("twice"), F.when(edge, F.col("h")).otherwise(F.col("m")).alias("deal"))
+    runs = runs.repartition("deal").drop("deal").sortWithinPartitions("m", "h", "d", "t", "at")
     settled = staged(map_arrow(runs, _settle_runs, "m long, h long, d long, t long, at int, n int, gone boolean"), "suffix-runs")
     needed = settled.where("not gone")
     hot = staged(needed.groupBy("m").agg(F.count(F.lit(1)).alias("strings")).where(F.col("strings") > HOT_STRINGS).select("m", F.lit(True).alias("hot")), "suffix-hot")

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from millrace.llm import common
 from millrace.llm import suffix_array as sa
@@ -116,3 +117,15 @@ def test_frequent_windows_stay_spread(make, prose, monkeypatch):
     passage = prose(40, 9)
     rows = [(i, prose(12, 200 + i) + " " + passage + " " + prose(12, 500 + i)) for i in range(30)]
     assert found(make(rows)) == brute(rows)
+
+
+def test_runs_of_a_hot_minimizer_stay_spread(make, prose, spark, monkeypatch):
+    """One passage in all documents, with other neighbours each time: its edges go by minimizer and string."""
+    monkeypatch.setattr(op, "SAMPLE", 1)
+    monkeypatch.setattr(op, "HOT_STRINGS", 20)
+    passage = prose(40, 70)[:150]
+    rows = [(i, f"{prose(30, 7000 + i)} {passage} {prose(30, 8000 + i)}") for i in range(150)]
+    docs = make(rows)
+    assert found(docs) == brute(rows)
+    keyed = docs.select(F.col("doc_id").alias("d"), F.xxhash64("text").alias("t"), "text")
+    assert op._hot_minimizers(keyed).count() > 0
