@@ -1,4 +1,8 @@
-"""User-defined functions: by column, group, partition, and table functions. Arrow carries the batches."""
+"""User-defined functions: by column, group, partition, and table functions. Arrow carries the batches.
+
+Functions over groups (udaf_pandas, udf_grouped_map, udf_cogroup, udf_grouped_arrow) get a whole group in one worker: that is how
+they are called. For groups of any size see heavy_hitters, selection and prefix_sums among the operators.
+"""
 
 from __future__ import annotations
 

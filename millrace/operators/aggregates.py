@@ -16,6 +16,7 @@ statement("agg_avg", "SELECT l_linestatus, round(cast(sum(cast(l_quantity AS dec
 statement("agg_global", "SELECT count(*) AS n, min(o_orderdate) AS first, max(o_orderdate) AS last FROM orders")
 statement("agg_stddev_var", "SELECT p_brand, round(stddev_samp(p_size), 8) AS deviation, round(var_pop(p_size), 8) AS variance FROM part GROUP BY p_brand")
 statement("agg_corr", "SELECT round(corr(p_size, p_retailprice), 9) AS r, round(covar_pop(p_size, p_retailprice), 6) AS c FROM part")
+# these two keep all distinct values of a group in one buffer; selection.exact_percentiles doesn't
 statement("agg_percentile", "SELECT p_brand, round(percentile_cont(0.9) WITHIN GROUP (ORDER BY p_size), 9) AS p90, cast(percentile_disc(0.25) WITHIN GROUP (ORDER BY p_size) AS double) AS p25 FROM part GROUP BY p_brand")
 statement("agg_median", "SELECT p_type, median(p_size) AS middle FROM part GROUP BY p_type")
 statement("agg_mode", "SELECT o_orderstatus, mode() WITHIN GROUP (ORDER BY o_orderpriority) AS priority FROM orders GROUP BY o_orderstatus", "SELECT o_orderstatus, arg_min(o_orderpriority, (-n, o_orderpriority)) AS priority FROM (SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY ALL) GROUP BY o_orderstatus")
