@@ -3,10 +3,13 @@
 import random
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from support import SF
 
+from millrace import registry
 from millrace.operators import funnels, heavy_hitters, prefix_sums, recursion, selection, vector_index
 
 
@@ -190,3 +193,19 @@ def test_funnel_against_brute_force(spark, width):
             made.append(later[1])
         expected[i] = (*made, *[None] * (2 - len(made)), 1 + len(made))
     assert got == expected
+
+
+@pytest.mark.parametrize("values", [[], [None], [1, 1, 3], [1, None]])
+def test_not_in_as_sql_has_it(spark, values):
+    from millrace.operators.joins import not_listed
+
+    keys, listed = spark.createDataFrame([(k,) for k in (0, 1, 1, 3, None)], "k long"), spark.createDataFrame([(v,) for v in values], "v long")
+    told = duckdb.execute("SELECT k, k NOT IN (SELECT unnest($v::BIGINT[])) FROM (SELECT unnest([0, 1, 1, 3, NULL]) AS k)", {"v": values}).fetchall()
+    assert sorted(map(repr, told)) == sorted(repr((r["k"], r["not_listed"])) for r in not_listed(keys, "k", listed).collect())
+
+
+@pytest.mark.parametrize("name", ["not_in", "not_in_null"])
+def test_not_in_has_no_nested_loop(spark, name):
+    """A nested loop over two tables (the one row that tells of nulls apart), or a list that is broadcast."""
+    plan = registry.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "ExistenceJoin" not in plan and "LeftAnti" not in plan
