@@ -72,12 +72,17 @@ def agg_approx_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
     return l.agg(exact.alias("exact"), F.approx_count_distinct("l_partkey", 0.02).alias("about")).select("l_returnflag", "exact", _near(F.col("about"), F.col("exact")).alias("near"))
 
 
+def bitmap_distinct(df: DataFrame, key: str, value: str, name: str) -> DataFrame:
+    """key and the exact number of its distinct whole numbers, by bitmaps of 32,768 values, which merge with or."""
+    maps = df.groupBy(key, F.bitmap_bucket_number(value).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(value)).alias("m"))
+    return maps.groupBy(key).agg(F.sum(F.bitmap_count("m")).alias(name))
+
+
 @query("SELECT l_returnflag, true AS hll, true AS theta, true AS kll, true AS middle, true AS frequencies, 8::BIGINT AS bins, count(DISTINCT l_suppkey) AS suppliers FROM lineitem GROUP BY l_returnflag")
 def agg_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sketches that merge: distinct counts (HLL, theta), quantiles (KLL, percentile), frequencies, a histogram, a bitmap."""
     l = table(spark, sf_dir, "lineitem")
     made = l.groupBy("l_returnflag").agg(
-        F.count_distinct("l_partkey").alias("parts"),
         F.median("l_quantity").alias("exact"),
         F.hll_sketch_estimate(F.hll_sketch_agg("l_partkey", 12)).alias("hll"),
         F.theta_sketch_estimate(F.theta_sketch_agg("l_partkey")).alias("theta"),
@@ -85,9 +90,12 @@ def agg_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.percentile_approx("l_quantity", 0.5, 1000).alias("middle"),
         (F.length(F.count_min_sketch("l_partkey", F.lit(0.01), F.lit(0.95), F.lit(7))) > 0).alias("frequencies"),
         F.size(F.histogram_numeric("l_quantity", F.lit(8))).cast("long").alias("bins"),
-        F.bitmap_count(F.bitmap_construct_agg(F.bitmap_bit_position(F.col("l_suppkey") + 1))).alias("suppliers"),
     )
     near = [_near(F.col(c), F.col("parts")).alias(c) for c in ("hll", "theta")] + [_near(F.col(c), F.col("exact")).alias(c) for c in ("kll", "middle")]
+    # a distinct count beside the sketches would make them for each distinct value first
+    suppliers = bitmap_distinct(l.withColumnRenamed("l_returnflag", "flag"), "flag", "l_suppkey", "suppliers")
+    parts = l.groupBy(F.col("l_returnflag").alias("of")).agg(F.count_distinct("l_partkey").alias("parts"))
+    made = made.join(suppliers, F.col("l_returnflag").eqNullSafe(F.col("flag"))).join(parts, F.col("l_returnflag").eqNullSafe(F.col("of")))
     return made.select("l_returnflag", *near, "frequencies", "bins", "suppliers")
 
 
@@ -113,7 +121,4 @@ def agg_avg_decimal(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT l_returnflag, count(DISTINCT l_suppkey) AS n FROM lineitem GROUP BY l_returnflag")
 def agg_bitmap_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Exact distinct whole numbers by bitmaps of 32,768 values, which merge with or."""
-    l = table(spark, sf_dir, "lineitem")
-    maps = l.groupBy("l_returnflag", F.bitmap_bucket_number("l_suppkey").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("l_suppkey")).alias("m"))
-    return maps.groupBy("l_returnflag").agg(F.sum(F.bitmap_count("m")).alias("n"))
+    return bitmap_distinct(table(spark, sf_dir, "lineitem"), "l_returnflag", "l_suppkey", "n")

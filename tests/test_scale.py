@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from support import SF
 
 from millrace import registry
-from millrace.operators import funnels, heavy_hitters, prefix_sums, recursion, selection, vector_index
+from millrace.operators import aggregates, funnels, heavy_hitters, prefix_sums, recursion, selection, vector_index
 
 
 @pytest.mark.parametrize(("counters", "parts"), [(5, 1), (5, 7), (20, 40), (3, 300)])
@@ -209,3 +209,14 @@ def test_not_in_has_no_nested_loop(spark, name):
     """A nested loop over two tables (the one row that tells of nulls apart), or a list that is broadcast."""
     plan = registry.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert "ExistenceJoin" not in plan and "LeftAnti" not in plan
+
+
+def test_bitmaps_hold_keys_of_any_size(spark, tmp_path):
+    """A single bitmap has 32,768 places, onto which greater keys fell a second time."""
+    rows = spark.range(0, 100_000, 7).select(F.when(F.col("id") % 3 == 0, "A").otherwise("N").alias("l_returnflag"), F.col("id").alias("l_suppkey"))
+    told = {r["l_returnflag"]: r["n"] for r in aggregates.bitmap_distinct(rows.union(rows), "l_returnflag", "l_suppkey", "n").collect()}
+    assert told == {"A": 4762, "N": 9524}
+    l = rows.withColumns({"l_partkey": F.col("l_suppkey"), "l_quantity": (F.col("l_suppkey") % 50).cast("double")})
+    l.write.parquet(f"{tmp_path}/lineitem.parquet")
+    told = registry.QUERIES["agg_sketches"](spark, str(tmp_path)).collect()
+    assert {r["l_returnflag"]: r["suppliers"] for r in told} == {"A": 4762, "N": 9524}
