@@ -6,7 +6,8 @@ import time
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -58,6 +59,28 @@ def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_feed(spark, sf_dir, event_feed(spark, sf_dir))
 
 
+#: Groups that keys are dealt to where Python keeps their state: a call costs milliseconds, whatever it is given, so keys share calls.
+SHARDS = 1_024
+
+
+def shard(*keys: str) -> Column:
+    """The group that a key's state is kept in; the same for a key for ever, as checkpoints hold it."""
+    return F.pmod(F.xxhash64(*keys), F.lit(SHARDS))
+
+
+def packed(rows: pd.DataFrame) -> bytes:
+    """A small table as one value of state."""
+    batch = pa.RecordBatch.from_pandas(rows, preserve_index=False)
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def unpacked(value: bytes) -> pd.DataFrame:
+    return pa.ipc.open_stream(value).read_pandas()
+
+
 class Drain:
     """Runs a stream to the end of what is there. It may run again, on the same checkpoint, when more has come.
 
@@ -212,19 +235,19 @@ def st_foreach_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT user_id, count(*) AS n, max(event_id) AS last FROM events GROUP BY user_id")
 def st_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A state of one's own for each user; the last write of each user is its result."""
+    """A state of one's own for each user, kept with those of its shard; the last write of each user is its result."""
 
     def fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        n, last = state.get if state.exists else (0, -1)
-        for f in frames:
-            n, last = n + len(f), max(last, int(f["event_id"].max()))
-        state.update((n, last))
-        yield pd.DataFrame({"user_id": [key[0]], "n": [n], "last": [last]})
-
-    e = event_stream(spark, sf_dir).select("user_id", "event_id")
-    folded = e.groupBy("user_id").applyInPandasWithState(fold, "user_id long, n long, last long", "n long, last long", "update", GroupStateTimeout.NoTimeout)
+        new = pd.concat([f.groupby("user", dropna=False)["event_id"].agg(n="size", last="max").reset_index() for f in frames])
+        old = unpacked(state.get[0]) if state.exists else new[:0]
+        users = pd.concat([old, new]).groupby("user", dropna=False).agg(n=("n", "sum"), last=("last", "max")).reset_index()
+        state.update((packed(users),))
+        yield users[users["user"].isin(new["user"])]
+
+    e = event_stream(spark, sf_dir).select(shard("user_id").alias("shard"), F.col("user_id").cast("string").alias("user"), "event_id")
+    folded = e.groupBy("shard").applyInPandasWithState(fold, "user string, n long, last long", "users binary", "update", GroupStateTimeout.NoTimeout)
     written = drained(folded, "update")
-    return written.groupBy("user_id").agg(F.max("n").alias("n"), F.max("last").alias("last"))
+    return written.groupBy(F.col("user").cast("long").alias("user_id")).agg(F.max("n").alias("n"), F.max("last").alias("last"))
 
 
 @query("SELECT event_type, count(DISTINCT user_id) AS users, true AS near FROM events GROUP BY event_type")
@@ -237,18 +260,19 @@ def st_approx_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT user_id, count(*) AS n FROM events GROUP BY user_id")
 def st_transform_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A stateful processor with a value for each user."""
+    """A stateful processor with a value for each shard of users."""
     from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
     class Count(StatefulProcessor):
         def init(self, handle: StatefulProcessorHandle) -> None:
-            self.state = handle.getValueState("n", "n long")
+            self.state = handle.getValueState("users", "users binary")
 
         def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-            n = self.state.get()[0] if self.state.exists() else 0
-            n += sum(len(r) for r in rows)
-            self.state.update((n,))
-            yield pd.DataFrame({"user_id": [key[0]], "n": [n]})
+            new = pd.concat([r.groupby("user", dropna=False).size().rename("n").reset_index() for r in rows])
+            old = unpacked(self.state.get()[0]) if self.state.exists() else new[:0]
+            users = pd.concat([old, new]).groupby("user", dropna=False)["n"].sum().reset_index()
+            self.state.update((packed(users),))
+            yield users[users["user"].isin(new["user"])]
 
         def close(self) -> None:
             pass
@@ -257,8 +281,8 @@ def st_transform_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     before = spark.conf.get(name)
     spark.conf.set(name, provider)
     try:
-        e = event_stream(spark, sf_dir).select("user_id", "event_id")
-        counted = e.groupBy("user_id").transformWithStateInPandas(Count(), "user_id long, n long", "update", "none")
-        return drained(counted, "update").groupBy("user_id").agg(F.max("n").alias("n"))
+        e = event_stream(spark, sf_dir).select(shard("user_id").alias("shard"), F.col("user_id").cast("string").alias("user"))
+        counted = e.groupBy("shard").transformWithStateInPandas(Count(), "user string, n long", "update", "none")
+        return drained(counted, "update").groupBy(F.col("user").cast("long").alias("user_id")).agg(F.max("n").alias("n"))
     finally:
         spark.conf.set(name, before)

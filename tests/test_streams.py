@@ -90,3 +90,12 @@ def test_state_expires(spark):
     assert [run(0), run(1)] == [2, 2]
     time.sleep(21)
     assert run(2) == 4
+
+
+@pytest.mark.parametrize("name", ["st_sort", "st_timers", "st_ttl", "st_state", "st_transform_state"])
+def test_keys_share_a_shard(name, same_as_sql, monkeypatch):
+    """All keys in two groups, which calls and state values are for."""
+    from millrace import registry
+
+    monkeypatch.setattr(events, "SHARDS", 2)
+    same_as_sql(registry.QUERIES[name], registry.ORACLE_SQL[name])
