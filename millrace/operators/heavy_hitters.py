@@ -5,10 +5,11 @@ A summary of m counters (Misra-Gries) is made of each partition: counts go up ba
 take off. Each taking-off by c takes c from m + 1 counters at least, so what has been taken off any value is at most n / (m + 1),
 n being the rows, however the summaries are merged; each summary carries the exact sum of its c's as its error.
 
-Summaries of partitions meet in a tree of FAN_IN at a time, so a task holds that many of m counters. The candidates that are left
+Summaries of partitions meet in a tree of FAN_IN at a time, of fewer when they are large, so a task holds HELD counters or two summaries. The candidates that are left
 are counted exactly in a second pass. A value that isn't among them stands at most `error` times; so if the k-th candidate has more,
-the k are the most frequent ones. If not, the summary is made again with GROW times the counters and, beyond MOST, all values
-are counted: the result is exact at any size, and ties go to the smaller value. Nulls don't count.
+the k are the most frequent ones. If not, the summary is made again with GROW times the counters, or at once with as many as leave
+less error than the k-th candidate has rows, and, beyond MOST, all values are counted, by Spark's own grouping: the result is exact
+at any size, and ties go to the smaller value. Nulls don't count.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ from ..storage import staged
 from ..tables import table
 
 FAN_IN, COUNTERS, GROW, MOST = 16, 1_000, 8, 512_000
+#: Counters that a task merges at most (two summaries, if these have more), and values that wait for it at least.
+HELD, WAITING = 512_000, 20_000
 _SCHEMA = "piece long, value {kind}, low long, error long, rows long"
 
 
@@ -61,14 +64,17 @@ def summary(df: DataFrame, column: str, counters: int = COUNTERS) -> DataFrame:
     def of_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        held, error, rows = None, 0, 0
+        parts, waiting, error, rows = [], 0, 0, 0
         for batch in batches:
             counted = pc.value_counts(batch.column(0))
-            new = (counted.field("values"), counted.field("counts").to_numpy().astype(np.int64))
-            values, counts, off = _less(*(new if held is None else _added([held, new])), counters)
-            held, error, rows = (values, counts), error + off, rows + batch.num_rows
-        if held is not None:
-            yield _rows(TaskContext.get().partitionId(), *held, error, rows)
+            parts.append((counted.field("values"), counted.field("counts").to_numpy().astype(np.int64)))
+            waiting, rows = waiting + len(counted), rows + batch.num_rows
+            if waiting >= max(counters, WAITING):
+                values, counts, off = _less(*_added(parts), counters)
+                parts, waiting, error = [(values, counts)], 0, error + off
+        if parts:
+            values, counts, off = _less(*_added(parts), counters)
+            yield _rows(TaskContext.get().partitionId(), values, counts, error + off, rows)
 
     def merged(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
@@ -77,13 +83,14 @@ def summary(df: DataFrame, column: str, counters: int = COUNTERS) -> DataFrame:
         values, counts = _added([(known.column("value").combine_chunks(), known.column("low").to_numpy().astype(np.int64))]) if known.num_rows else (pa.nulls(0, table.schema.field("value").type), np.zeros(0, dtype=np.int64))
         values, counts, off = _less(values, counts, counters)
         error, rows = (pc.sum(pieces.column(c)).as_py() for c in ("error_max", "rows_max"))
-        return pa.Table.from_batches([_rows(pc.min(table.column("piece")).as_py() // FAN_IN, values, counts, error + off, rows)])
+        return pa.Table.from_batches([_rows(pc.min(table.column("piece")).as_py() // fan_in, values, counts, error + off, rows)])
 
+    fan_in = max(2, min(FAN_IN, HELD // counters))
     level = staged(base.mapInArrow(of_partition, schema), "heavy-hitters-pieces")
     pieces = level.agg(F.coalesce(F.max("piece") + 1, F.lit(0)).alias("n")).first()["n"]
     while pieces > 1:
-        level = level.groupBy(F.floor(F.col("piece") / FAN_IN).alias("g")).applyInArrow(merged, schema)
-        pieces = -(-pieces // FAN_IN)
+        level = level.groupBy(F.floor(F.col("piece") / fan_in).alias("g")).applyInArrow(merged, schema)
+        pieces = -(-pieces // fan_in)
     return level.select("value", "low", "error", "rows")
 
 
@@ -93,13 +100,13 @@ def frequent(df: DataFrame, column: str, k: int, counters: int = COUNTERS) -> Da
     order = [F.desc("n"), F.col("value")]
     while counters <= MOST:
         found = staged(summary(base, "value", counters), "heavy-hitters")
-        error = found.agg(F.coalesce(F.max("error"), F.lit(0)).alias("e")).first()["e"]
+        error, rows = found.agg(F.coalesce(F.max("error"), F.lit(0)), F.coalesce(F.max("rows"), F.lit(0))).first()
         known = F.broadcast(found.where("value IS NOT NULL").select("value"))  # at most MOST
         counted = staged(base.join(known, "value", "left_semi").groupBy("value").agg(F.count(F.lit(1)).alias("n")), "heavy-hitters-counts")
         best = counted.orderBy(*order).limit(k).collect()
         if error == 0 or (len(best) == k and best[-1]["n"] > error):
             break
-        counters *= GROW
+        counters = max(counters * GROW, rows // best[-1]["n"] + 1 if len(best) == k else 0)
     else:
         counted = base.groupBy("value").agg(F.count(F.lit(1)).alias("n"))
     best = counted.orderBy(*order).limit(k)

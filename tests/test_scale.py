@@ -220,3 +220,44 @@ def test_bitmaps_hold_keys_of_any_size(spark, tmp_path):
     l.write.parquet(f"{tmp_path}/lineitem.parquet")
     told = registry.QUERIES["agg_sketches"](spark, str(tmp_path)).collect()
     assert {r["l_returnflag"]: r["suppliers"] for r in told} == {"A": 4762, "N": 9524}
+
+
+def test_wide_summaries_merge_few_at_a_time(spark, monkeypatch):
+    """Sixteen summaries of many counters don't meet in one task; when no summary can prove the result, all are counted at once."""
+    monkeypatch.setattr(heavy_hitters, "HELD", 100)
+    monkeypatch.setattr(heavy_hitters, "WAITING", 1)
+    asked, real = [], heavy_hitters.summary
+    monkeypatch.setattr(heavy_hitters, "summary", lambda df, c, m: asked.append(m) or real(df, c, m))
+    df = spark.range(3000).select(F.when(F.col("id") < 40, 7).otherwise(F.col("id") % 1000).alias("v")).repartition(9)
+    true = sorted(Counter(r["v"] for r in df.collect()).items(), key=lambda r: (-r[1], r[0]))[:5]
+    assert [(r["value"], r["n"]) for r in heavy_hitters.frequent(df, "v", 5, counters=50).orderBy("rank").collect()] == true
+    assert asked == [50, 1001]
+
+
+def test_a_query_of_all_lists_is_told_in_small_batches(spark, monkeypatch):
+    monkeypatch.setattr(vector_index, "CELLS", 100)
+    monkeypatch.setattr(vector_index, "PAIRS", 10)
+    v = np.random.default_rng(5).normal(size=(300, 4)).astype(np.float32)
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<float>")
+    index = vector_index.build(df, lists=20)
+    asked = df.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"), F.lit(None).cast("double").alias("floor"))
+    sizes = []
+
+    class Seen:
+        def mapInArrow(self, run, schema):
+            sizes.extend(b.num_rows for b in run(iter(asked.toArrow().to_batches())))
+
+    monkeypatch.setattr(type(asked), "select", lambda self, *a: Seen())
+    index._probes(asked, "second")
+    monkeypatch.undo()
+    assert sum(sizes) == 300 * (20 - vector_index.PROBES) and max(sizes) <= 10
+    got = sorted((r["query_id"], r["rank"], r["id"]) for r in vector_index.nearest(df, df, 3, lists=20).collect())
+    s = v.astype(np.float64) @ v.astype(np.float64).T
+    np.fill_diagonal(s, -np.inf)
+    assert got == sorted((q, r + 1, int(i)) for q in range(300) for r, i in enumerate(np.argsort(-s[q], kind="stable")[:3]))
+
+
+def test_best_takes_ties_in_order():
+    s = np.array([[1.0, 2, 2, 2, -np.inf], [-np.inf] * 5, [0, 0, 0, 0, 5]])
+    row, column = vector_index._best(s, 2)
+    assert list(zip(row.tolist(), column.tolist())) == [(0, 1), (0, 2), (2, 4), (2, 0)]
