@@ -38,6 +38,8 @@ MODEL_ROWS = 6_000_000
 ORDER, DISCOUNT, UNIFORM = 6, 0.75, 1 / 256
 #: Words remembered by a worker; at this number the memory is emptied.
 MEMO = 600_000
+#: Words that are looked up at once: their n-grams are lists of strings, some twenty times as large as the words.
+TOGETHER = 4_000
 #: Share of the training rows, in hundredths, that makes the counts; the rest calibrates.
 COUNTED = 70
 
@@ -200,7 +202,8 @@ class WordRatios:
             if len(self.memo) + len(unknown) > MEMO:
                 self.memo.clear()
                 unknown = words
-            self._learn(unknown)
+            for at in range(0, len(unknown), TOGETHER):
+                self._learn(unknown[at : at + TOGETHER])
         return np.fromiter(map(self.memo.__getitem__, words), dtype=np.float64, count=len(words))
 
     def features(self, words: pa.ListArray) -> np.ndarray:

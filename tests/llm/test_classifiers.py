@@ -273,3 +273,10 @@ def test_a_labelled_id_of_very_many_rows_counts_once(spark, make, good_and_bad):
     copies = make(rows).unionByName(make([rows[0]]).crossJoin(spark.range(20_000)).drop("id"))
     many = quality.fit(copies, labels, "quality", 3, 1)
     assert np.array_equal(one.weights, many.weights) and np.array_equal(one.knots, many.knots)
+
+
+def test_words_are_looked_up_some_at_a_time(monkeypatch):
+    monkeypatch.setattr(toxicity, "TOGETHER", 3)
+    scorer, sizes = toxicity.WordRatios((np.zeros(0, np.int64), np.zeros(0, np.float32))), []
+    monkeypatch.setattr(scorer, "_learn", lambda words, f=scorer._learn: (sizes.append(len(words)), f(words)))
+    assert scorer.of([f"w{c}" for c in "abcdefgh"]).tolist() == [0.0] * 8 and sizes == [3, 3, 2]
