@@ -97,3 +97,15 @@ def test_range_join_refuses_joins_that_repeat_right_rows(spark, how):
 def test_no_nested_loop(spark, name):
     plan = registry.QUERIES[name](spark, SF)._jdf.queryExecution().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+@pytest.mark.parametrize(("plain", "hot"), [(64, 10_000), (2, 10_000), (0, 10_000), (0, 1)])
+def test_hot_keys_go_by_bins_and_others_whole(spark, monkeypatch, plain, hot):
+    monkeypatch.setattr(ranges, "PLAIN", plain)
+    monkeypatch.setattr(ranges, "HOT", hot)
+    rows = [(i, None if i == 7 else min(i % 11, 3), float(i % 17), float(i % 17 + i % 5)) for i in range(120)]
+    a, b = spark.createDataFrame(rows, "i long, k long, al double, ah double"), spark.createDataFrame(rows[::2], "j long, k long, bl double, bh double")
+    got = ranges.overlap_join(a, b, ("al", "ah"), ("bl", "bh"), 1.0, ("k",))
+    assert got.columns == ["k", "i", "al", "ah", "j", "bl", "bh"]
+    want = sorted((i, j) for i, k, al, ah in rows for j, m, bl, bh in rows[::2] if k is not None and k == m and al < bh and bl < ah and al < ah and bl < bh)
+    assert sorted((r["i"], r["j"]) for r in got.collect()) == want
