@@ -1,8 +1,11 @@
 """Recursion over tables: what a graph's edges reach, by a fixpoint that goes on from what is new alone.
 
-Each round joins the rows of the round before (the delta) with the edges, takes away what is known, and stores the rest as the next
-delta; it ends when a delta is empty, after as many rounds as the longest of the shortest paths. Edges are stored once. What is
-known is kept as stored deltas, which a row leaves never, so a lost executor costs its own part of one round.
+Nodes with the same edges, in and out, are twins: whatever reaches one reaches all in as many hops, and they reach the same. The
+fixpoint runs over one node of each set of twins, and sets become rows at the end alone, so what is joined, compared and stored on
+the way doesn't grow with pairs of twins. Each round joins the rows of the round before (the delta) with the edges, takes away what is
+known, and stores the rest as the next delta; it ends when a delta is empty, after as many rounds as the longest of the shortest
+paths. Edges are stored once. What is known is kept as stored deltas, which a row leaves never, so a lost executor costs its own part
+of one round.
 """
 
 from __future__ import annotations
@@ -16,6 +19,49 @@ from ..tables import table
 
 #: Deltas that stand side by side before they are stored as one.
 DELTAS = 8
+#: Twins, or starts that are twins, that stand in one list, in the mean.
+BLOCK = 256
+#: Rows of the result that one task makes, in the mean.
+ROWS = 1_000_000
+
+
+def _digest() -> F.Column:
+    """Of the edges that go from a node and come to it, in any order."""
+    return F.struct(*(f(F.when(F.col(c).isNotNull(), F.xxhash64(c))) for c in ("goes", "comes") for f in (F.count, F.bit_xor)))
+
+
+def twins(e: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """node, twin: for each node of the edges e (source, target; distinct) one node with the same edges; and the edges between those.
+
+    Digests of a node's edges propose its twins. Of two sets with an edge between them, as many edges as pairs must go from one to the
+    other, else the nodes of both stand alone, so digests that meet by chance do no harm.
+    """
+    goes = F.struct(F.col("source").alias("node"), F.col("target").alias("goes"), F.lit(None).alias("comes"))
+    comes = F.struct(F.col("target").alias("node"), F.lit(None).alias("goes"), F.col("source").alias("comes"))
+    ends = e.select(F.explode(F.array(goes, comes)).alias("end")).select("end.*")
+    nodes = staged(ends.groupBy("node").agg(_digest().alias("digest")), "reach-nodes")
+    sets = nodes.groupBy("digest").agg(F.min("node").alias("twin"), F.count(F.lit(1)).alias("n"))
+    nodes = staged(nodes.join(sets, "digest").select("node", "twin", "n"), "reach-twins")
+    between = staged(_between(e, nodes), "reach-between")
+    false = between.where("edges <> pairs").select(F.explode(F.array("source_twin", "target_twin")).alias("twin")).distinct()
+    if false.limit(1).count():
+        alone = nodes.join(false.withColumn("alone", F.lit(True)), "twin", "left")
+        nodes = staged(alone.select("node", F.when(F.col("alone"), F.col("node")).otherwise(F.col("twin")).alias("twin"), F.when(F.col("alone"), 1).otherwise(F.col("n")).alias("n")), "reach-twins")
+        between = staged(_between(e, nodes), "reach-between")
+    return nodes.select("node", "twin"), between.select(F.col("source_twin").alias("source"), F.col("target_twin").alias("target"))
+
+
+def _between(e: DataFrame, nodes: DataFrame) -> DataFrame:
+    """source_twin, target_twin, the edges from one's set to the other's, and the pairs that there are."""
+    out, into = (nodes.select(F.col("node").alias(c), F.col("twin").alias(f"{c}_twin"), F.col("n").alias(f"{c}_n")) for c in ("source", "target"))
+    both = e.join(out, "source").join(into, "target").groupBy("source_twin", "target_twin")
+    return both.agg(F.count(F.lit(1)).alias("edges"), (F.first("source_n") * F.first("target_n")).alias("pairs"))
+
+
+def _lists(rows: DataFrame, name: str) -> DataFrame:
+    """twin, number, and the nodes of each twin's rows in lists of about BLOCK."""
+    blocks = rows.groupBy("twin").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
+    return rows.join(blocks, "twin").groupBy(F.col("twin").alias(f"{name}_twin"), F.pmod(F.xxhash64("node"), F.col("blocks")).alias(f"{name}_number")).agg(F.collect_list("node").alias(name))
 
 
 def reach(edges: DataFrame, starts: DataFrame, max_rounds: int | None = None) -> DataFrame:
@@ -25,17 +71,30 @@ def reach(edges: DataFrame, starts: DataFrame, max_rounds: int | None = None) ->
     so many hops.
     """
     e = staged(edges.where("source IS NOT NULL AND target IS NOT NULL").select("source", "target").distinct(), "reach-edges")
-    delta = staged(starts.where("start IS NOT NULL").select("start", F.col("start").alias("node"), F.lit(0).cast("long").alias("hops")).distinct(), "reach-delta")
-    known, several, hops = delta, 1, 0
+    own = staged(starts.where("start IS NOT NULL").select("start").distinct(), "reach-starts")
+    nodes, between = twins(e)
+    begun = staged(own.join(nodes, F.col("start") == F.col("node")).select("node", "twin"), "reach-begun")
+    # a start's twins take at least one hop, so no pair is known before the first round
+    delta = begun.select(F.col("twin").alias("start"), F.col("twin").alias("node")).distinct()
+    known, several, hops = None, 0, 0
     while hops != max_rounds and delta.limit(1).count():
         hops += 1
-        new = delta.join(e, F.col("node") == F.col("source")).select("start", F.col("target").alias("node")).distinct()
-        new = new.join(known.select("start", "node"), ["start", "node"], "left_anti")
+        new = delta.join(between, F.col("node") == F.col("source")).select("start", F.col("target").alias("node")).distinct()
+        if known is not None:
+            new = new.join(known.select("start", "node"), ["start", "node"], "left_anti")
         delta = staged(new.withColumn("hops", F.lit(hops).cast("long")), "reach-delta")
-        known, several = known.unionByName(delta), several + 1
+        known, several = delta if known is None else known.unionByName(delta), several + 1
         if several == DELTAS:
             known, several = staged(known, "reach-known"), 1
-    return known
+    out = own.select("start", F.col("start").alias("node"), F.lit(0).cast("long").alias("hops"))
+    if known is None:
+        return out
+    known = known.select(F.col("start").alias("starts_twin"), F.col("node").alias("nodes_twin"), "hops")
+    pairs = staged(known.join(_lists(begun, "starts"), "starts_twin").join(_lists(nodes, "nodes"), "nodes_twin").select("hops", "starts", "nodes"), "reach-pairs")
+    rows = pairs.agg(F.sum(F.size("starts").cast("long") * F.size("nodes"))).first()[0] or 0
+    # lists are small, what they make isn't: they are dealt by the number of rows, which Spark must not gather again
+    pairs = pairs.repartition(max(1, -(-rows // ROWS)))
+    return out.unionByName(pairs.select(F.explode("starts").alias("start"), "nodes", "hops").select("start", F.explode("nodes").alias("node"), "hops").where("start <> node"))
 
 
 def rank(edges: DataFrame, rounds: int, damping: float = 0.85) -> DataFrame:
@@ -62,8 +121,9 @@ def rank(edges: DataFrame, rounds: int, damping: float = 0.85) -> DataFrame:
 def page_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """source, target: from each page to the addresses that it links to, and from each address to the pages with such a link."""
     hrefs = F.explode(F.expr(r"""regexp_extract_all(html, '<a [^>]*href="([^"]*)"', 1)"""))
-    links = table(spark, sf_dir, "pages").select(F.concat(F.lit("page:"), F.col("page_id").cast("string")).alias("source"), hrefs.alias("target"))
-    return links.union(links.select("target", "source")).distinct()
+    links = table(spark, sf_dir, "pages").select(F.concat(F.lit("page:"), F.col("page_id").cast("string")).alias("page"), hrefs.alias("address"))
+    both = F.array(F.struct(F.col("page").alias("source"), F.col("address").alias("target")), F.struct(F.col("address").alias("source"), F.col("page").alias("target")))
+    return links.select(F.explode(both).alias("e")).select("e.*").distinct()
 
 
 _EDGES = """links AS (

@@ -164,6 +164,50 @@ def test_reach(spark):
     assert recursion.reach(e.limit(0), starts).count() == 3
 
 
+@pytest.mark.parametrize("digest", ["own", "same"])
+@pytest.mark.parametrize("kind", ["directed", "both ways", "pages"])
+def test_reach_of_twins(spark, kind, digest, monkeypatch):
+    monkeypatch.setattr(recursion, "BLOCK", 3)
+    monkeypatch.setattr(recursion, "ROWS", 50)
+    if digest == "same":
+        monkeypatch.setattr(recursion, "_digest", lambda: F.struct(F.sign(F.count("goes"))))
+    rng = random.Random(kind)
+    edges = {(rng.randint(0, 30), rng.randint(0, 30)) for _ in range(35)}
+    if kind == "pages":
+        edges = {(100 + i, i % 4 * 10 + k) for i in range(40) for k in range(3)} | {(150, 2), (150, 11), (7, 7), (8, 8), (7, 8), (8, 7), (9, 7), (9, 8)}
+    if kind != "directed":
+        edges |= {(b, a) for a, b in edges}
+    starts = [0, 7, 8, *range(100, 112), 999]
+    expected = set()
+    for s in starts:
+        hops, todo = {s: 0}, [s]
+        for n in todo:
+            for a, b in edges:
+                if a == n and b not in hops:
+                    hops[b] = hops[n] + 1
+                    todo.append(b)
+        expected |= {(s, n, h) for n, h in hops.items()}
+    e, s = spark.createDataFrame(sorted(edges), "source long, target long").repartition(5), spark.createDataFrame([(x,) for x in starts], "start long")
+    assert sorted(map(tuple, recursion.reach(e, s).collect())) == sorted(expected)
+    for rounds in (0, 1, 3):
+        assert sorted(map(tuple, recursion.reach(e, s, rounds).collect())) == sorted(x for x in expected if x[2] <= rounds)
+
+
+def test_rounds_do_not_hold_pairs_of_twins(spark, monkeypatch):
+    stored = Counter()
+
+    def counted(df, label, staged=recursion.staged):
+        out = staged(df, label)
+        stored[label] += out.count()
+        return out
+
+    monkeypatch.setattr(recursion, "staged", counted)
+    e = spark.createDataFrame([x for p in range(40) for a in "abc" for x in ((f"p{p}", a), (a, f"p{p}"))], "source string, target string")
+    got = recursion.reach(e, spark.createDataFrame([(f"p{p}",) for p in range(40)], "start string"))
+    assert got.count() == 40 * 43 and got.groupBy("hops").count().orderBy("hops").collect() == [(0, 40), (1, 120), (2, 1560)]
+    assert stored["reach-delta"] <= 4  # 1,720 one by one
+
+
 def test_rank_sums_to_the_nodes(spark):
     e = spark.createDataFrame([("a", "b"), ("b", "a"), ("c", "a"), ("d", "a"), ("a", "e")], "source string, target string")
     rows = {r["node"]: r for r in recursion.rank(e, 30).collect()}
