@@ -113,6 +113,31 @@ def test_names_in_strings_are_no_tables(spark):
     assert set(got.select("a", "b").first()) == {"orders", "part's {x}"}
 
 
+ODD_ORDERS = [
+    *[(None, "F", "1"), (3, None, "1"), (4, "F", None), (5, "", "1"), (6, "F", ""), (7, "", ""), (8, " ", "F"), (9, "O", "F"), (10, "F ", " é"), (11, "&amp;F", "&lt;b&gt;")],
+    *[(12, "a<x>b</x>", "F"), (13, "<x>F</x>", "1"), (14, "<x/>", "1"), (15, "<!-- c -->F", "1"), (16, "a<!-- c -->b", "1"), (17, "", "a<!-- c -->b"), (18, "<![CDATA[<F>]]>", "F")],
+    *[(19, "O</p><p>P", "F"), (20, "</p><p>", "F"), (21, "O</p>F<p>", "1"), (22, "<p>F</p>", "1"), (23, "a", "<x/>b<x/>F")],
+]
+
+
+def test_xpath_of_odd_documents(spark, tmp_path):
+    spark.createDataFrame(ODD_ORDERS, "o_orderkey long, o_orderstatus string, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
+    document = """concat('<o key="', o_orderkey + 1, '"><p>', o_orderstatus, '</p><p>', o_orderpriority, '</p></o>')"""
+    calls = ["xpath_long(x, 'o/@key') AS key", "xpath_string(x, 'o/p[2]') AS second", "xpath(x, 'o/p/text()') AS parts", "xpath_boolean(x, 'o/p = \"F\"') AS done"]
+    one_by_one = tables.table(spark, str(tmp_path), "orders").selectExpr("o_orderkey", f"{document} AS x").selectExpr("o_orderkey", *calls)
+    got = registry.QUERIES["xpath"](spark, str(tmp_path))
+    assert got.schema == one_by_one.schema
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, one_by_one.collect()))
+
+
+def test_xpath_reads_a_plain_document_once_and_keeps_long_keys(spark, tmp_path):
+    spark.createDataFrame([(2**53, "F", "1-URGENT")], "o_orderkey long, o_orderstatus string, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
+    got = registry.QUERIES["xpath"](spark, str(tmp_path))
+    assert list(map(tuple, got.collect())) == [(2**53, 2**53 + 1, "1-URGENT", ["F", "1-URGENT"], True)]
+    above, below = got._jdf.queryExecution().optimizedPlan().toString().splitlines()[:2]
+    assert below.count("XPath") == 1 and above.count("XPath") == above.count("ELSE invoke(XPath")
+
+
 def test_a_broken_import_is_shown(monkeypatch):
     import __spark_entry__ as entry
 
