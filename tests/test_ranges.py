@@ -109,3 +109,26 @@ def test_hot_keys_go_by_bins_and_others_whole(spark, monkeypatch, plain, hot):
     assert got.columns == ["k", "i", "al", "ah", "j", "bl", "bh"]
     want = sorted((i, j) for i, k, al, ah in rows for j, m, bl, bh in rows[::2] if k is not None and k == m and al < bh and bl < ah and al < ah and bl < bh)
     assert sorted((r["i"], r["j"]) for r in got.collect()) == want
+
+
+def test_pairs_of_many_ranges_at_the_same_times_are_stored_small(spark, tmp_path):
+    """Pairs grow with the square of the rows, so what a pair takes on disk tells if they can be kept."""
+    def some(n, name, length):
+        place, more = (F.pmod(F.xxhash64("id", F.lit(f"{name}{k}")), F.lit(1_000_000)) / 1_000_000.0 for k in "ab")
+        return spark.range(n).select(F.col("id").alias(name), (place * 5_000).alias(f"{name}_low"), more.alias("m")).select(name, f"{name}_low", (F.col(f"{name}_low") + length).alias(f"{name}_high"))
+
+    a, b = some(2_000, "i", F.lit(1_200.0)), some(12_000, "j", 60 + F.col("m") * 5_000)
+    ranges.overlap_join(a, b, ("i_low", "i_high"), ("j_low", "j_high"), 1200.0).select("i", "j").write.parquet(str(tmp_path / "pairs"))
+    pairs = spark.read.parquet(str(tmp_path / "pairs")).count()
+    assert pairs == a.crossJoin(b).where("i_low < j_high AND j_low < i_high").count() > 1_000_000
+    assert sum(f.stat().st_size for f in (tmp_path / "pairs").glob("*.parquet")) < 0.8 * pairs
+
+
+@pytest.mark.parametrize("tile", [1, 7])
+def test_ranges_of_one_cell_meet_others_in_pieces(spark, monkeypatch, tile):
+    monkeypatch.setattr(ranges, "TILE", tile)
+    rows = [(i, float(i % 3), float(i % 3 + 1 + i % 4 * 30)) for i in range(90)]
+    a, b = spark.createDataFrame(rows, "i long, al double, ah double"), spark.createDataFrame(rows, "j long, bl double, bh double")
+    got = ranges.overlap_join(a, b, ("al", "ah"), ("bl", "bh"), 10.0)
+    assert got.columns == ["i", "al", "ah", "j", "bl", "bh"]
+    assert sorted(tuple(r) for r in got.collect()) == sorted(x + y for x in rows for y in rows if x[1] < y[2] and y[1] < x[2])
