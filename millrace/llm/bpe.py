@@ -16,6 +16,7 @@ are left alone; an empty table gives an empty result. Memory is bounded by MEMO
 from __future__ import annotations
 
 import json
+import re
 from array import array
 from collections.abc import Iterator
 from itertools import chain, pairwise
@@ -28,6 +29,8 @@ from .common import kept, map_arrow, text_of
 
 #: Words (and as many fragments) remembered by a worker, at most, and the longest one that is.
 MEMO, LONGEST = 400_000, 64
+#: White space of any kind.
+SPACE = re.compile(r"\s")
 #: The greatest code point of an alphabet whose pairs stand in a table.
 TABLE = 2_048
 #: Bytes of texts that are encoded together, and ids after which a batch of results is closed.
@@ -100,17 +103,20 @@ class Codec:
         texts = [w.decode("utf-8", "replace") for w in words]
         whole = {i for i, t in enumerate(texts) if any(a in t for a in self.added)}
         plain = [i for i in range(len(texts)) if i not in whole]
-        ready = self.normal("\n".join(texts[i] for i in plain)) if self.by_word else ""
+        joined = [i for i in plain if not SPACE.search(texts[i])] if self.by_word else []  # spaces of other kinds would move the starts of words
+        ready = self.normal("\n".join(texts[i] for i in joined))
         starts = [0, *(i + 1 for i, c in enumerate(ready) if c == " ")]
-        if not self.by_word or len(starts) != len(plain):  # spaces of other kinds, or of one text that is one word
-            pieces = [[p for p, _ in self.cut(self.normal(texts[i]))] for i in plain]
-        else:
-            pieces, word = [[] for _ in plain], 0
+        if len(starts) != len(joined):  # of one text that is one word
+            joined = []
+        cut_together: dict[int, list[str]] = {i: [] for i in joined}
+        if joined:
+            word = 0
             starts.append(len(ready) + 1)
             for p, (at, _) in self.cut(ready):
                 while starts[word + 1] <= at:
                     word += 1
-                pieces[word].append(p)
+                cut_together[joined[word]].append(p)
+        pieces = [cut_together[i] if i in cut_together else [p for p, _ in self.cut(self.normal(texts[i]))] for i in plain]
         found = {words[i]: tuple(self.tokenizer.encode(texts[i], add_special_tokens=False).ids) for i in whole}
         if any(pieces):
             fragments, lasts = self.fragments([p for ps in pieces for p in ps])

@@ -105,3 +105,10 @@ def test_clashing_columns_and_empty_tables(make, plain):
     got = {r["doc_id"]: (r["ids"], r["decoded"]) for r in op.encode(docs, word_tokenizer_file()).collect()}
     assert got == {1: (plain.encode("some words", add_special_tokens=False).ids, "some</w> words</w>"), None: ([], "")}
     assert op.encode(make([]), word_tokenizer_file()).count() == 0
+
+
+def test_words_with_spaces_of_other_kinds_keep_their_own_ids(plain):
+    """One such space hides an end of a word, another looks like one: the numbers agree, the words don't."""
+    words = ["x", "\u2028", "y", "a\u2028b"]
+    found = op.Codec(word_tokenizer_file())._learn([w.encode() for w in words])
+    assert {w: list(found[w.encode()]) for w in words} == {w: plain.encode(w, add_special_tokens=False).ids for w in words}
